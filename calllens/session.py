@@ -27,14 +27,18 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_local_root: str | None = None
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the cluster's shared ``spark.checkpoint.dir``.
 
     Only when that setting is absent (tests, laptops) is a local temporary
-    folder used, and then recorded in the session so every later call agrees.
+    folder used instead.
     """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="calllens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_root = _local_root or tempfile.mkdtemp(prefix="calllens-")
+        root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
