@@ -63,10 +63,19 @@ def entity_label(piece: Column) -> Column:
     )
 
 
+def scan(c: Column) -> Column:
+    """Words, numbers, money, links and addresses in text order."""
+    return F.regexp_extract_all(c, F.lit(SCAN), F.lit(0))
+
+
 def entities(c: Column) -> Column:
     """Pattern entities in text order, ``array<struct<label, text>>``."""
+    return entities_from(scan(c))
+
+
+def entities_from(pieces: Column) -> Column:
     scanned = F.transform(
-        F.regexp_extract_all(c, F.lit(SCAN), F.lit(0)),
+        pieces,
         lambda p: F.struct(entity_label(p).alias("label"), p.alias("text")),
     )
     return F.filter(scanned, lambda e: e["label"].isNotNull())
@@ -80,7 +89,10 @@ def entity_texts(ents: Column, labels) -> Column:
 
 def technical_terms(c: Column, profile: Profile) -> Column:
     """Distinct listed terms, all-caps words longer than two, and links; sorted."""
-    pieces = F.regexp_extract_all(c, F.lit(SCAN), F.lit(0))
+    return technical_from(scan(c), profile)
+
+
+def technical_from(pieces: Column, profile: Profile) -> Column:
 
     def technical(p: Column) -> Column:
         test = F.lower(p).isin(*profile.technical) | p.rlike(r"\A\p{Lu}{3,}\z")

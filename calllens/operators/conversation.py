@@ -30,20 +30,26 @@ def _total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+def flow_measures(sents: Column) -> dict[str, Column]:
+    def ending(mark: str) -> Column:
+        return F.size(F.filter(sents, lambda s: F.endswith(s, F.lit(mark)))).cast("bigint")
+
+    return {
+        "total_sentences": F.size(sents).cast("bigint"),
+        "_words": _total(word_counts(sents)),
+        "question_count": ending("?"),
+        "exclamation_count": ending("!"),
+    }
+
+
 def conversation_flow(
     df: DataFrame, key: str = "call_id", text: str = "text", by_turn: bool = False
 ) -> DataFrame:
     """Sentence count, mean words per sentence, questions, exclamations."""
     staged = df.select(key, sentences(F.col(text)).alias("_s"))
-    rows = staged.select(
-        key,
-        F.size("_s").cast("bigint").alias("total_sentences"),
-        _total(word_counts(F.col("_s"))).alias("_words"),
-        F.size(F.filter("_s", lambda s: F.endswith(s, F.lit("?")))).cast("bigint").alias("question_count"),
-        F.size(F.filter("_s", lambda s: F.endswith(s, F.lit("!")))).cast("bigint").alias("exclamation_count"),
-    )
+    measures = flow_measures(F.col("_s"))
+    rows = staged.select(key, *[c.alias(n) for n, c in measures.items()])
     if by_turn:
-        measures = ("total_sentences", "_words", "question_count", "exclamation_count")
         rows = rows.groupBy(key).agg(*[F.sum(m).alias(m) for m in measures])
     return rows.select(
         key,
@@ -55,11 +61,11 @@ def conversation_flow(
     )
 
 
-def _questions(c: Column) -> Column:
-    return F.filter(sentences(c), lambda s: F.endswith(s, F.lit("?")))
+def questions_from(sents: Column) -> Column:
+    return F.filter(sents, lambda s: F.endswith(s, F.lit("?")))
 
 
-def _question_counts(q: Column, profile: Profile) -> dict[str, Column]:
+def question_counts(q: Column, profile: Profile) -> dict[str, Column]:
     def count(test) -> Column:
         return F.size(F.filter(q, test)).cast("bigint")
 
@@ -79,10 +85,10 @@ def question_summary(
     df: DataFrame, profile: Profile, key: str = "call_id", text: str = "text"
 ) -> DataFrame:
     """Question counts by category and the first questions of each transcript row."""
-    staged = df.select(key, _questions(F.col(text)).alias("_q"))
+    staged = df.select(key, questions_from(sentences(F.col(text))).alias("_q"))
     return staged.select(
         key,
-        *[c.alias(n) for n, c in _question_counts(F.col("_q"), profile).items()],
+        *[c.alias(n) for n, c in question_counts(F.col("_q"), profile).items()],
         F.slice("_q", 1, profile.sample_questions).alias("sample_questions"),
     )
 
@@ -95,10 +101,10 @@ def question_summary_turns(
     The sample keeps at most k rows per call on each side of the shuffle (a
     ranked filter), never the whole call.
     """
-    staged = turns.select(key, turn, _questions(F.col(text)).alias("_q"))
-    names = list(_question_counts(F.col("_q"), profile))
+    staged = turns.select(key, turn, questions_from(sentences(F.col(text))).alias("_q"))
+    names = list(question_counts(F.col("_q"), profile))
     counted = (
-        staged.select(key, *[c.alias(n) for n, c in _question_counts(F.col("_q"), profile).items()])
+        staged.select(key, *[c.alias(n) for n, c in question_counts(F.col("_q"), profile).items()])
         .groupBy(key)
         .agg(*[F.sum(n).alias(n) for n in names])
     )
@@ -144,11 +150,12 @@ def engagement_timeline(
 
 def text_features(
     df: DataFrame, key: str = "call_id", text: str = "text",
-    positive=lx.FEATURE_POSITIVE, question_words=lx.FEATURE_QUESTION,
+    positive=lx.FEATURE_POSITIVE, question_words=lx.FEATURE_QUESTION, keep=(),
 ) -> DataFrame:
     """Linguistic features of each transcript: array functions only, no shuffle."""
     staged = df.select(
         key,
+        *keep,
         F.filter(
             F.transform(F.split(text, r"\."), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))),
             lambda s: s != "",
@@ -162,6 +169,7 @@ def text_features(
 
     return staged.select(
         key,
+        *keep,
         n_words.cast("bigint").alias("total_word_count"),
         F.size(F.array_distinct("_w")).cast("bigint").alias("unique_word_count"),
         n_sents.cast("bigint").alias("sentence_count"),

@@ -27,14 +27,18 @@ def key_phrases_array(c: Column, profile: Profile, names=()) -> Column:
     ``names`` is a short in-memory name list; for a name table use
     :func:`gazetteer_join` with :func:`union_phrases`.
     """
-    phrases = F.filter(
-        candidate_phrases(c, profile.stop_words, profile.min_phrase_words, profile.phrase_min_chars),
-        lambda p: ~p.rlike(r"\A(?:" + "|".join(profile.phrase_blocked_starts) + ")"),
+    phrases = candidate_phrases(c, profile.stop_words, profile.min_phrase_words, profile.phrase_min_chars)
+    return key_phrases_from(phrases, extract.entities(c), tokens(c), profile, names)
+
+
+def key_phrases_from(phrases: Column, ents: Column, toks: Column, profile: Profile, names=()) -> Column:
+    blocked = r"\A(?:" + "|".join(profile.phrase_blocked_starts) + ")"
+    kept = F.filter(
+        phrases, lambda p: (F.length(p) > profile.phrase_min_chars) & ~p.rlike(blocked)
     )
-    ents = F.transform(extract.entity_texts(extract.entities(c), PHRASE_LABELS), lambda e: F.lower(e))
-    parts = [phrases, ents]
+    parts = [kept, F.transform(extract.entity_texts(ents, PHRASE_LABELS), lambda e: F.lower(e))]
     if names:
-        parts.append(let(tokens(c), lambda toks: _names(toks, names)))
+        parts.append(let(toks, lambda t: _names(t, names)))
     return first_distinct(F.concat(*parts), profile.max_phrases)
 
 
@@ -61,8 +65,12 @@ def technical_terms(
 
 def competitor_array(c: Column, profile: Profile, names) -> Column:
     """Listed organisations in the sentences that hold a competitor indicator."""
+    return competitors_from(sentences(c), profile, names)
+
+
+def competitors_from(sents: Column, profile: Profile, names) -> Column:
     near = F.filter(
-        sentences(c), lambda s: extract.contains_any(F.lower(s), profile.competitor)
+        sents, lambda s: extract.contains_any(F.lower(s), profile.competitor)
     )
     return F.flatten(
         F.transform(
@@ -83,9 +91,13 @@ def competitor_array(c: Column, profile: Profile, names) -> Column:
 
 def pricing_array(c: Column, profile: Profile) -> Column:
     """Money, percent (and number) mentions, then sentences with a price keyword."""
-    mentions = extract.entity_texts(extract.entities(c), profile.pricing_labels)
+    return pricing_from(extract.entities(c), sentences(c), profile)
+
+
+def pricing_from(ents: Column, sents: Column, profile: Profile) -> Column:
+    mentions = extract.entity_texts(ents, profile.pricing_labels)
     priced = F.filter(
-        sentences(c), lambda s: extract.contains_any(F.lower(s), profile.price)
+        sents, lambda s: extract.contains_any(F.lower(s), profile.price)
     )
     both = F.concat(mentions, priced)
     return both if profile.max_pricing is None else F.slice(both, 1, profile.max_pricing)

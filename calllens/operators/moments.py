@@ -14,6 +14,10 @@ from calllens.functions.tokens import sentences, tokens, words
 
 def moments_array(c: Column, profile: Profile) -> Column:
     """``array<struct<start, phrase, context, t, intensity>>`` of one transcript."""
+    return moments_from(words(c), profile)
+
+
+def moments_from(word_array: Column, profile: Profile) -> Column:
 
     def moment(ws: Column, toks: Column, span: Column) -> Column:
         lo, length = pt.window_bounds(
@@ -37,7 +41,7 @@ def moments_array(c: Column, profile: Profile) -> Column:
             ),
         )
 
-    return let(words(c), over)
+    return let(word_array, over)
 
 
 def interest_moments(
@@ -51,8 +55,12 @@ def interest_moments(
 
 def objections_array(c: Column, profile: Profile) -> Column:
     """The sentence of every objection match, once per match, in text order."""
+    return objections_from(sentences(c), profile)
+
+
+def objections_from(sents: Column, profile: Profile) -> Column:
     per_sentence = F.transform(
-        sentences(c),
+        sents,
         lambda s: let(
             tokens(s),
             lambda toks: F.transform(pt.spans(toks, profile.objection_patterns), lambda _: s),

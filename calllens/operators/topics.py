@@ -33,7 +33,11 @@ def top_k_per_call(df: DataFrame, keys: list[str], order: list[Column], k: int)
 def phrase_topics(c: Column, profile: Profile, k: int | None = None, min_chars: int = 3) -> Column:
     """Most frequent candidate phrases of one transcript,
     ``array<struct<name, n, relevance>>``; ties by name."""
-    k = k or profile.max_topics
+    phrases = candidate_phrases(c, profile.stop_words, profile.min_phrase_words, min_chars)
+    return topics_from(phrases, k or profile.max_topics)
+
+
+def topics_from(phrase_array: Column, k: int) -> Column:
 
     def ranked(phrases: Column) -> Column:
         by_count = F.sort_array(
@@ -50,7 +54,7 @@ def phrase_topics(c: Column, profile: Profile, k: int | None = None, min_chars:
             ),
         )
 
-    return let(candidate_phrases(c, profile.stop_words, profile.min_phrase_words, min_chars), ranked)
+    return let(phrase_array, ranked)
 
 
 def phrase_frequency(
