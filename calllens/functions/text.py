@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,11 +51,12 @@ def strip_prefix(path: Column, prefix: str = "analysis-results/") -> Column:
 
 
 def size_mb(size_bytes: Column) -> Column:
-    return (size_bytes / F.lit(1048576.0)).cast("decimal(10,2)")
+    """Megabytes in exact decimal arithmetic, rounded half up."""
+    return (size_bytes.cast("decimal(20,0)") / F.lit(Decimal("1048576.0"))).cast("decimal(10,2)")
 
 
 def minutes(seconds: Column) -> Column:
-    return (seconds / F.lit(60.0)).cast("decimal(10,2)")
+    return (seconds.cast("decimal(10,2)") / F.lit(Decimal("60.0"))).cast("decimal(10,2)")
 
 
 def sentiment_bucket(score: Column) -> Column:

@@ -1,0 +1,20 @@
+"""Named queries over the given tables, by operator family."""
+
+from importlib import import_module
+
+FAMILIES = (
+    "projections",
+    "filters",
+    "joins",
+    "aggregates",
+    "ordered",
+    "text",
+    "learning",
+    "streams",
+    "storage",
+)
+
+
+def load() -> None:
+    for family in FAMILIES:
+        import_module(f"catalog.{family}")
