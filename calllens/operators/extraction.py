@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calllens.config import Profile
@@ -10,6 +10,7 @@ from calllens.functions import extract
 from calllens.functions import patterns as pt
 from calllens.functions.arrays import first_distinct, let
 from calllens.functions.tokens import candidate_phrases, ngrams, sentences, tokens, words
+from calllens.lexicons import pattern_phrases
 from calllens.operators.topics import top_k_per_call
 
 PHRASE_LABELS = ("MONEY", "PERCENT")
@@ -131,17 +132,15 @@ def ngram_rows(
 ) -> DataFrame:
     """``(keys, pos, n, phrase)`` for every n-gram up to ``n_max``."""
 
-    def placed(toks: Column) -> Column:
-        return F.concat(
-            *[
-                F.transform(
-                    ngrams(toks, n),
-                    lambda g, i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("n"), g.alias("phrase")),
-                )
-                for n in range(1, n_max + 1)
-            ]
+    def sized(toks: Column, n: int) -> Column:
+        return F.transform(
+            ngrams(toks, n),
+            lambda g, i: F.struct(i.alias("pos"), F.lit(n).alias("n"), g.alias("phrase")),
         )
 
+    def placed(toks: Column) -> Column:
+        return F.concat(*[sized(toks, n) for n in range(1, n_max + 1)])
+
     return df.select(*keys, F.inline(let(tokens(F.col(text)), placed)))
 
 
@@ -154,6 +153,18 @@ def lexicon_join(tokens_df: DataFrame, lexicon: DataFrame, term: str = "term") -
     return tokens_df.join(lexicon, tokens_df["tok"] == lexicon[term]).drop(lexicon[term])
 
 
+def pattern_table(spark: SparkSession, patterns) -> DataFrame:
+    """Token patterns as rows ``(n, phrase)``, expanded once on the driver."""
+    return spark.createDataFrame(pattern_phrases(patterns), "n int, phrase string")
+
+
+def pattern_matches(
+    df: DataFrame, table: DataFrame, n_max: int, keys=("call_id",), text: str = "text"
+) -> DataFrame:
+    """Matches of a pattern table of any size ``(keys, pos, n, phrase)``."""
+    return ngram_rows(df, n_max, list(keys), text).join(table, ["n", "phrase"])
+
+
 def gazetteer_join(
     sents: DataFrame, names: DataFrame, n_max: int = 3, keys=("call_id", "idx"), sent: str = "sent"
 ) -> DataFrame:

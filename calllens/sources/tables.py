@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calllens import schemas
 from calllens.config import V31
 from calllens.functions.scoring import lead_class
 
 
+# Tables whose zone-less times are to be read as instants.
+DECLARED = {"events": schemas.EVENTS}
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A Parquet table; an absolute ``file:``/object-store root works alike."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(DECLARED[name]) if name in DECLARED else spark.read
+    return reader.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
 def read_jdbc(

@@ -17,10 +17,8 @@ def ingest_transcripts(
 ) -> DataFrame:
     """Each new transcript file once; the checkpoint remembers what was read."""
     files = (
-        spark.readStream.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", max_files)
-        .text(path)
+        spark.readStream.option("maxFilesPerTrigger", max_files)
+        .text(path, wholetext=True, recursiveFileLookup=True)
         .select(
             F.col("_metadata.file_path").alias("path"),
             base_name(F.col("_metadata.file_path")).alias("file_name"),

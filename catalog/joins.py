@@ -154,8 +154,8 @@ def _(spark, sf):
 @query("union_phrases", "call_id:long phrase:str rank:long", f"""WITH {sp.TRANSCRIPTS}, {sp.tok_rows('transcripts')},
 both_sources AS (SELECT call_id, 0 AS src, pos, tok AS phrase FROM tok WHERE length(tok) > 6
   UNION ALL SELECT call_id, 1, pos, tok FROM tok WHERE length(tok) <= 3),
-firsts AS (SELECT call_id, phrase, min(src * 10000000 + pos) AS at FROM both_sources GROUP BY call_id, phrase),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY at, phrase) AS rank FROM firsts) --final
+firsts AS (SELECT call_id, phrase, min(src * 10000000 + pos) AS place FROM both_sources GROUP BY call_id, phrase),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY place, phrase) AS rank FROM firsts) --final
 SELECT call_id, phrase, rank FROM ranked WHERE rank <= 20""")
 def _(spark, sf):
     toks = extraction.token_rows(tables.transcripts(spark, sf)).withColumnRenamed("tok", "phrase")

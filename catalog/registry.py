@@ -17,7 +17,9 @@ ORACLE: dict[str, str] = {}
 
 _SPARK = {
     "long": lambda c: F.col(c).cast("bigint"),
-    "d6": lambda c: F.round(F.col(c).cast("double"), 6),
+    # a mean of cents often ends exactly on half a unit of the last digit, where the
+    # order of summation decides the rounding: move both sides off that edge alike
+    "d6": lambda c: F.round(F.col(c).cast("double") + 1e-9, 6),
     "str": lambda c: F.col(c).cast("string"),
     "bool": lambda c: F.col(c).cast("boolean"),
     "list": lambda c: F.array_join(c, "|"),
@@ -25,7 +27,7 @@ _SPARK = {
 }
 _SQL = {
     "long": "CAST({c} AS BIGINT)",
-    "d6": "round(CAST({c} AS DOUBLE), 6)",
+    "d6": "round(CAST({c} AS DOUBLE) + 1e-9, 6)",
     "str": "CAST({c} AS VARCHAR)",
     "bool": "CAST({c} AS BOOLEAN)",
     "list": "array_to_string({c}, '|')",

@@ -1 +1,141 @@
-"""Pending."""
+"""Streaming operators; windows, sessions and job states in their batch form too."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from calllens import schemas
+from calllens.session import scratch_dir
+from calllens.sources import tables
+from calllens.streaming import events as ev
+from calllens.streaming import ingest, jobs
+from catalog import sqlparts as sp
+from catalog.filters import score_sql
+from catalog.projections import clean_sql
+from catalog.registry import query
+from catalog.views import PROBE_V31
+
+
+@query("metrics_tumbling", "window_start:ts component:str samples:long mean_value:d6 min_value:d6 max_value:d6",
+       f"""WITH {sp.METRICS} --final
+SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, component, count(*) AS samples, avg(value) AS mean_value,
+  min(value) AS min_value, max(value) AS max_value FROM metrics GROUP BY ALL""")
+def _(spark, sf):
+    return ev.metrics_tumbling(tables.metrics(spark, sf), "15 minutes")
+
+
+@query("rate_limit_breaches", "window_start:ts user_id:long requests:long", """WITH spread AS (
+  SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(unnest(range(0, 12))) AS window_start, ts FROM events) --final
+SELECT window_start, user_id, count(*) AS requests FROM spread WHERE ts < window_start + INTERVAL 12 HOUR GROUP BY window_start, user_id HAVING count(*) > 4""")
+def _(spark, sf):
+    return ev.rate_limit_breaches(tables.read_table(spark, sf, "events"), 4, "12 hours", "1 hour")
+
+
+@query("user_sessions", "user_id:long session_start:ts last_accessed_at:ts expires_at:ts events:long", """WITH
+flagged AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM flagged) --final
+SELECT user_id, min(ts) AS session_start, max(ts) AS last_accessed_at, max(ts) + INTERVAL 4 HOUR AS expires_at, count(*) AS events FROM numbered GROUP BY user_id, s""")
+def _(spark, sf):
+    return ev.user_sessions(tables.read_table(spark, sf, "events"), 4 * 3600)
+
+
+STATUS_SQL = """CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed'
+  WHEN 'error' THEN 'failed' ELSE 'reprocessing' END"""
+
+
+def changes(frame):
+    """Events as state changes of one job per user."""
+    status = (
+        F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "processing")
+        .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
+        .otherwise("reprocessing")
+    )
+    return frame.select(
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("change_id"), "ts", status.alias("status"),
+        F.get_json_object("props", "$.k").cast("int").alias("progress"),
+    )
+
+
+@query("job_states", "job_id:long status:str progress:long changed_at:ts changes:long", f"""WITH
+placed AS (SELECT user_id AS job_id, {STATUS_SQL} AS status, CAST(json_extract_string(props, '$.k') AS BIGINT) AS progress, ts AS changed_at,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS changes FROM events) --final
+SELECT * FROM placed WHERE r = 1""")
+def _(spark, sf):
+    return ev.job_states(changes(tables.read_table(spark, sf, "events")))
+
+
+def table_stream(spark, sf, name, schema):
+    """The files of one table as a stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def event_stream(spark, sf):
+    return table_stream(spark, sf, "events", schemas.EVENTS)
+
+
+def finish(running):
+    running.awaitTermination()
+    error = running.exception()
+    if error is not None:
+        raise error
+
+
+@query("stuck_jobs", "job_id:long status:str changed_at:ts")
+def _(spark, sf):
+    out = scratch_dir(spark, "stuck")
+    stream = jobs.stuck_jobs(changes(event_stream(spark, sf)), 3600)
+    finish(ingest.append_to(stream, out, f"{out}-state"))
+    return spark.read.schema(jobs.OUT).parquet(out)
+
+
+@query("ingest_stream", "file_name:str chars:long text_md5:str", """--final
+SELECT 'call-' || CAST(item_id AS VARCHAR) || '.txt' AS file_name, length(text) AS chars, md5(text) AS text_md5 FROM benchmark""")
+def _(spark, sf):
+    base = scratch_dir(spark, "arrivals")
+    # one text file per transcript, as an upload would leave them
+    items = tables.read_table(spark, sf, "benchmark").select(
+        F.concat(F.lit("call-"), F.col("item_id").cast("string")).alias("name"), F.col("text").alias("value")
+    )
+    items.write.partitionBy("name").option("lineSep", "\u0001").text(f"{base}/in")
+    arrivals = ingest.ingest_transcripts(spark, f"{base}/in", PROBE_V31)
+    finish(ingest.append_to(arrivals, f"{base}/out", f"{base}/state"))
+    read = spark.read.parquet(f"{base}/out")
+    body = F.regexp_replace("text", "\u0001$", "")
+    return read.select(
+        F.concat(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit(".txt")).alias("file_name"),
+        F.length(body).alias("chars"), F.md5(body).alias("text_md5"),
+    )
+
+
+@query("analyze_stream", "call_id:long word_count:long lead_score:d6",
+       f"""WITH {sp.TRANSCRIPTS}, tidy AS (SELECT call_id, {clean_sql('text', PROBE_V31)} AS text FROM transcripts) --final
+SELECT call_id, len({sp.words('text')}) AS word_count, {score_sql(PROBE_V31, 'lower(text)', f"len({sp.words('text')})")} AS lead_score FROM tidy""")
+def _(spark, sf):
+    out = scratch_dir(spark, "analysis")
+    docs = table_stream(spark, sf, "documents", "doc_id bigint, text string, source string")
+    arrivals = docs.select(F.col("doc_id").alias("call_id"), F.col("source").alias("path"), "text")
+    finish(ingest.append_to(ingest.analyze_stream(arrivals, PROBE_V31), out, f"{out}-state"))
+    return spark.read.parquet(out).select("call_id", "word_count", F.col("lead.score").alias("lead_score"))
+
+
+@query("dedupe_requests", "event_type:str first_ts:ts requests:long")
+def _(spark, sf):
+    out = scratch_dir(spark, "requests")
+    requests = event_stream(spark, sf).select("event_type", "ts", F.concat("event_type", F.col("user_id").cast("string")).alias("text"))
+    finish(ingest.append_to(ev.dedupe_requests(requests), out, f"{out}-state"))
+    return spark.read.parquet(out).groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("requests"))
+
+
+@query("running_performance_stream", "component:str files_processed:long average_duration:d6 success_rate:d6", """--final
+SELECT event_type AS component, count(*) AS files_processed, avg(value) FILTER (WHERE event_type <> 'error') AS average_duration,
+  avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS success_rate FROM events GROUP BY event_type""")
+def _(spark, sf):
+    out = scratch_dir(spark, "performance")
+    done = event_stream(spark, sf).select(
+        F.col("event_type").alias("component"), F.col("value").alias("duration"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+    )
+    finish(ingest.snapshots_to(ev.running_performance_stream(done), out, f"{out}-state"))
+    stored = spark.read.parquet(out)
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.where(F.col("batch") == last)
