@@ -77,7 +77,7 @@ class Profile:
 V31 = Profile(
     name="v3.1",
     artifacts=("[inaudible]", "[unclear]", "[music]", "[background noise]"),
-    speaker_tag=r"(?U)\b(Speaker \d+|SPEAKER_\d+|\w+:)",
+    speaker_tag=r"(?<![\p{L}\p{N}_])(?:Speaker \p{Nd}++|SPEAKER_\p{Nd}++|[\p{L}\p{N}_]++:)",
     squeeze=True,
     json_transcript_key=True,
     interest=lx.INTEREST_V31,
@@ -116,7 +116,7 @@ V31 = Profile(
 V30 = Profile(
     name="v3.0",
     artifacts=("[inaudible]", "[unclear]"),
-    speaker_tag=r"(?U)\b(Speaker \d+|SPEAKER_\d+):",
+    speaker_tag=r"(?<![\p{L}\p{N}_])(?:Speaker \p{Nd}++|SPEAKER_\p{Nd}++):",
     squeeze=False,
     json_transcript_key=False,
     interest=lx.INTEREST_V30,

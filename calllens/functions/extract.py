@@ -16,8 +16,13 @@ NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 MONEY = r"[$€£]\s?" + NUMBER
 PERCENT = NUMBER + r"\s?%"
 WORDLIKE = r"\p{N}*[\p{L}_][\p{L}\p{N}_']*"
-# one pass over the text; the leftmost alternative wins, words absorb their digits
-SCAN = "|".join([EMAIL, URL, MONEY, PERCENT, WORDLIKE, NUMBER])
+# One pass over the text; the leftmost alternative wins, words absorb their digits.
+# Possessive repeats ("++") only where the next character cannot belong to the run.
+SCAN = "|".join([
+    EMAIL.replace("]+@", "]++@"), URL, MONEY, PERCENT, r"\p{N}*+[\p{L}_][\p{L}\p{N}_']*+", NUMBER
+])
+# every entity holds one of these, and hardly any word does
+ENTITY_MARK = r"[\p{N}@$€£%:]|www\."
 
 
 def contains_any(text: Column, terms) -> Column:
@@ -54,28 +59,41 @@ def count_true(flags: list[Column]) -> Column:
 
 def entity_label(piece: Column) -> Column:
     """Label of one scanned piece, null for plain words."""
+    first = F.substring(piece, 1, 1)
     return (
-        F.when(piece.rlike(r"\A[$€£]"), "MONEY")
-        .when(piece.rlike(r"%\z") & piece.rlike(r"\A\p{N}"), "PERCENT")
-        .when(piece.rlike(r"\A" + EMAIL + r"\z"), "EMAIL")
-        .when(piece.rlike(r"\A(?:https?://|www\.)"), "URL")
+        F.when(first.isin("$", "€", "£"), "MONEY")
+        .when(F.endswith(piece, F.lit("%")) & first.rlike(r"\p{N}"), "PERCENT")
+        .when(is_email(piece), "EMAIL")
+        .when(is_url(piece), "URL")
         .when(piece.rlike(r"\A\p{N}[\p{N}.,]*\z"), "CARDINAL")
     )
 
 
+def is_email(piece: Column) -> Column:
+    return F.contains(piece, F.lit("@")) & piece.rlike(r"\A" + EMAIL + r"\z")
+
+
+def is_url(piece: Column) -> Column:
+    starts = [F.startswith(piece, F.lit(p)) for p in ("http://", "https://", "www.")]
+    return starts[0] | starts[1] | starts[2]
+
+
 def scan(c: Column) -> Column:
     """Words, numbers, money, links and addresses in text order."""
     return F.regexp_extract_all(c, F.lit(SCAN), F.lit(0))
 
 
 def entities(c: Column) -> Column:
-    """Pattern entities in text order, ``array<struct<label, text>>``."""
-    return entities_from(scan(c))
+    """Pattern entities in text order, ``array<struct<label, text>>``.
 
-
-def entities_from(pieces: Column) -> Column:
+    Blank-separated chunks without a mark cannot touch an entity; they are blanked
+    out first, so the long pattern runs over little text.
+    """
+    chunks = F.transform(
+        F.split(c, " "), lambda w: F.when(w.rlike(ENTITY_MARK), w).otherwise(F.lit("|"))
+    )
     scanned = F.transform(
-        pieces,
+        scan(F.array_join(chunks, " ")),
         lambda p: F.struct(entity_label(p).alias("label"), p.alias("text")),
     )
     return F.filter(scanned, lambda e: e["label"].isNotNull())
@@ -95,9 +113,8 @@ def technical_terms(c: Column, profile: Profile) -> Column:
 def technical_from(pieces: Column, profile: Profile) -> Column:
 
     def technical(p: Column) -> Column:
-        test = F.lower(p).isin(*profile.technical) | p.rlike(r"\A\p{Lu}{3,}\z")
-        if profile.technical_links:
-            test = test | p.rlike(r"\A(?:https?://|www\.)") | p.rlike(r"\A" + EMAIL + r"\z")
-        return test
+        capitals = (F.upper(p) == p) & p.rlike(r"\A\p{Lu}{3,}\z")
+        test = F.lower(p).isin(*profile.technical) | capitals
+        return test | is_url(p) | is_email(p) if profile.technical_links else test
 
     return F.sort_array(F.array_distinct(F.filter(pieces, technical)))

@@ -11,7 +11,8 @@ from calllens.config import Profile
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    # single blanks, by far the most, are left alone
+    return F.trim(F.regexp_replace(c, r" \s+|[\t\n\x0B\f\r]\s*", " "))
 
 
 def strip_artifacts(c: Column, artifacts) -> Column:

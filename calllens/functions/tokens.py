@@ -63,12 +63,10 @@ def candidate_phrases(c: Column, stop_words, min_words: int, min_chars: int) ->
 
     Stands in for noun chunks; ``min_chars`` is exclusive.
     """
-    pieces = F.regexp_extract_all(
-        F.lower(c), F.lit(WORD + r"|[^\p{L}\p{N}_'\s]"), F.lit(0)
-    )
+    # punctuation and stop words become "|", the runs lie between
+    spaced = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_'\s]+", " | ")
     marked = F.transform(
-        pieces,
-        lambda w: F.when(w.isin(*stop_words) | ~w.rlike(r"[\p{L}\p{N}_']"), F.lit("|")).otherwise(w),
+        F.split(spaced, r"\s+"), lambda w: F.when(w.isin(*stop_words), F.lit("|")).otherwise(w)
     )
     runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r))
     return F.filter(

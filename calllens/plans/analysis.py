@@ -47,7 +47,7 @@ def analyze_calls(
     arrays = split.select(
         "*",
         F.transform("_words", lambda w: F.lower(w)).alias("_toks"),
-        extract.entities_from(F.col("_pieces")).alias("_ents"),
+        extract.entities(text).alias("_ents"),
         conv.questions_from(F.col("_sents")).alias("_questions"),
         *[
             extract.matched(F.col("_lower"), getattr(profile, n), prefix=p).alias(f"_{n}")

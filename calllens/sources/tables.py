@@ -20,6 +20,16 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return reader.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores.
+
+    Text operators are bound by CPU, so a small single file would leave most cores
+    idle.  A large table has far more splits than cores and is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options
 ) -> DataFrame:
@@ -34,7 +44,7 @@ def read_jdbc(
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
     """One whole transcript per row: ``(call_id, path, file_name, size_bytes, uploader, lang, text)``."""
-    docs = read_table(spark, root, "documents")
+    docs = spread(read_table(spark, root, "documents"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("call_id"),
         F.concat(F.lit("transcripts/"), "source", F.lit("/call-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
@@ -48,7 +58,8 @@ def transcripts(spark: SparkSession, root: str) -> DataFrame:
 
 def turns(spark: SparkSession, root: str) -> DataFrame:
     """Diarised calls: ``(call_id, turn, speaker, text)``; system turns are not speech."""
-    conv = read_table(spark, root, "conversations").where(F.col("role") != "system")
+    conv = spread(read_table(spark, root, "conversations"), "conv_id", "turn")
+    conv = conv.where(F.col("role") != "system")
     return conv.select(
         F.col("conv_id").alias("call_id"),
         "turn",

@@ -156,7 +156,9 @@ def _(spark, sf):
     return found.groupBy("call_id", "phrase").agg(F.count(F.lit(1)).alias("matches"), F.min("pos").alias("first_pos"))
 
 
-SCAN_SQL = extract.SCAN.replace("'", "''")
+SCAN_SQL = "|".join(
+    [extract.EMAIL, extract.URL, extract.MONEY, extract.PERCENT, extract.WORDLIKE, extract.NUMBER]
+).replace("'", "''")
 EMAIL_SQL = extract.EMAIL.replace("'", "''")
 PIECES = f"""piece2 AS (SELECT call_id, unnest(p) AS e, unnest(range(len(p))) AS i FROM
   (SELECT call_id, regexp_extract_all(text, '{SCAN_SQL}') AS p FROM transcripts) AS x),
