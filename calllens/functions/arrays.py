@@ -52,6 +52,17 @@ def first_distinct(arr: Column, k: int | None) -> Column:
     return unique if k is None else F.slice(unique, 1, k)
 
 
+def rows_of(arr: Column, value: str, pos: str | None = None) -> Column:
+    """Generator with one row per element (and its position).
+
+    Unlike ``explode``, ``inline`` gets no inferred "array is not empty" filter,
+    which would compute an expensive array a second time below the generator.
+    """
+    if pos is None:
+        return F.inline(F.transform(arr, lambda x: F.struct(x.alias(value))))
+    return F.inline(F.transform(arr, lambda x, i: F.struct(i.alias(pos), x.alias(value))))
+
+
 def strings(values) -> Column:
     """A string array literal."""
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from calllens import lexicons as lx
 from calllens.config import Profile
 from calllens.functions import sentiment as sent
-from calllens.functions.arrays import let
+from calllens.functions.arrays import let, rows_of
 from calllens.functions.extract import contains_any, matched
 from calllens.functions.text import sentiment_bucket
 from calllens.functions.tokens import sentences, token_count, tokens, whitespace_words
@@ -108,7 +108,7 @@ def question_summary_turns(
         .groupBy(key)
         .agg(*[F.sum(n).alias(n) for n in names])
     )
-    each = staged.select(key, turn, F.posexplode("_q").alias("_i", "_text"))
+    each = staged.select(key, turn, rows_of(F.col("_q"), "_text", "_i"))
     order = W.partitionBy(key).orderBy(turn, "_i")
     samples = (
         each.withColumn("_r", F.row_number().over(order))
@@ -144,8 +144,11 @@ def engagement_timeline(
     df: DataFrame, profile: Profile, key: str = "call_id", text: str = "text"
 ) -> DataFrame:
     """One row per sentence ``(key, idx, t, v)``; the total comes from the array size."""
-    points = df.select(key, F.posexplode(timeline_array(sentences(F.col(text)), profile)).alias("idx", "_p"))
-    return points.select(key, "idx", "_p.t", "_p.v")
+    points = timeline_array(sentences(F.col(text)), profile)
+    numbered = F.transform(
+        points, lambda p, i: F.struct(i.alias("idx"), p["t"].alias("t"), p["v"].alias("v"))
+    )
+    return df.select(key, F.inline(numbered))
 
 
 def text_features(

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from calllens.config import Profile
 from calllens.functions import extract
 from calllens.functions import patterns as pt
-from calllens.functions.arrays import first_distinct, let
+from calllens.functions.arrays import first_distinct, let, rows_of
 from calllens.functions.tokens import candidate_phrases, ngrams, sentences, tokens, words
 from calllens.lexicons import pattern_phrases
 from calllens.operators.topics import top_k_per_call
+from calllens.session import small_table
 
 PHRASE_LABELS = ("MONEY", "PERCENT")
 
@@ -47,15 +48,16 @@ def key_phrases(
     df: DataFrame, profile: Profile, names=(), key: str = "call_id", text: str = "text"
 ) -> DataFrame:
     """One row per kept phrase ``(key, pos, phrase)``."""
-    return df.select(
-        key, F.posexplode(key_phrases_array(F.col(text), profile, names)).alias("pos", "phrase")
-    )
+    return df.select(key, rows_of(key_phrases_array(F.col(text), profile, names), "phrase", "pos"))
 
 
 def entity_rows(df: DataFrame, key: str = "call_id", text: str = "text") -> DataFrame:
     """Pattern entities ``(key, pos, label, text)``."""
-    found = df.select(key, F.posexplode(extract.entities(F.col(text))).alias("pos", "_e"))
-    return found.select(key, "pos", F.col("_e.label").alias("label"), F.col("_e.text").alias("entity"))
+    numbered = F.transform(
+        extract.entities(F.col(text)),
+        lambda e, i: F.struct(i.alias("pos"), e["label"].alias("label"), e["text"].alias("entity")),
+    )
+    return df.select(key, F.inline(numbered))
 
 
 def technical_terms(
@@ -107,9 +109,7 @@ def pricing_from(ents: Column, sents: Column, profile: Profile) -> Column:
 def pricing_mentions(
     df: DataFrame, profile: Profile, key: str = "call_id", text: str = "text"
 ) -> DataFrame:
-    return df.select(
-        key, F.posexplode(pricing_array(F.col(text), profile)).alias("pos", "mention")
-    )
+    return df.select(key, rows_of(pricing_array(F.col(text), profile), "mention", "pos"))
 
 
 # ---------------------------------------------------------------- table forms
@@ -117,14 +117,18 @@ def pricing_mentions(
 
 def token_rows(df: DataFrame, key: str = "call_id", text: str = "text") -> DataFrame:
     """``(key, pos, tok)``."""
-    return df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "tok"))
+    return df.select(key, rows_of(tokens(F.col(text)), "tok", "pos"))
 
 
 def sentence_rows(df: DataFrame, key: str = "call_id", text: str = "text") -> DataFrame:
     """``(key, idx, n, sent)``."""
-    return df.withColumn("_s", sentences(F.col(text))).select(
-        key, F.posexplode("_s").alias("idx", "sent"), F.size("_s").alias("n")
+    numbered = let(
+        sentences(F.col(text)),
+        lambda ss: F.transform(
+            ss, lambda s, i: F.struct(i.alias("idx"), s.alias("sent"), F.size(ss).alias("n"))
+        ),
     )
+    return df.select(key, F.inline(numbered))
 
 
 def ngram_rows(
@@ -155,7 +159,8 @@ def lexicon_join(tokens_df: DataFrame, lexicon: DataFrame, term: str = "term") -
 
 def pattern_table(spark: SparkSession, patterns) -> DataFrame:
     """Token patterns as rows ``(n, phrase)``, expanded once on the driver."""
-    return spark.createDataFrame(pattern_phrases(patterns), "n int, phrase string")
+    rows = small_table(spark, pattern_phrases(patterns), ["n", "phrase"])
+    return rows.withColumn("n", F.col("n").cast("int"))
 
 
 def pattern_matches(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from calllens.config import Profile
 from calllens.functions import patterns as pt
 from calllens.functions import sentiment as sent
-from calllens.functions.arrays import let
+from calllens.functions.arrays import let, rows_of
 from calllens.functions.tokens import sentences, tokens, words
 
 
@@ -49,8 +49,7 @@ def interest_moments(
 ) -> DataFrame:
     """One row per match.  Only matches are exploded, so the token arrays are
     never copied per token."""
-    found = df.select(key, F.explode(moments_array(F.col(text), profile)).alias("_m"))
-    return found.select(key, "_m.*")
+    return df.select(key, F.inline(moments_array(F.col(text), profile)))
 
 
 def objections_array(c: Column, profile: Profile) -> Column:
@@ -73,6 +72,4 @@ def objections(
     df: DataFrame, profile: Profile, key: str = "call_id", text: str = "text"
 ) -> DataFrame:
     """One row per objection match ``(key, idx, sentence)``."""
-    return df.select(
-        key, F.posexplode(objections_array(F.col(text), profile)).alias("idx", "sentence")
-    )
+    return df.select(key, rows_of(objections_array(F.col(text), profile), "sentence", "idx"))

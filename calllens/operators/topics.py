@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from calllens.config import Profile
 from calllens.functions import sentiment as sent
-from calllens.functions.arrays import let, run_lengths
+from calllens.functions.arrays import let, rows_of, run_lengths
 from calllens.functions.tokens import (
     candidate_phrases,
     ngrams_upto,
@@ -61,8 +61,7 @@ def phrase_frequency(
     df: DataFrame, profile: Profile, k: int | None = None, key: str = "call_id", text: str = "text"
 ) -> DataFrame:
     """Top phrases per transcript row, counted inside the row."""
-    topics = df.select(key, F.explode(phrase_topics(F.col(text), profile, k)).alias("_t"))
-    return topics.select(key, "_t.name", F.col("_t.n").cast("bigint").alias("n"), "_t.relevance")
+    return df.select(key, F.inline(phrase_topics(F.col(text), profile, k)))
 
 
 def phrase_frequency_turns(
@@ -71,26 +70,30 @@ def phrase_frequency_turns(
     """Top phrases per call given as turns: counts merge by (call, phrase)."""
     phrases = turns.select(
         key,
-        F.explode(
+        F.inline(
             run_lengths(candidate_phrases(F.col(text), profile.stop_words, profile.min_phrase_words, 3))
-        ).alias("_r"),
+        ),
     )
-    counts = phrases.groupBy(key, F.col("_r.term").alias("name")).agg(F.sum("_r.n").alias("n"))
-    totals = phrases.groupBy(key).agg(F.sum("_r.n").alias("_all"))
+    counts = phrases.groupBy(key, F.col("term").alias("name")).agg(F.sum("n").alias("n"))
+    totals = phrases.groupBy(key).agg(F.sum("n").alias("_all"))
     top = top_k_per_call(
         counts, [key], [F.col("n").desc(), F.col("name")], k or profile.max_topics
     ).drop("rank")
     return top.join(totals, key).select(key, "name", "n", (F.col("n") / F.col("_all")).alias("relevance"))
 
 
+def _terms(text: str, ngram_max: int, stop_words) -> Column:
+    kept = F.filter(
+        F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*stop_words)
+    )
+    return ngrams_upto(kept, ngram_max)
+
+
 def term_counts(
     df: DataFrame, ngram_max: int, stop_words, key: str = "call_id", text: str = "text"
 ) -> DataFrame:
     """``(key, term, n)`` of every transcript row, without a shuffle."""
-    kept = F.filter(
-        F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*stop_words)
-    )
-    return df.select(key, F.inline(run_lengths(ngrams_upto(kept, ngram_max))))
+    return df.select(key, F.inline(run_lengths(_terms(text, ngram_max, stop_words))))
 
 
 def vocabulary(
@@ -123,9 +126,15 @@ def tfidf(
     counts = term_counts(df, profile.ngram_max, profile.stop_words, key, text)
     vocab = vocabulary(counts, df, profile.max_features, min_df, profile.max_df)
     if profile.max_features is not None and profile.max_features <= BROADCAST_ROWS:
-        vocab = F.broadcast(vocab)
+        # all but the vocabulary is dropped before anything is counted
+        rows = df.select(key, rows_of(_terms(text, profile.ngram_max, profile.stop_words), "term"))
+        counts = rows.join(F.broadcast(vocab), "term").groupBy(key, "term", "df", "n_docs").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+    else:
+        counts = counts.join(vocab, "term")
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
-    weighted = counts.join(vocab, "term").select(key, "term", (F.col("n") * idf).alias("_w"))
+    weighted = counts.select(key, "term", (F.col("n") * idf).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
     scaled = weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))
     return top_k_per_call(
@@ -154,16 +163,16 @@ def topic_rows(
             ).alias("p"),
         ),
     )
-    rows = staged.select(key, F.size("_s").alias("_n"), F.explode(holding).alias("_h"))
-    hits = F.size("_h.p")
+    rows = staged.select(key, F.size("_s").alias("_n"), F.inline(holding))
+    hits = F.size("p")
     return rows.select(
         key,
-        F.col("_h.name").alias("name"),
-        F.col("_h.relevance").alias("relevance"),
-        F.array("_h.name").alias("keywords"),
+        "name",
+        "relevance",
+        F.array("name").alias("keywords"),
         (hits / F.col("_n")).alias("discussion_share"),
         F.coalesce(
-            F.try_divide(F.aggregate("_h.p", F.lit(0.0), lambda a, x: a + x), hits), F.lit(0.0)
+            F.try_divide(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), hits), F.lit(0.0)
         ).alias("topic_sentiment"),
     )
 

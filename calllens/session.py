@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on at scale.  Shuffle partition counts are left to
 # AQE: it starts high and coalesces, so the same job fits 8 cores or 8,000.
@@ -42,3 +43,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         _local_root = _local_root or tempfile.mkdtemp(prefix="calllens-")
         root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A driver-side list as a table whose size Catalyst knows, so that it decides by
+    its own threshold whether a join may broadcast it."""
+    values = list(zip(*rows)) or [()] * len(columns)
+    return spark.createDataFrame(pa.table({c: list(v) for c, v in zip(columns, values)}))

@@ -11,6 +11,7 @@ from calllens.lexicons import pattern_phrases
 from calllens.operators import extraction, moments, topics
 from calllens.operators import sentiment as senti
 from calllens.plans.analysis import analyze_calls, feature_view
+from calllens.session import small_table
 from calllens.sources import tables
 from catalog import sqlparts as sp
 from catalog.aggregates import N_WORDS, POLARITY_CASE
@@ -67,7 +68,7 @@ def _(spark, sf):
 @query("lexicon_sentiment_table", "call_id:long compound:d6 polarity:d6",
        f"WITH {sp.TRANSCRIPTS}, {SENTIMENT} --final\nSELECT * FROM senti")
 def _(spark, sf):
-    lexicon = spark.createDataFrame(list(PROBE_V31.polarity.items()), "term string, weight double")
+    lexicon = small_table(spark, list(PROBE_V31.polarity.items()), ["term", "weight"])
     return senti.lexicon_sentiment_table(tables.transcripts(spark, sf), lexicon, PROBE_V31)
 
 

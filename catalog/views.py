@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calllens import V30, V31
+from calllens.session import small_table
 from calllens.sources import tables
 
 PROBE = dict(
@@ -48,12 +49,12 @@ ORGS = tuple(n for n, label in NAMES if label == "ORG")
 
 
 def names_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NAMES, "name string, label string")
+    return small_table(spark, NAMES, ["name", "label"])
 
 
 def lexicon_table(spark: SparkSession) -> DataFrame:
     rows = [(t, c) for c in ("interest", "buying", "concern") for t in PROBE[c] if " " not in t]
-    return spark.createDataFrame(rows, "term string, category string")
+    return small_table(spark, rows, ["term", "category"])
 
 
 def asking(spark: SparkSession, sf: str) -> DataFrame:
