@@ -37,7 +37,7 @@ def processing_performance(jobs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def processing_percentiles(
-    jobs: DataFrame, by: str, points=(0.5, 0.95), width: float = 1.0
+    jobs: DataFrame, by: str, points=(0.5, 0.95), width: float = 0.1
 ) -> DataFrame:
     """Exact percentiles of the successes' duration."""
     done = jobs.where(F.col("status") == "completed")

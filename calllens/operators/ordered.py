@@ -76,13 +76,13 @@ def count_changes(
 
 
 def rank_by_value(
-    df: DataFrame, key: str, value: str, width: float = 1.0
+    df: DataFrame, key: str, value: str, width: float = 0.01
 ) -> DataFrame:
     """Rank rows within ``key`` by descending ``value`` without a window over the rows.
 
     Equal values are counted together first, so the ranked table holds each
     (key, value) once however many rows share it; the join back is split by AQE
-    where one value is hot.
+    where one value is hot.  ``width`` cuts the values into the buckets ranked apart.
     """
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(
@@ -102,7 +102,7 @@ def rank_by_value(
 
 
 def percentiles(
-    df: DataFrame, key: str, value: str, points: list[float], width: float = 1.0
+    df: DataFrame, key: str, value: str, points: list[float], width: float = 0.1
 ) -> DataFrame:
     """Exact discrete percentiles per key: the smallest value reaching each share."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,7 +78,8 @@ def phrase_frequency_turns(
         ),
     )
     counts = phrases.groupBy(key, F.col("term").alias("name")).agg(F.sum("n").alias("n"))
-    totals = phrases.groupBy(key).agg(F.sum("n").alias("_all"))
+    # from the counts, so the texts are read once and the exchange is reused
+    totals = counts.groupBy(key).agg(F.sum("n").alias("_all"))
     top = top_k_per_call(
         counts, [key], [F.col("n").desc(), F.col("name")], k or profile.max_topics
     ).drop("rank")
@@ -184,14 +188,19 @@ def fulltext_search(
     terms = [t for t in dict.fromkeys(query.lower().split()) if t not in stop_words]
     if not terms:
         raise ValueError("the query has no searchable term")
+    # a cheap substring test first; only texts that pass are cut into tokens
+    held = [F.contains(F.lower(text), F.lit(t)) for t in terms]
     toks = F.filter(tokens(F.col(text)), lambda t: t.isin(*terms))
-    hits = df.select(key, F.inline(run_lengths(toks)))
+
+    def hits(test: Column) -> DataFrame:
+        return df.where(test).select(key, F.inline(run_lengths(toks)))
+
     n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     # at most one row per query term
-    weights = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+    weights = hits(reduce(or_, held)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
-    scored = hits.join(F.broadcast(weights), "term").groupBy(key).agg(
+    scored = hits(reduce(and_, held)).join(F.broadcast(weights), "term").groupBy(key).agg(
         F.count(F.lit(1)).alias("_found"), F.sum(F.col("n") * F.col("idf")).alias("score")
     )
     found = scored.where(F.col("_found") == len(terms)).select(key, "score")

@@ -50,13 +50,13 @@ def user_sessions(
 
     Two passes keep a very active user from filling one task: events first merge
     into pieces per (user, time bucket), then the pieces of a user merge.  A user
-    has at most (time span / bucket) + (time span / gap) pieces, however many
-    events.
+    has at most one piece per bucket, since a bucket is shorter than the gap, however
+    many events.
     """
     gap = gap_seconds * 1_000_000
     micros = F.unix_micros(ts)
-    # buckets much longer than the gap keep pieces few, and still bound each task
-    bucket = F.floor(micros / F.lit(gap * 16))
+    # a quarter of the gap: fine enough to spread a busy user over many tasks
+    bucket = F.floor(micros / F.lit(gap // 4))
     rows = events.select(user, micros.alias("_t"), bucket.alias("_b"))
     inside = W.partitionBy(user, "_b").orderBy("_t")
     starts = (F.col("_t") - F.lag("_t").over(inside) > gap).cast("int")
