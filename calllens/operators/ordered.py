@@ -23,31 +23,37 @@ def running_totals(
     sums: dict[str, Column],
 ) -> DataFrame:
     """Add per row the inclusive running total of each measure, and ``<name>_all``
-    with the total of the whole key."""
-    rows = df.withColumn(BUCKET, bucket)
-    inside = (
-        W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    )
-    local = rows.select("*", *[F.sum(c).over(inside).alias(f"_in_{n}") for n, c in sums.items()])
+    with the total of the whole key.
 
-    totals = rows.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    What came before a bucket enters its window as one extra leading row, so no join
+    is needed and null keys are kept.
+    """
+    measured = df.select(
+        *df.columns, bucket.alias(BUCKET), *[c.alias(f"_m_{n}") for n, c in sums.items()]
+    )
+    totals = measured.groupBy(*keys, BUCKET).agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in sums])
     earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
-    carried = totals.select(
+    leading = totals.select(
         *keys,
         BUCKET,
-        *[F.sum(f"_t_{n}").over(earlier).alias(f"_pre_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in sums],
+        F.lit(0).alias("_row"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_m_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"_all_{n}") for n in sums],
+    )
+    both = measured.withColumn("_row", F.lit(1)).unionByName(leading, allowMissingColumns=True)
+    upto = (
+        W.partitionBy(*keys, BUCKET)
+        .orderBy("_row", *order)
+        .rowsBetween(W.unboundedPreceding, 0)
     )
-    joined = local.join(carried, [*keys, BUCKET])
-    return joined.select(
+    summed = both.select(
+        "_row",
         *df.columns,
-        *[
-            (F.coalesce(f"_pre_{n}", F.lit(0)) + F.coalesce(f"_in_{n}", F.lit(0))).alias(n)
-            for n in sums
-        ],
-        *[f"{n}_all" for n in sums],
+        *[F.sum(f"_m_{n}").over(upto).alias(n) for n in sums],
+        *[F.first(f"_all_{n}", ignorenulls=True).over(upto).alias(f"{n}_all") for n in sums],
     )
+    return summed.where(F.col("_row") == 1).drop("_row")
 
 
 def count_changes(
@@ -89,16 +95,18 @@ def rank_by_value(
         counts,
         [key],
         [F.col(value).desc()],
-        -F.floor(F.col(value) / F.lit(width)),
+        # missing values come last
+        F.coalesce(-F.floor(F.col(value) / F.lit(width)), F.lit((1 << 63) - 1)),
         {"_upto": F.col("_n")},
     )
     ranks = placed.select(
-        key,
-        value,
+        F.col(key).alias("_key"),
+        F.col(value).alias("_value"),
         (F.col("_upto") - F.col("_n") + 1).alias("rank"),
         F.col("_upto_all").alias("group_size"),
     )
-    return df.join(ranks, [key, value])
+    same = df[key].eqNullSafe(ranks["_key"]) & df[value].eqNullSafe(ranks["_value"])
+    return df.join(ranks, same).drop("_key", "_value")
 
 
 def percentiles(

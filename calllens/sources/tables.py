@@ -83,9 +83,9 @@ def analysis_results(spark: SparkSession, root: str) -> DataFrame:
         (F.col("value") * 1000).cast("bigint").alias("size_bytes"),
         F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
     )
-    return staged.withColumn("lead_class", lead_class(F.col("score"), V31)).withColumn(
-        "confidence", F.col("score") / 100
-    )
+    # never null, so that joins and filters on the class do not parse the JSON again
+    named = F.coalesce(lead_class(F.col("score"), V31), F.lit("Unknown"))
+    return staged.withColumn("lead_class", named).withColumn("confidence", F.col("score") / 100)
 
 
 def logs(spark: SparkSession, root: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from calllens.functions.arrays import rows_of
+from calllens.functions.tokens import tokens
 from calllens.operators import conversation as conv
 from calllens.operators import dashboard, relational, topics
 from calllens.operators.extraction import token_rows
+from calllens.operators.ordered import count_changes
 from calllens.sources import tables
 from catalog import sqlparts as sp
 from catalog.aggregates import N_WORDS, POLARITY_CASE
@@ -36,8 +39,6 @@ def _(spark, sf):
   lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) --final
 SELECT user_id, count(*) FILTER (WHERE prev IS NOT NULL AND prev <> event_type) AS changes FROM seen GROUP BY user_id""")
 def _(spark, sf):
-    from calllens.operators.ordered import count_changes
-
     events = tables.read_table(spark, sf, "events")
     return count_changes(events, ["user_id"], "ts", "event_type", F.date_trunc("day", "ts"), "changes")
 
@@ -77,9 +78,7 @@ firsts AS (SELECT call_id, tok, min(turn * 1000000 + pos) AS place FROM tok GROU
 placed AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY place) AS rank FROM firsts) --final
 SELECT call_id, tok, rank FROM placed WHERE rank <= 20""")
 def _(spark, sf):
-    from calllens.functions.tokens import tokens
-
-    rows = tables.turns(spark, sf).select("call_id", "turn", F.posexplode(tokens(F.col("text"))).alias("pos", "tok"))
+    rows = tables.turns(spark, sf).select("call_id", "turn", rows_of(tokens(F.col("text")), "tok", "pos"))
     firsts = rows.groupBy("call_id", "tok").agg(F.min(F.struct("turn", "pos")).alias("place"))
     return topics.top_k_per_call(firsts, ["call_id"], [F.col("place")], 20)
 

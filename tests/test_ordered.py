@@ -41,6 +41,16 @@ def test_running_totals(rows):
     same(got.select("event_id", "total", "total_all"), want, ["event_id"])
 
 
+def test_null_keys_and_values_are_kept(spark):
+    df = spark.createDataFrame(
+        [(1, "a", 5.0), (2, "a", None), (3, None, 2.0), (4, None, 2.0), (5, "a", 7.0)], "id int, k string, v double"
+    )
+    got = {r.id: (r.rank, r.group_size) for r in ordered.rank_by_value(df, "k", "v").collect()}
+    assert got == {5: (1, 3), 1: (2, 3), 2: (3, 3), 3: (1, 2), 4: (1, 2)}
+    totals = ordered.running_totals(df, ["k"], [F.col("id")], F.floor(F.col("id") / 2), {"n": F.lit(1)})
+    assert {r.id: (r.n, r.n_all) for r in totals.collect()} == {1: (1, 3), 2: (2, 3), 5: (3, 3), 3: (1, 2), 4: (2, 2)}
+
+
 @pytest.mark.parametrize("width", [1, 50, 10_000])
 def test_count_changes(rows, width):
     got = ordered.count_changes(rows, ["user_id"], "event_id", "kind", F.floor(F.col("event_id") / width), "changes")
