@@ -106,10 +106,11 @@ def pattern_values(patterns) -> str:
     return "(VALUES " + ", ".join(f"({n}, {sp.lit(p)})" for n, p in pattern_phrases(patterns)) + ") AS pt(n, phrase)"
 
 
-GRAMS3 = """gram AS (SELECT call_id, pos, 1 AS n, tok AS phrase FROM tok
-  UNION ALL SELECT a.call_id, a.pos, 2, a.tok || ' ' || b.tok FROM tok AS a JOIN tok AS b ON b.call_id = a.call_id AND b.pos = a.pos + 1
-  UNION ALL SELECT a.call_id, a.pos, 3, a.tok || ' ' || b.tok || ' ' || c.tok FROM tok AS a JOIN tok AS b ON b.call_id = a.call_id AND b.pos = a.pos + 1
-    JOIN tok AS c ON c.call_id = a.call_id AND c.pos = a.pos + 2)"""
+GRAMS3 = """ahead AS (SELECT call_id, pos, tok, lead(tok, 1) OVER w AS t2, lead(tok, 2) OVER w AS t3 FROM tok
+  WINDOW w AS (PARTITION BY call_id ORDER BY pos)),
+gram AS (SELECT call_id, pos, 1 AS n, tok AS phrase FROM ahead
+  UNION ALL SELECT call_id, pos, 2, tok || ' ' || t2 FROM ahead WHERE t2 IS NOT NULL
+  UNION ALL SELECT call_id, pos, 3, tok || ' ' || t2 || ' ' || t3 FROM ahead WHERE t3 IS NOT NULL)"""
 
 
 def _moments(name, profile):
