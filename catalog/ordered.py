@@ -52,7 +52,7 @@ def _(spark, sf):
 
 @query("running_performance",
        "call_id:long job_type:str files_processed:long average_duration:d6 success_rate:d6", f"""WITH {sp.CALLS} --final
-SELECT call_id, user_id % 3 AS g, job_type, count(*) OVER w AS files_processed,
+SELECT call_id, job_type, count(*) OVER w AS files_processed,
   avg(CASE WHEN status = 'completed' THEN duration END) OVER w AS average_duration,
   avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END) OVER w AS success_rate
 FROM calls WINDOW w AS (PARTITION BY lead_class ORDER BY uploaded_at, call_id)""")
