@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calllens.functions.text import (
-    emotions,
     file_name_problem,
     sentiment_bucket,
     strip_prefix,
@@ -181,8 +180,3 @@ def response_view(results: DataFrame) -> DataFrame:
         ).alias("leadScore"),
         F.struct(F.col("duration_minutes").alias("call_duration_minutes")).alias("metadata"),
     )
-
-
-def emotion_map(score: Column) -> Column:
-    shares = emotions(score)
-    return F.create_map(*[x for n, c in shares.items() for x in (F.lit(n), c)])

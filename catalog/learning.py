@@ -10,7 +10,6 @@ from calllens.operators import ml
 from calllens.operators.conversation import text_features
 from calllens.session import scratch_dir
 from calllens.sources import tables
-from catalog import sqlparts as sp
 from catalog.registry import query
 
 INPUTS = ("total_word_count", "unique_word_count", "sentence_count", "avg_sentence_length",

@@ -41,6 +41,22 @@ def test_running_totals(rows):
     same(got.select("event_id", "total", "total_all"), want, ["event_id"])
 
 
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """A third of the rows share a key; no window task may hold most of them."""
+    df = spark.range(90_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("at")
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        totals = ordered.running_totals(df, ["k"], [F.col("at")], F.floor(F.col("at") / 100), {"n": F.lit(1)})
+        # the running total is used, so the window stays in the plan
+        held = totals.where("n > 0").groupBy(F.spark_partition_id().alias("p")).count()
+        sizes = [r["count"] for r in held.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 90_000 and max(sizes) < 2 * 90_000 / 8
+
+
 def test_null_keys_and_values_are_kept(spark):
     df = spark.createDataFrame(
         [(1, "a", 5.0), (2, "a", None), (3, None, 2.0), (4, None, 2.0), (5, "a", 7.0)], "id int, k string, v double"
