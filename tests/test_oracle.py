@@ -19,7 +19,7 @@ def con(small):
     return check.connect(small)
 
 
-@pytest.mark.parametrize("name", [n for n in entry_module.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry_module.QUERIES if n not in SLOW])
 def test_query(spark, small, con, name):
     got = entry_module.queries()[name](spark, small).toPandas()
     assert not got.columns.duplicated().any()
