@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.llm import exact_dedup, warc
+from calllens.llm import exact_dedup, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: The tokenizer of the token-id queries and the id that ends a document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 BITS = "CAST(CAST(from_hex(sha1(body)) AS BIT) AS VARCHAR)"
 BASE32_SQL = (
     "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + "
@@ -58,3 +68,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.norm) AS
 )
 def _(spark, sf):
     return exact_dedup.exact_groups(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_token_ids")
+def _(spark, sf):
+    tokens = wavelet.token_table(table(spark, sf, "documents"), tokenizer_path(), end_id=END_ID)
+    return tokens.withColumnRenamed("id", "doc_id")
