@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.llm import decontam, exact_dedup, warc, wavelet
+from calllens.llm import decontam, exact_dedup, simhash, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,3 +102,11 @@ def _(spark, sf):
 def _(spark, sf):
     tokens = wavelet.token_table(table(spark, sf, "documents"), tokenizer_path(), end_id=END_ID)
     return tokens.withColumnRenamed("id", "doc_id")
+
+
+@query("op10_simhash")
+def _(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
