@@ -6,7 +6,10 @@ partition alone: a task that runs again after a lost executor writes the same fi
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +47,15 @@ def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
     )
+
+
+def remembered(key: Hashable, make: Callable):
+    """What ``make`` gives, kept for the later tasks of the same Python worker.
+
+    Functions travel by value and bring fresh globals to each task, so it is kept in a
+    module of the worker process.
+    """
+    held = sys.modules.setdefault("_calllens_worker", types.ModuleType("_calllens_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from calllens.llm.store import put, read_files, scratch, written
+from calllens.llm.store import put, read_files, remembered, scratch, written
 from calllens.llm.words import batch, id_and_text
 
 SUFFIX = ".wvm"
@@ -54,7 +54,7 @@ def split_levels(ids: np.ndarray, levels: int) -> Iterator[np.ndarray]:
     for level in range(levels):
         ones = (order & ids.dtype.type(1 << (levels - 1 - level))).astype(bool)
         yield ones
-        order = np.concatenate((order[~ones], order[ones]))
+        order = np.concatenate((np.compress(~ones, order), np.compress(ones, order)))
 
 
 def join_levels(planes: list[np.ndarray], dtype) -> np.ndarray:
@@ -63,11 +63,10 @@ def join_levels(planes: list[np.ndarray], dtype) -> np.ndarray:
     low = np.zeros(len(planes[0]), dtype)
     for level in reversed(range(levels)):
         ones = planes[level]
-        zeros = ~ones
-        split = int(np.count_nonzero(zeros))
+        zeros = np.flatnonzero(~ones)
         back = np.empty_like(low)
-        back[zeros] = low[:split]
-        back[ones] = low[split:] | dtype(1 << (levels - 1 - level))
+        back[zeros] = low[: len(zeros)]
+        back[np.flatnonzero(ones)] = low[len(zeros) :] | dtype(1 << (levels - 1 - level))
         low = back
     return low
 
@@ -219,13 +218,15 @@ class Encoder:
     words in order, and each new word is encoded once.  A comma or full stop behind an
     ASCII letter or digit is looked up apart.  A word of plain letters is one word to
     the tokenizer and goes straight to its merge model; any other goes through the
-    whole tokenizer.  The memory of words is emptied when it reaches ``most`` entries.
+    whole tokenizer.  Words are remembered in two halves: when the newer one reaches
+    ``most`` entries it becomes the older one, whose rare words are then forgotten.
     """
 
-    def __init__(self, path: str, end_id: int | None, most: int = 400_000):
+    def __init__(self, path: str, end_id: int | None, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.words, self.older = {}, {}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.end = b"" if end_id is None else self.dtype(end_id).tobytes()
         self.letters = byte_letters()
@@ -245,8 +246,11 @@ class Encoder:
         got = self.words.get(word)
         if got is None:
             if len(self.words) >= self.most:
-                self.words.clear()
-            got = self.words[word] = self.word(word)
+                self.words, self.older = {}, self.words
+            got = self.older.get(word)
+            if got is None:
+                got = self.word(word)
+            self.words[word] = got
         return got
 
     def text(self, data: bytes) -> np.ndarray:
@@ -286,7 +290,7 @@ def write_tokens(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = Encoder(tokenizer, end_id)
+        encoder = remembered(("tokens", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         held, names, lengths, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
