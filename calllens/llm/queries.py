@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.llm import decontam, exact_dedup, simhash, warc, wavelet
+from calllens.llm import decontam, exact_dedup, langid, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,24 @@ def _(spark, sf):
     return found.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op3_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        toxicity.is_held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "hits",
+    )
+
+
+@query("op9_language_id")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return langid.identify(docs, langid.train(docs)).select(
+        F.col("id").alias("doc_id"), langid.is_held_out(F.col("id")).alias("held_out"), "lang_pred", "score"
+    )
