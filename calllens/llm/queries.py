@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.llm import decontam, exact_dedup, langid, simhash, toxicity, warc, wavelet
+from calllens.llm import decontam, exact_dedup, langid, licenses, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,8 @@ def _(spark, sf):
     return langid.identify(docs, langid.train(docs)).select(
         F.col("id").alias("doc_id"), langid.is_held_out(F.col("id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op6_licenses")
+def _(spark, sf):
+    return licenses.digest(licenses.scan(table(spark, sf, "documents"))).withColumnRenamed("id", "doc_id")
