@@ -195,7 +195,7 @@ def turn(fps: np.ndarray, by: int) -> np.ndarray:
     return fps if not by else fps << np.uint64(by) | fps >> np.uint64(BITS - by)
 
 
-def near_links(distinct: DataFrame, limit: int = 3, range_size: int = 1 << 15, most_ranges: int = 4096) -> DataFrame:
+def near_links(distinct: DataFrame, limit: int = 3, range_size: int = 1 << 17, most_ranges: int = 1 << 16) -> DataFrame:
     """Edges ``(a, b)`` that connect every two fingerprints at most ``limit`` bits apart,
     directly or through others; ``distinct`` holds each fingerprint ``fp`` once.
 
