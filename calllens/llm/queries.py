@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.llm import decontam, exact_dedup, langid, licenses, simhash, toxicity, warc, wavelet
+from calllens.llm import decontam, exact_dedup, langid, licenses, mixing, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,9 @@ def _(spark, sf):
 @query("op6_licenses")
 def _(spark, sf):
     return licenses.digest(licenses.scan(table(spark, sf, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_mixing")
+def _(spark, sf):
+    rows, _ = mixing.mix(table(spark, sf, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
