@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.llm import decontam, exact_dedup, langid, licenses, mixing, simhash, toxicity, warc, wavelet
+from calllens.llm import decontam, exact_dedup, langid, licenses, line_dedup, mixing, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -142,3 +142,9 @@ def _(spark, sf):
 def _(spark, sf):
     rows, _ = mixing.mix(table(spark, sf, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op8_line_dedup")
+def _(spark, sf):
+    lines = line_dedup.line_classes(table(spark, sf, "documents"))
+    return line_dedup.per_document(lines).withColumnRenamed("id", "doc_id")
