@@ -245,7 +245,8 @@ def search_block(index: DataFrame, block: Phrases, slop: int | None) -> DataFram
     """Matches of one block of phrases in every segment."""
     spark = index.sparkSession
     terms = spark.createDataFrame(pa.table({"term": pa.array(block.terms(), pa.binary())}))
-    found = index.join(terms, "term", "left_semi")
+    # no more terms than a block has words; the stored index stays where it is
+    found = index.join(F.broadcast(terms), "term", "left_semi")
     # as many counts as the block has terms
     rarity = {bytes(r.term): r.n for r in found.groupBy("term").agg(F.sum("places").alias("n")).collect()}
     held = spark.sparkContext.broadcast((block.items, rarity))
