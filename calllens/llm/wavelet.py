@@ -14,6 +14,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,6 +202,8 @@ class WaveletFile:
 # Letters whose lower case is one letter, that no normalisation changes, and that the
 # tokenizer's word pattern takes together.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# Such letters before ASCII signs (no apostrophe, which may begin a contraction): two words to it.
+SIGNED = re.compile(PLAIN.pattern + "(?=[!-&(-/:-@\\[-`{-~]+$)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -211,55 +214,52 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts by an installed tokenizer that lowers case and drops blanks.
 
     No token spans white space, so the ids of a text are those of its blank-separated
-    words in order, and each new word is encoded once.  A comma or full stop behind an
-    ASCII letter or digit is looked up apart.  A word of plain letters is one word to
-    the tokenizer and goes straight to its merge model; any other goes through the
-    whole tokenizer.  Words are remembered in two halves: when the newer one reaches
-    ``most`` entries it becomes the older one, whose rare words are then forgotten.
+    words in order, and each new word is encoded once.  Signs behind plain letters are
+    looked up apart.  A word of plain letters is one word to the tokenizer and goes
+    straight to its merge model; any other goes through the whole tokenizer.  Words are
+    remembered in two halves: when the newer one (this dict) reaches ``most`` entries it
+    becomes the older one, whose rare words are then forgotten.  Both are small, as rare
+    words cost more in a large table than they save.
     """
 
-    def __init__(self, path: str, end_id: int | None, most: int = 300_000):
+    def __init__(self, path: str, end_id: int | None, most: int = 120_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words, self.older = {}, {}
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.dtype, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         self.end = b"" if end_id is None else self.dtype(end_id).tobytes()
-        self.letters = byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.word(word)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = got
+        return got
 
     def word(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1:] in (b".", b",") and word[-2:-1].isalnum():
-            return self.ids(word[:-1]) + self.ids(word[-1:])
+        if word.isalpha():  # ASCII letters, lowered before
+            return array(self.code, [t.id for t in self.model.tokenize(word.decode("ascii"))]).tobytes()
+        if word[-1:] in b".," and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text):
             lowered = text.lower().encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.tokenizer.model.tokenize(lowered)]
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(found, self.dtype).tobytes()
-
-    def ids(self, word: bytes) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= self.most:
-                self.words, self.older = {}, self.words
-            got = self.older.get(word)
-            if got is None:
-                got = self.word(word)
-            self.words[word] = got
-        return got
+            return array(self.code, [t.id for t in self.model.tokenize(lowered)]).tobytes()
+        if found := SIGNED.match(text):
+            letters = found[0].encode()
+            return self[letters] + self[word[len(letters) :]]
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def text(self, data: bytes) -> np.ndarray:
-        known, words = self.words, data.lower().split()
-        try:
-            joined = b"".join([known[w] for w in words])
-        except KeyError:
-            joined = b"".join([known.get(w) or self.ids(w) for w in words])
-        return np.frombuffer(joined + self.end, self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, data.lower().split())) + self.end, self.dtype)
 
 
 def write_tokens(
