@@ -17,13 +17,32 @@ def score(
     profile: Profile,
     sentiment: Column | None = None,
 ) -> Column:
-    """Score in [0, 100] from signal counts, length and an optional sentiment."""
+    """Score in [0, 100] from signal counts, length and an optional sentiment; null
+    where there was no text to count."""
     wi, wb, wc, ws = profile.weights
     length = F.least(F.lit(profile.length_cap), token_count / F.lit(profile.tokens_per_point))
     raw = F.lit(50.0) + interest * wi + buying * wb + concern * wc + length
     if sentiment is not None:
         raw = raw + F.coalesce(sentiment, F.lit(0.0)) * ws
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
+    # greatest and least pass over nulls, so a missing count would count as the cap
+    return F.when(raw.isNotNull() & token_count.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
+
+
+# What a call without a text is given.
+NO_TEXT_SCORE, NO_TEXT_CLASS, NO_TEXT_CONFIDENCE = 50.0, "Warm", 0.5
+
+
+def score_or_neutral(value: Column) -> Column:
+    return F.coalesce(value, F.lit(NO_TEXT_SCORE))
+
+
+def class_or_neutral(value: Column, profile: Profile) -> Column:
+    """Class of a score that is null where there was no text."""
+    return F.coalesce(lead_class(value, profile), F.lit(NO_TEXT_CLASS))
+
+
+def confidence_or_neutral(value: Column, profile: Profile) -> Column:
+    return F.when(value.isNotNull(), profile.lead_confidence).otherwise(NO_TEXT_CONFIDENCE)
 
 
 def lead_class(value: Column, profile: Profile) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from calllens.config import Profile
+from calllens.functions.tokens import BLANK
 
 
 def collapse_whitespace(c: Column) -> Column:
-    # single blanks, by far the most, are left alone
-    return F.trim(F.regexp_replace(c, r" \s+|[\t\n\x0B\f\r]\s*", " "))
+    """Every run of blanks as one space, none at the ends; blanks of all scripts count."""
+    # single spaces, by far the most, are left alone
+    return F.trim(F.regexp_replace(c, f" {BLANK}+|(?! ){BLANK}+", " "))
 
 
 def strip_artifacts(c: Column, artifacts) -> Column:
@@ -69,20 +71,26 @@ def sentiment_bucket(score: Column) -> Column:
 
 
 def emotions(score: Column) -> dict[str, Column]:
-    """Positive, negative and neutral shares of one score in [-1, 1]."""
+    """Positive, negative and neutral shares of one score in [-1, 1]; null without one."""
+    known = score.isNotNull()
     return {
-        "positive": F.greatest(F.lit(0.0), score),
-        "negative": F.greatest(F.lit(0.0), -score),
+        "positive": F.when(known, F.greatest(F.lit(0.0), score)),
+        "negative": F.when(known, F.greatest(F.lit(0.0), -score)),
         "neutral": F.lit(1.0) - F.abs(score),
     }
 
 
+def clamp(value: Column, low: float, high: float) -> Column:
+    """The value held between two bounds; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+
+
 def file_name_problem(name: Column) -> Column:
     """Reason code for a file name that must not be looked up, null when it is fine."""
     return (
         F.when(name.isNull() | (F.trim(F.regexp_replace(name, r"\s", " ")) == ""), "empty")
         .when(F.contains(name, F.lit("..")) | F.startswith(name, F.lit("/")), "path_traversal")
-        .when(~name.rlike(r"\A[a-zA-Z0-9._/-]+\n?\z"), "invalid_characters")
+        .when(~name.rlike(r"\A[a-zA-Z0-9._/-]+\z"), "invalid_characters")
         # a path made of "." parts only collapses to the bare prefix folder
         .when(name.rlike(r"\A(\./*)+\z"), "outside_prefix")
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from calllens.functions.arrays import let
 
 WORD = r"[\p{L}\p{N}_']+"
+# Fixed value: the characters that Unicode calls white space, and four ASCII separators.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SENTENCE_END = r"([.!?]+)(\s+|$)"
 BREAK = "\u0001"
 
@@ -21,12 +25,17 @@ def tokens(c: Column) -> Column:
     return words(F.lower(c))
 
 
+def tokens_of(text: str) -> list[str]:
+    """The same tokens of a name or search term held on the driver."""
+    return re.findall(r"[\w']+", text.lower())
+
+
 def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("bigint")
 
 
 def whitespace_words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, BLANK + "+"), lambda w: w != "")
 
 
 def sentences(c: Column) -> Column:

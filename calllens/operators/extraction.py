@@ -9,7 +9,7 @@ from calllens.config import Profile
 from calllens.functions import extract
 from calllens.functions import patterns as pt
 from calllens.functions.arrays import first_distinct, let, rows_of
-from calllens.functions.tokens import candidate_phrases, ngrams, sentences, tokens, words
+from calllens.functions.tokens import candidate_phrases, ngrams, sentences, tokens, tokens_of, words
 from calllens.lexicons import pattern_phrases
 from calllens.operators.topics import top_k_per_call
 from calllens.session import small_table
@@ -17,9 +17,14 @@ from calllens.session import small_table
 PHRASE_LABELS = ("MONEY", "PERCENT")
 
 
+def name_patterns(names) -> list[tuple]:
+    """Names as token patterns, cut into tokens as texts are; a name without any is left out."""
+    return [tuple((w,) for w in toks) for toks in map(tokens_of, names) if toks]
+
+
 def _names(toks: Column, names) -> Column:
     """Texts of the listed names found in a bound token array, in order."""
-    found = pt.spans(toks, [tuple((w,) for w in n.lower().split()) for n in names])
+    found = pt.spans(toks, name_patterns(names))
     return F.transform(found, lambda s: pt.span_text(toks, s["start"], s["n"]))
 
 
@@ -83,7 +88,7 @@ def competitors_from(sents: Column, profile: Profile, names) -> Column:
                 lambda ws: let(
                     F.transform(ws, lambda w: F.lower(w)),
                     lambda toks: F.transform(
-                        pt.spans(toks, [tuple((w,) for w in n.lower().split()) for n in names]),
+                        pt.spans(toks, name_patterns(names)),
                         lambda m: pt.span_text(ws, m["start"], m["n"]),
                     ),
                 ),
@@ -164,28 +169,45 @@ def pattern_table(spark: SparkSession, patterns) -> DataFrame:
 
 
 def pattern_matches(
-    df: DataFrame, table: DataFrame, n_max: int, keys=("call_id",), text: str = "text"
+    df: DataFrame, table: DataFrame, keys=("call_id",), text: str = "text"
 ) -> DataFrame:
-    """Matches of a pattern table of any size ``(keys, pos, n, phrase)``."""
+    """Matches of a pattern table of any size ``(keys, pos, n, phrase)``; patterns may
+    be of any length."""
+    n_max = table.agg(F.max("n")).first()[0] or 1
     return ngram_rows(df, n_max, list(keys), text).join(table, ["n", "phrase"])
 
 
 def gazetteer_join(
-    sents: DataFrame, names: DataFrame, n_max: int = 3, keys=("call_id", "idx"), sent: str = "sent"
+    sents: DataFrame, names: DataFrame, keys=("call_id", "idx"), sent: str = "sent"
 ) -> DataFrame:
-    """``(keys, pos, n, phrase, label)`` of names found in sentences, by equality on
-    n-grams; ``names`` is ``(name, label)`` with lower-case names of any number."""
-    grams = ngram_rows(sents, n_max, list(keys), sent)
-    return grams.join(names, grams["phrase"] == names["name"]).drop("name")
+    """``(keys, pos, n, phrase, label)`` of names found in sentences.
 
+    ``names`` is ``(name, label)`` with names of any number and length, cut into tokens
+    as texts are; a name without any is left out.  One row per token, with the tokens
+    that follow it as far as the longest name reaches, meets the names that begin with it.
+    """
+    named = names.select("label", tokens(F.col("name")).alias("_t")).where(F.size("_t") > 0)
+    named = named.select(
+        "label", F.array_join("_t", " ").alias("phrase"), F.size("_t").alias("n"), F.get("_t", F.lit(0)).alias("_first")
+    )
+    longest = named.agg(F.max("n")).first()[0] or 1
+    ahead = let(
+        tokens(F.col(sent)),
+        lambda toks: F.transform(
+            toks, lambda t, i: F.struct(i.alias("pos"), t.alias("_first"), F.slice(toks, i + 1, longest).alias("_ahead"))
+        ),
+    )
+    found = sents.select(*keys, F.inline(ahead)).join(named, "_first")
+    return found.where(F.array_join(F.slice("_ahead", F.lit(1), F.col("n")), " ") == F.col("phrase")).select(
+        *keys, "pos", "n", "phrase", "label"
+    )
 
-def competitor_mentions(
-    sents: DataFrame, names: DataFrame, profile: Profile, n_max: int = 3
-) -> DataFrame:
+
+def competitor_mentions(sents: DataFrame, names: DataFrame, profile: Profile) -> DataFrame:
     """Organisations named in a sentence with a competitor indicator.  Sentences are
     filtered before their n-grams are built."""
     near = sents.where(extract.contains_any(F.lower("sent"), profile.competitor))
-    return gazetteer_join(near, names.where(F.col("label") == "ORG"), n_max).select(
+    return gazetteer_join(near, names.where(F.col("label") == "ORG")).select(
         "call_id", "idx", "pos", F.col("phrase").alias("competitor")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calllens.functions.text import (
+    clamp,
     file_name_problem,
     sentiment_bucket,
     strip_prefix,
@@ -166,7 +167,7 @@ def json_contains(df: DataFrame, array_col: str, *values: str) -> DataFrame:
 
 def response_view(results: DataFrame) -> DataFrame:
     """The public detail shape: camel-case names, nested lead score and metadata."""
-    clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sentiment")))
+    clamped = clamp(F.col("sentiment"), -1.0, 1.0)
     return results.select(
         F.col("file_name").alias("fileName"),
         F.col("text").alias("transcript"),

@@ -50,25 +50,24 @@ def lead_score(
         for name, flags in _flag_columns(F.col("_lower"), profile, match).items()
     }
     counted = staged.select(*df.columns, "_tokens", *[c.alias(f"n_{n}") for n, c in counts.items()])
-    return _scored(counted, df.columns, profile, sentiment_col, has_text=F.col(text).isNotNull())
+    return _scored(counted, df.columns, profile, sentiment_col)
 
 
-def _scored(counted, keep, profile, sentiment_col, has_text: Column) -> DataFrame:
+def _scored(counted, keep, profile, sentiment_col) -> DataFrame:
     value = scoring.score(
         F.col("n_interest"), F.col("n_buying"), F.col("n_concern"), F.col("_tokens"), profile,
         F.col(sentiment_col) if sentiment_col else None,
     )
-    scored = counted.withColumn("lead_score", F.when(has_text, value).otherwise(50.0))
+    scored = counted.withColumn("_value", value)
+    shown = scoring.score_or_neutral(F.col("_value"))
     return scored.select(
         *keep,
         F.coalesce("_tokens", F.lit(0)).alias("token_count"),
         *[F.coalesce(f"n_{n}", F.lit(0)).alias(f"n_{n}") for n in LISTS],
-        "lead_score",
-        F.when(has_text, scoring.lead_class(F.col("lead_score"), profile))
-        .otherwise("Warm")
-        .alias("lead_class"),
-        F.when(has_text, profile.lead_confidence).otherwise(0.5).alias("lead_confidence"),
-        (F.col("lead_score") / 100).alias("conversion_probability"),
+        shown.alias("lead_score"),
+        scoring.class_or_neutral(F.col("_value"), profile).alias("lead_class"),
+        scoring.confidence_or_neutral(F.col("_value"), profile).alias("lead_confidence"),
+        (shown / 100).alias("conversion_probability"),
     )
 
 
@@ -121,7 +120,7 @@ def lead_score_turns(
         F.when(F.col("_we"), "Collaborative").otherwise("Individual").alias("decision_style"),
     )
     keep = [key, *[f"{n}_signals" for n in LISTS], "personality", "decision_style"]
-    return _scored(counted, keep, profile, None, has_text=F.col("_tokens").isNotNull())
+    return _scored(counted, keep, profile, None)
 
 
 def insight_labels(df: DataFrame, profile: Profile, text: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from calllens.functions.tokens import (
     ngrams_upto,
     sentences,
     tokens,
+    tokens_of,
 )
 
 # A vocabulary or term list up to this many rows is broadcast; a larger one is
@@ -184,8 +185,11 @@ def topic_rows(
 def fulltext_search(
     df: DataFrame, query: str, k: int, stop_words, key: str = "call_id", text: str = "text"
 ) -> DataFrame:
-    """Transcripts holding every query term, ranked by the sum of tf x idf."""
-    terms = [t for t in dict.fromkeys(query.lower().split()) if t not in stop_words]
+    """Transcripts holding every query term, ranked by the sum of tf x idf.
+
+    The query is cut into tokens as the texts are, so "follow-up?" asks for two terms.
+    """
+    terms = [t for t in dict.fromkeys(tokens_of(query)) if t not in stop_words]
     if not terms:
         raise ValueError("the query has no searchable term")
     # a cheap substring test first; only texts that pass are cut into tokens

@@ -65,12 +65,12 @@ def analyze_calls(
     scored = values.withColumn(
         "_sentiment", mixed if profile.enable_sentiment else F.lit(0.0)
     ).withColumn(
-        "_score",
+        "_value",
         scoring.score(
             F.size("_interest"), F.size("_buying"), F.size("_concern"), F.col("_n"), profile,
             F.col("_sentiment") if sentiment_in_score else None,
         ),
-    )
+    ).withColumn("_score", scoring.score_or_neutral(F.col("_value")))
     shares = emotions(F.col("_sentiment")) if profile.enable_emotions else {}
     emotion_map = (
         F.create_map(*[x for n, c in shares.items() for x in (F.lit(n), c)])
@@ -112,9 +112,9 @@ def analyze_calls(
             ),
         ).alias("moments"),
         F.struct(
-            scoring.lead_class(F.col("_score"), profile).alias("class"),
+            scoring.class_or_neutral(F.col("_value"), profile).alias("class"),
             F.col("_score").alias("score"),
-            F.lit(profile.lead_confidence).alias("confidence"),
+            scoring.confidence_or_neutral(F.col("_value"), profile).alias("confidence"),
             F.col("_interest").alias("interest"),
             F.col("_buying").alias("buying"),
             F.col("_concern").alias("concerns"),

@@ -34,12 +34,15 @@ _local_root: str | None = None
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only when that setting is absent (tests, laptops) is a local temporary
-    folder used instead.
+    Where that setting is absent, a temporary folder of this machine is used if the
+    session is local; on a cluster that is an error, as executors would not share it.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _local_root = _local_root or tempfile.mkdtemp(prefix="calllens-")
         root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calllens import schemas
 from calllens.config import V31
 from calllens.functions.scoring import lead_class
+from calllens.functions.text import clamp
 
 
 # Tables whose zone-less times are to be read as instants.
@@ -20,16 +21,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return reader.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table that comes in fewer splits than there are cores.
-
-    Text operators are bound by CPU, so a small single file would leave most cores
-    idle.  A large table has far more splits than cores and is read as it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def read_jdbc(
     spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options
 ) -> DataFrame:
@@ -44,7 +35,7 @@ def read_jdbc(
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
     """One whole transcript per row: ``(call_id, path, file_name, size_bytes, uploader, lang, text)``."""
-    docs = spread(read_table(spark, root, "documents"), "doc_id")
+    docs = read_table(spark, root, "documents")
     return docs.select(
         F.col("doc_id").alias("call_id"),
         F.concat(F.lit("transcripts/"), "source", F.lit("/call-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
@@ -58,7 +49,7 @@ def transcripts(spark: SparkSession, root: str) -> DataFrame:
 
 def turns(spark: SparkSession, root: str) -> DataFrame:
     """Diarised calls: ``(call_id, turn, speaker, text)``; system turns are not speech."""
-    conv = spread(read_table(spark, root, "conversations"), "conv_id", "turn")
+    conv = read_table(spark, root, "conversations")
     conv = conv.where(F.col("role") != "system")
     return conv.select(
         F.col("conv_id").alias("call_id"),
@@ -78,7 +69,7 @@ def analysis_results(spark: SparkSession, root: str) -> DataFrame:
         F.col("user_id"),
         F.col("event_type").alias("job_type"),
         F.get_json_object("props", "$.k").cast("double").alias("score"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50) / F.lit(50.0))).alias("sentiment"),
+        clamp((F.col("value") - 50) / F.lit(50.0), -1.0, 1.0).alias("sentiment"),
         F.col("value").alias("duration"),
         (F.col("value") * 1000).cast("bigint").alias("size_bytes"),
         F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),

@@ -6,9 +6,14 @@ effect on a batch frame).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 WATERMARK = "10 minutes"
 
@@ -48,22 +53,17 @@ def user_sessions(
 ) -> DataFrame:
     """Activity sessions of a batch: a pause longer than the gap starts a new one.
 
-    Two passes keep a very active user from filling one task: events first merge
-    into pieces per (user, time bucket), then the pieces of a user merge.  A user
-    has at most one piece per bucket, since a bucket is shorter than the gap, however
-    many events.
+    Two passes keep a very active user from filling one task: tasks reduce events to
+    one piece per (user, time bucket) before the shuffle, then the pieces of a user
+    merge.  A bucket is shorter than the gap, so no pause can lie inside one.
     """
     gap = gap_seconds * 1_000_000
     micros = F.unix_micros(ts)
-    # a quarter of the gap: fine enough to spread a busy user over many tasks
+    # a quarter of the gap: fine enough to deal a busy user to many tasks
     bucket = F.floor(micros / F.lit(gap // 4))
-    rows = events.select(user, micros.alias("_t"), bucket.alias("_b"))
-    inside = W.partitionBy(user, "_b").orderBy("_t")
-    starts = (F.col("_t") - F.lag("_t").over(inside) > gap).cast("int")
     pieces = (
-        rows.withColumn("_new", F.coalesce(starts, F.lit(0)))
-        .withColumn("_p", F.sum("_new").over(inside.rangeBetween(W.unboundedPreceding, 0)))
-        .groupBy(user, "_b", "_p")
+        events.select(user, micros.alias("_t"), bucket.alias("_b"))
+        .groupBy(user, "_b")
         .agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     )
     along = W.partitionBy(user).orderBy("_lo")
@@ -102,12 +102,40 @@ def user_sessions_stream(
     )
 
 
-def dedupe_requests(requests: DataFrame, ttl: str = "300 seconds", text: str = "text") -> DataFrame:
-    """First request of each text within the lifetime; keyed on the md5 of the whole text."""
-    return (
-        requests.withColumn("text_md5", F.md5(text))
-        .withWatermark("ts", ttl)
-        .dropDuplicatesWithinWatermark(["text_md5"])
+def dedupe_requests(requests: DataFrame, ttl_seconds: int = 300, text: str = "text", ts: str = "ts") -> DataFrame:
+    """Requests that no cached answer serves, with ``text_md5`` in place of the text.
+
+    An answer is cached when its request is let through and lives ``ttl_seconds``; a
+    request of the same text within that time is dropped, the next one is let through
+    and cached anew.  State is one time per text, kept for its lifetime.  The result does
+    not depend on how rows fall into batches as long as they come in order of time; a
+    row older than the last cached answer of its text is dropped.
+    """
+    ttl = ttl_seconds * 1_000_000
+    keyed = requests.withWatermark(ts, f"{ttl_seconds} seconds").select(
+        *[c for c in requests.columns if c != text], F.md5(text).alias("text_md5"), F.unix_micros(ts).alias("_t")
+    )
+    schema = StructType([f for f in keyed.schema if f.name != "_t"])
+
+    def through(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
+        free_at = state.get[0] if state.exists else None
+        kept = []
+        for t in rows["_t"].tolist():
+            kept.append(free_at is None or t >= free_at)
+            if kept[-1]:
+                free_at = t + ttl
+        state.update((free_at,))
+        state.setTimeoutTimestamp(max(free_at // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[kept, schema.names]
+
+    return keyed.groupBy("text_md5").applyInPandasWithState(
+        through, schema, "free_at long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -43,8 +43,11 @@ def ingest_audio(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
 
 
 def analyze_stream(arrivals: DataFrame, profile: Profile) -> DataFrame:
-    """Analysis of arriving transcripts: the batch plan is narrow, so it streams as is."""
-    keyed = arrivals if "call_id" in arrivals.columns else arrivals.withColumn("call_id", F.xxhash64("path"))
+    """Analysis of arriving transcripts: the batch plan is narrow, so it streams as is.
+
+    A call without an id is keyed by its path.
+    """
+    keyed = arrivals if "call_id" in arrivals.columns else arrivals.withColumn("call_id", F.col("path"))
     return analyze_calls(keyed, profile)
 
 

@@ -129,7 +129,7 @@ gram AS (SELECT call_id, idx, sent, pos, 1 AS n, tok AS phrase FROM single
 SELECT call_id, idx, pos, n, phrase, label FROM gram JOIN {NAMES_SQL} ON gram.phrase = g.name""")
 def _(spark, sf):
     sents = extraction.sentence_rows(tables.transcripts(spark, sf))
-    return extraction.gazetteer_join(sents, names_table(spark), n_max=2)
+    return extraction.gazetteer_join(sents, names_table(spark))
 
 
 @query("competitor_mentions", "call_id:long idx:long pos:long competitor:str",
@@ -138,7 +138,7 @@ SELECT call_id, idx, pos, phrase AS competitor FROM gram JOIN {NAMES_SQL} ON gra
 WHERE label = 'ORG' AND {sp.any_like('lower(sent)', PROBE_V31.competitor)}""")
 def _(spark, sf):
     sents = extraction.sentence_rows(tables.transcripts(spark, sf))
-    return extraction.competitor_mentions(sents, names_table(spark), PROBE_V31, n_max=2)
+    return extraction.competitor_mentions(sents, names_table(spark), PROBE_V31)
 
 
 # set operations -------------------------------------------------------------

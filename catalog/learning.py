@@ -126,18 +126,18 @@ def _(spark, sf):
 @query("gradient_boosting", PREDICTED)
 def _(spark, sf):
     split = ml.stratified_split(training(spark, sf), "lead_class", "call_id")
-    model = ml.train_lead_model(split.where(~F.col("is_test")), "lead_class", INPUTS, "gradient_boosting", rounds=10)
+    model = ml.train_lead_model(split.where(~F.col("is_test")), "lead_class", INPUTS, "gradient_boosting")
     return ml.predict(model, split.where("is_test"), keep=("call_id", "lead_class"))
 
 
 @query("cross_validate", "fold:long accuracy:d6 cv_mean:d6 cv_std:d6")
 def _(spark, sf):
-    return ml.cross_validate(training(spark, sf), "lead_class", "call_id", INPUTS, trees=20)
+    return ml.cross_validate(training(spark, sf), "lead_class", "call_id", INPUTS)
 
 
 @query("feature_importance", "feature:str importance:d6")
 def _(spark, sf):
-    model = ml.train_lead_model(training(spark, sf), "lead_class", INPUTS, trees=20)
+    model = ml.train_lead_model(training(spark, sf), "lead_class", INPUTS)
     return ml.feature_importance(model, spark)
 
 
@@ -145,7 +145,7 @@ def _(spark, sf):
 def _(spark, sf):
     data = training(spark, sf)
     root = scratch_dir(spark, "models")
-    ml.save_model(ml.train_lead_model(data, "lead_class", INPUTS, trees=20), root, "v1", spark, {"trees": 20})
+    ml.save_model(ml.train_lead_model(data, "lead_class", INPUTS), root, "v1", spark, {"trees": 20})
     model, metadata = ml.load_model(root, "v1", spark)
     version = metadata.select("version").first()[0]
     return ml.predict(model, data, version, keep=("call_id", "lead_class"))

@@ -80,7 +80,10 @@ def finish(running):
         raise error
 
 
-@query("stuck_jobs", "job_id:long status:str changed_at:ts")
+@query("stuck_jobs", "job_id:long status:str changed_at:ts", f"""WITH
+placed AS (SELECT user_id AS job_id, {STATUS_SQL} AS status, ts AS changed_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) --final
+SELECT job_id, status, changed_at FROM placed WHERE r = 1 AND status IN ('pending', 'processing', 'reprocessing')
+  AND changed_at + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def _(spark, sf):
     out = scratch_dir(spark, "stuck")
     stream = jobs.stuck_jobs(changes(event_stream(spark, sf)), 3600)
@@ -118,7 +121,10 @@ def _(spark, sf):
     return spark.read.parquet(out).select("call_id", "word_count", F.col("lead.score").alias("lead_score"))
 
 
-@query("dedupe_requests", "event_type:str first_ts:ts requests:long")
+@query("dedupe_requests", "event_type:str first_ts:ts requests:long", """WITH RECURSIVE r AS (SELECT event_type, event_type || CAST(user_id AS VARCHAR) AS text, ts FROM events),
+let_in AS (SELECT event_type, text, min(ts) AS ts FROM r GROUP BY event_type, text
+  UNION ALL SELECT k.event_type, k.text, min(r.ts) FROM let_in AS k JOIN r ON r.text = k.text AND r.ts >= k.ts + INTERVAL 300 SECOND GROUP BY k.event_type, k.text, k.ts) --final
+SELECT event_type, min(ts) AS first_ts, count(*) AS requests FROM let_in GROUP BY event_type""")
 def _(spark, sf):
     out = scratch_dir(spark, "requests")
     requests = event_stream(spark, sf).select("event_type", "ts", F.concat("event_type", F.col("user_id").cast("string")).alias("text"))
