@@ -319,7 +319,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = numbered.join(roots, numbered.number == roots.node, "left").select(
         "hash", "links", F.coalesce("root", "number").alias("root")
     )
-    places = occurrences(docs, id_col, text_col)
+    places = written(occurrences(docs, id_col, text_col), "line-places")
     # one row per distinct line; tasks reduce a common line to one row before the shuffle
     firsts = places.where("hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("id", "line_no")).alias("first"))
     firsts = firsts.join(known, "hash", "left")
