@@ -222,37 +222,36 @@ class Encoder(dict):
     looked up apart.  A word of plain letters is one word to the tokenizer and goes
     straight to its merge model; any other goes through the whole tokenizer.  Words are
     remembered in two halves: when the newer one (this dict) reaches ``most`` entries it
-    becomes the older one, whose rare words are then forgotten.  Both are small, as rare
-    words cost more in a large table than they save.
+    becomes the older one, whose rare words are then forgotten.
     """
 
-    def __init__(self, path: str, end_id: int | None, most: int = 120_000):
+    def __init__(self, path: str, end_id: int | None, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.letters = byte_letters()
         self.dtype, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         self.end = b"" if end_id is None else self.dtype(end_id).tobytes()
+        merge, code = self.tokenizer.model.tokenize, self.code
+        self.plain = lambda letters: array(code, [t.id for t in merge(letters)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.older.get(word)
         if got is None:
-            got = self.word(word)
+            # ASCII letters, lowered before, are the most common case
+            got = self.plain(word.decode("ascii")) if word.isalpha() else self.other(word)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = got
         return got
 
-    def word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters, lowered before
-            return array(self.code, [t.id for t in self.model.tokenize(word.decode("ascii"))]).tobytes()
+    def other(self, word: bytes) -> bytes:
         if word[-1:] in b".," and word[:-1].isalpha():
             return self[word[:-1]] + self[word[-1:]]
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text):
-            lowered = text.lower().encode().decode("latin-1").translate(self.letters)
-            return array(self.code, [t.id for t in self.model.tokenize(lowered)]).tobytes()
+            return self.plain(text.lower().encode().decode("latin-1").translate(self.letters))
         if found := SIGNED.match(text):
             letters = found[0].encode()
             return self[letters] + self[word[len(letters) :]]
