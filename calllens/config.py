@@ -74,6 +74,7 @@ class Profile:
     enable_emotions: bool = True
 
 
+# The constants, weights and output strings of the two rule generations.
 V31 = Profile(
     name="v3.1",
     artifacts=("[inaudible]", "[unclear]", "[music]", "[background noise]"),

@@ -18,7 +18,7 @@ from calllens.functions.arrays import let, rows_of
 from calllens.functions.extract import contains_any
 from calllens.functions.text import sentiment_bucket
 from calllens.functions.tokens import sentences, token_count, tokens, whitespace_words
-from calllens.operators.ordered import count_changes
+from calllens.operators.ordered import count_changes, running_totals
 
 
 def word_counts(sents: Column) -> Column:
@@ -261,27 +261,32 @@ def response_time_avg(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
 
 def sentiment_progression(
     turns: DataFrame, profile: Profile, key: str = "call_id", turn: str = "turn",
-    text: str = "text", window: int = 3,
+    text: str = "text", window: int = 3, bucket_turns: int = 4096,
 ) -> DataFrame:
-    """Polarity per turn and its moving mean over the last ``window`` turn numbers.
+    """Polarity per turn and its moving mean over the last ``window`` turns.
 
-    Each turn sends its value to the turns it contributes to, and the mean is a
-    plain aggregate keyed by (call, turn): no task ever holds a whole call.
+    A turn without a text counts as neutral.  Turns are numbered along the call by
+    buckets, then each sends its value to the turns it contributes to, and the mean is
+    a plain aggregate keyed by (call, number): no task ever holds a whole call.
     """
-    valued = turns.select(
-        key, turn, sent.mean_valence(tokens(F.col(text)), profile.polarity).alias("_v")
+    valence = F.coalesce(sent.mean_valence(tokens(F.col(text)), profile.polarity), F.lit(0.0))
+    valued = running_totals(
+        turns.select(key, turn, valence.alias("_v")), [key], [F.col(turn)],
+        F.floor(F.col(turn) / F.lit(bucket_turns)), {"_number": F.lit(1).cast("bigint")},
     )
     offsets = F.array(*[F.lit(i) for i in range(window)])
     spread = valued.select(
-        key, F.col(turn), F.col("_v"), F.explode(offsets).alias("_o")
+        key, F.col(turn), F.col("_number"), F.col("_v"), F.explode(offsets).alias("_o")
     ).select(
         key,
-        (F.col(turn) + F.col("_o")).alias(turn),
+        (F.col("_number") + F.col("_o")).alias("_number"),
         F.col("_v"),
         F.when(F.col("_o") == 0, F.col("_v")).alias("_own"),
+        F.when(F.col("_o") == 0, F.col(turn)).alias(turn),
     )
     return (
-        spread.groupBy(key, turn)
-        .agg(F.max("_own").alias("sentiment"), F.avg("_v").alias("moving_sentiment"))
+        spread.groupBy(key, "_number")
+        .agg(F.max(turn).alias(turn), F.max("_own").alias("sentiment"), F.avg("_v").alias("moving_sentiment"))
         .where(F.col("sentiment").isNotNull())
+        .drop("_number")
     )

@@ -37,11 +37,11 @@ def processing_performance(jobs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def processing_percentiles(
-    jobs: DataFrame, by: str, points=(0.5, 0.95), width: float = 0.1
+    jobs: DataFrame, by: str, points=(0.5, 0.95)
 ) -> DataFrame:
     """Exact percentiles of the successes' duration."""
     done = jobs.where(F.col("status") == "completed")
-    return percentiles(done, by, "duration", list(points), width)
+    return percentiles(done, by, "duration", list(points))
 
 
 def processing_percentiles_approx(jobs: DataFrame, by: str, points=(0.5, 0.95)) -> DataFrame:
@@ -111,11 +111,26 @@ def running_performance(
 
 
 def rank_leads(
-    calls: DataFrame, key: str = "call_id", lead_class: str = "lead_class", score: str = "score"
+    calls: DataFrame, key: str = "call_id", lead_class: str = "lead_class", score: str = "score",
+    key_bucket: Column | None = None,
 ) -> DataFrame:
-    """Rank, percent rank and quartile of each lead within its class."""
-    ranked = rank_by_value(calls.select(key, lead_class, score), lead_class, score)
+    """Rank, percent rank and quartile of each lead within its class.
+
+    Quartiles are of equal size as ``ntile`` makes them, leads of equal score in the
+    order of ``key``.  ``key_bucket``, by default for numbers, must not fall as the key
+    rises; it deals leads of one score to many tasks.
+    """
+    bucket = F.floor(F.col(key) / 4096) if key_bucket is None else key_bucket
+    tied = running_totals(
+        calls.select(key, lead_class, score), [lead_class, score], [F.col(key)], bucket, {"_tie": F.lit(1).cast("bigint")}
+    )
+    ranked = rank_by_value(tied, lead_class, score)
     before = F.col("rank") - 1
+    # the first n % 4 quartiles hold one lead more
+    place, size, more = before + F.col("_tie") - 1, F.floor(F.col("group_size") / 4), F.col("group_size") % 4
+    quartile = F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(
+        more + F.floor(F.try_divide(place - more * (size + 1), size))
+    )
     return ranked.select(
         key,
         lead_class,
@@ -124,5 +139,5 @@ def rank_leads(
         F.when(F.col("group_size") > 1, before / (F.col("group_size") - 1))
         .otherwise(0.0)
         .alias("percent_rank"),
-        (F.floor(before * 4 / F.col("group_size")) + 1).alias("quartile"),
+        (quartile + 1).alias("quartile"),
     )

@@ -133,17 +133,21 @@ def _probabilities(columns: list[str]) -> Column:
 
 
 def predict(model: PipelineModel, df: DataFrame, version: str = "v1", keep=()) -> DataFrame:
-    """Class, confidence, class-to-probability map and model version of every row."""
+    """Class, confidence, class-to-probability map, weights of the features and model
+    version of every row; a model without named features gives no weights."""
     # the label index is for training only
     stages = [s for s in model.stages if not s.__class__.__name__.startswith("StringIndexer")]
     scored = PipelineModel(stages).transform(df)
     names = F.array(*[F.lit(c) for c in class_names(model)])
     staged = scored.withColumn("_p", _probabilities(scored.columns))
+    pairs = [x for name, weight in feature_weights(model) for x in (F.lit(name), F.lit(weight))]
+    contributions = F.create_map(*pairs).cast("map<string,double>")
     return staged.select(
         *keep,
         F.col("predicted_class").alias("classification"),
         F.array_max("_p").alias("confidence"),
         F.map_from_arrays(names, F.col("_p")).alias("class_probabilities"),
+        contributions.alias("feature_contributions"),
         F.lit(version).alias("model_version"),
     )
 
@@ -234,17 +238,22 @@ def cross_validate(
     )
 
 
-def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
+def feature_weights(model: PipelineModel) -> list[tuple[str, float]]:
     """Name and importance of each feature; boosted classes are averaged."""
-    names = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
-    fitted = model.stages[-2]
+    assembler = next((s for s in model.stages if isinstance(s, VectorAssembler)), None)
+    if assembler is None:
+        return []
+    names, fitted = assembler.getInputCols(), model.stages[-2]
     if hasattr(fitted, "featureImportances"):
         weights = fitted.featureImportances.toArray()
     else:
         per_class = [m.featureImportances.toArray() for m in fitted.models]
         weights = reduce(lambda a, b: a + b, per_class) / len(per_class)
-    rows = [(n, float(w)) for n, w in zip(names, weights)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return [(n, float(w)) for n, w in zip(names, weights)]
+
+
+def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(feature_weights(model), "feature string, importance double")
 
 
 def train_text_classifier(

@@ -81,14 +81,21 @@ def count_changes(
     )
 
 
-def rank_by_value(
-    df: DataFrame, key: str, value: str, width: float = 0.01
-) -> DataFrame:
+def quantile_bucket(df: DataFrame, value: str, buckets: int = 128) -> Column:
+    """Number of sampled quantiles at or below the value: about equally many rows in
+    each bucket, whatever the range of the values."""
+    points = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(df.approxQuantile(value, points, 0.2 / buckets)))
+    held = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(held, lambda cut: cut <= F.col(value))).cast("bigint")
+
+
+def rank_by_value(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rank rows within ``key`` by descending ``value`` without a window over the rows.
 
     Equal values are counted together first, so the ranked table holds each
     (key, value) once however many rows share it; the join back is split by AQE
-    where one value is hot.  ``width`` cuts the values into the buckets ranked apart.
+    where one value is hot.  The values are ranked apart in buckets between quantiles.
     """
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(
@@ -96,7 +103,7 @@ def rank_by_value(
         [key],
         [F.col(value).desc()],
         # missing values come last
-        F.coalesce(-F.floor(F.col(value) / F.lit(width)), F.lit((1 << 63) - 1)),
+        F.when(F.col(value).isNotNull(), -quantile_bucket(counts, value)).otherwise((1 << 63) - 1),
         {"_upto": F.col("_n")},
     )
     ranks = placed.select(
@@ -110,14 +117,14 @@ def rank_by_value(
 
 
 def percentiles(
-    df: DataFrame, key: str, value: str, points: list[float], width: float = 0.1
+    df: DataFrame, key: str, value: str, points: list[float]
 ) -> DataFrame:
     """Exact discrete percentiles per key: the smallest value reaching each share."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(
         F.count(F.lit(1)).alias("_n")
     )
     placed = running_totals(
-        counts, [key], [F.col(value)], F.floor(F.col(value) / F.lit(width)),
+        counts, [key], [F.col(value)], quantile_bucket(counts, value),
         {"_upto": F.col("_n")},
     )
 

@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calllens.functions.text import collapse_whitespace
+
 # The allowed members of each enumerated column.
 LEAD_CLASSES = ("Hot", "Warm", "Cold", "Unqualified", "Unknown")
 STATUSES = ("pending", "processing", "completed", "failed", "reprocessing")
 SENTIMENTS = ("Positive", "Neutral", "Negative", "Mixed")
 
 
+def result_rules() -> dict[str, Column]:
+    """The value ranges that stored call results must keep."""
+    return {
+        "lead_class": one_of("lead_class", LEAD_CLASSES),
+        "status": one_of("status", STATUSES),
+        "confidence": between("confidence", 0, 1),
+        "sentiment": between("sentiment", -1, 1),
+        "score": between("score", 0, 100),
+        "file_name": not_null("file_name"),
+    }
+
+
 def between(column: str, low: float, high: float) -> Column:
     return F.col(column).between(low, high)
 
@@ -38,15 +52,14 @@ def violation_rows(checked: DataFrame, key: str) -> DataFrame:
 
 def reject_reason(text: Column, min_length: int = 1, json: Column | None = None) -> Column:
     """Why a row cannot be analysed, null when it can."""
-    stripped = F.trim(F.regexp_replace(text, r"\s+", " "))
+    stripped = collapse_whitespace(text)
     reason = (
         F.when(text.isNull(), "missing")
         .when(F.length(stripped) == 0, "blank")
         .when(F.length(text) < min_length, "too_short")
     )
     if json is not None:
-        parsed = F.get_json_object(json, "$")
-        reason = reason.when(json.isNotNull() & parsed.isNull(), "bad_json")
+        reason = reason.when(json.isNotNull() & F.try_parse_json(json).isNull(), "bad_json")
     return reason
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from calllens.config import Profile
 from calllens.functions import sentiment as sent
-from calllens.functions.arrays import let, rows_of, run_lengths
+from calllens.functions.arrays import let, run_lengths
 from calllens.functions.tokens import (
     candidate_phrases,
     ngrams_upto,
@@ -20,10 +20,6 @@ from calllens.functions.tokens import (
     tokens_of,
 )
 
-# A vocabulary or term list up to this many rows is broadcast; a larger one is
-# joined by shuffle.
-BROADCAST_ROWS = 100_000
-
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -130,14 +126,9 @@ def tfidf(
     """
     counts = term_counts(df, profile.ngram_max, profile.stop_words, key, text)
     vocab = vocabulary(counts, df, profile.max_features, min_df, profile.max_df)
-    if profile.max_features is not None and profile.max_features <= BROADCAST_ROWS:
-        # all but the vocabulary is dropped before anything is counted
-        rows = df.select(key, rows_of(_terms(text, profile.ngram_max, profile.stop_words), "term"))
-        counts = rows.join(F.broadcast(vocab), "term").groupBy(key, "term", "df", "n_docs").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-    else:
-        counts = counts.join(vocab, "term")
+    # counted in the row, so one exchange by call serves both windows; Catalyst broadcasts
+    # the vocabulary while its size is under the threshold
+    counts = counts.join(vocab, "term")
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     weighted = counts.select(key, "term", (F.col("n") * idf).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))

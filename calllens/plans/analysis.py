@@ -58,8 +58,9 @@ def analyze_calls(
         "*",
         let(F.col("_toks"), lambda t: sent.compound(t, profile)).alias("_compound"),
         sent.mean_valence(F.col("_toks"), profile.polarity).alias("_polarity"),
-        F.size("_toks").alias("_n"),
-        *[c.alias(f"_flow_{n}") for n, c in conv.flow_measures(F.col("_sents")).items()],
+        # a call without a text has no words and no sentences
+        F.coalesce(F.size("_toks"), F.lit(0)).alias("_n"),
+        *[F.coalesce(c, F.lit(0)).alias(f"_flow_{n}") for n, c in conv.flow_measures(F.col("_sents")).items()],
     )
     mixed = sent.ensemble(F.col("_compound"), F.col("_polarity"), F.col("_model"), profile)
     scored = values.withColumn(
@@ -67,7 +68,7 @@ def analyze_calls(
     ).withColumn(
         "_value",
         scoring.score(
-            F.size("_interest"), F.size("_buying"), F.size("_concern"), F.col("_n"), profile,
+            F.size("_interest"), F.size("_buying"), F.size("_concern"), F.when(text.isNotNull(), F.col("_n")), profile,
             F.col("_sentiment") if sentiment_in_score else None,
         ),
     ).withColumn("_score", scoring.score_or_neutral(F.col("_value")))

@@ -20,7 +20,7 @@ EVENTS = (
 
 # The stored result document of one call.
 ANALYSIS = (
-    "call_id bigint, file_name string, processing_id string, text string, word_count bigint, "
+    "call_id string, file_name string, processing_id string, text string, word_count bigint, "
     "duration_minutes double, "
     "sentiment struct<score: double, confidence: double, emotions: map<string, double>>, "
     "topics array<struct<name: string, relevance: double>>, "

@@ -8,20 +8,35 @@ from pyspark.sql import functions as F
 from calllens import schemas
 from calllens.config import Profile
 from calllens.functions.text import base_name
+from calllens.operators.quality import reject_reason
 
 AUDIO = r"\.(mp3|wav|flac|m4a)$"
 
 
 def transcript_text(path: Column, raw: Column, profile: Profile) -> Column:
-    """Text of one file: the transcript inside a ``.json`` file, else the body."""
+    """Text of one file: the transcript inside a ``.json`` file, else the body.  A
+    ``.json`` file that does not parse has no text; ``bad_json`` tells it apart."""
     choices = [F.get_json_object(raw, "$.results.transcripts[0].transcript")]
     if profile.json_transcript_key:
         choices.append(F.get_json_object(raw, "$.transcript"))
-    return F.when(F.endswith(path, F.lit(".json")), F.coalesce(*choices, raw)).otherwise(raw)
+    found = F.when(~bad_json(path, raw), F.coalesce(*choices, raw))
+    return F.when(F.endswith(path, F.lit(".json")), found).otherwise(raw)
+
+
+def bad_json(path: Column, raw: Column) -> Column:
+    return F.endswith(path, F.lit(".json")) & raw.isNotNull() & F.try_parse_json(raw).isNull()
 
 
 def with_transcript(files: DataFrame, profile: Profile) -> DataFrame:
-    return files.withColumn("text", transcript_text(F.col("path"), F.col("raw"), profile))
+    """Add ``text`` and ``problem``, which is null for a file that can be analysed."""
+    text = transcript_text(F.col("path"), F.col("raw"), profile)
+    reason = F.when(bad_json(F.col("path"), F.col("raw")), "bad_json").otherwise(reject_reason(F.col("text")))
+    return files.withColumn("text", text).withColumn("problem", reason)
+
+
+def accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows without a problem, rows with one)``."""
+    return rows.where("problem IS NULL").drop("problem"), rows.where("problem IS NOT NULL")
 
 
 def read_transcripts(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
@@ -40,11 +55,22 @@ def read_transcripts(spark: SparkSession, path: str, profile: Profile) -> DataFr
     return with_transcript(files, profile)
 
 
-def read_results(spark: SparkSession, path: str, schema: str = schemas.ANALYSIS) -> DataFrame:
-    """Result documents with the size and time of their files."""
-    docs = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+def read_results(
+    spark: SparkSession, path: str, schema: str = schemas.ANALYSIS, indented: bool = False
+) -> DataFrame:
+    """Result documents with the size and time of their files.
+
+    Files hold a document per line, or with ``indented`` one document each over many
+    lines.  ``problem`` is null for a document that parsed and ``malformed`` else.
+    """
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
+    docs = reader.option("recursiveFileLookup", True).option("multiLine", indented).json(path)
+    # Spark refuses to read the corrupt record alone, so a second column, whose test never
+    # holds, is read with it
+    never = F.length(F.col(docs.columns[0]).cast("string")) < 0
     return docs.select(
-        "*",
+        *[c for c in docs.columns if c != "_corrupt"],
+        F.when(F.col("_corrupt").isNotNull() | never, "malformed").alias("problem"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_size").alias("size_bytes"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
@@ -52,11 +78,13 @@ def read_results(spark: SparkSession, path: str, schema: str = schemas.ANALYSIS)
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition: str | None = None) -> None:
-    """Store results once, under day partitions where there is an upload date.
+    """Store results once, in folders by the ``partition`` column if one is named.
 
-    Rows are spread by that column first only if asked to by ``partition``; the
-    writer sorts within tasks, so no task holds a whole day.
+    Rows are then dealt by that column first, so that a folder gets few files; AQE splits
+    a large folder over tasks and joins small ones.
     """
+    if partition:
+        df = df.hint("rebalance", partition)
     writer = df.write.mode("errorifexists").format(fmt)
     if partition:
         writer = writer.partitionBy(partition)

@@ -148,16 +148,26 @@ def class_sql(profile, value: str) -> str:
     return f"CASE {whens} ELSE '{profile.floor_class}' END"
 
 
+SOME_TEXT_SQL = "CASE WHEN call_id % 37 <> 5 THEN text END"
+
+
+def some_text(calls):
+    """Calls of which some have no text."""
+    return calls.withColumn("text", F.when(F.col("call_id") % 37 != 5, F.col("text")))
+
+
 def _lead(name, profile):
     counts = ", ".join(f"{sp.hits('low', getattr(profile, n))} AS n_{n}" for n in ("interest", "buying", "concern"))
     sql = f"""WITH {sp.TRANSCRIPTS},
-staged AS (SELECT call_id, lower(text) AS low, len({sp.words('text')}) AS token_count FROM transcripts),
-scored AS (SELECT *, {counts}, {score_sql(profile, 'low', 'token_count')} AS lead_score FROM staged) --final
-SELECT *, {class_sql(profile, 'lead_score')} AS lead_class, 0.8 AS lead_confidence FROM scored"""
+staged AS (SELECT call_id, lower({SOME_TEXT_SQL}) AS low, len({sp.words(SOME_TEXT_SQL)}) AS n FROM transcripts),
+scored AS (SELECT *, {counts}, {score_sql(profile, 'low', 'n')} AS s FROM staged) --final
+SELECT call_id, coalesce(n, 0) AS token_count, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in ("interest", "buying", "concern"))},
+  CASE WHEN low IS NULL THEN 50 ELSE s END AS lead_score, CASE WHEN low IS NULL THEN 'Warm' ELSE {class_sql(profile, 's')} END AS lead_class,
+  CASE WHEN low IS NULL THEN 0.5 ELSE 0.8 END AS lead_confidence FROM scored"""
 
     @query(name, SCORE, sql)
     def _(spark, sf):
-        return scoring.lead_score(tables.transcripts(spark, sf), profile)
+        return scoring.lead_score(some_text(tables.transcripts(spark, sf)), profile)
 
 
 _lead("lead_score_v31", PROBE_V31)

@@ -143,12 +143,12 @@ def _(spark, sf):
 
 @query("saved_model", PREDICTED)
 def _(spark, sf):
-    data = training(spark, sf)
+    split = ml.stratified_split(training(spark, sf), "lead_class", "call_id")
     root = scratch_dir(spark, "models")
-    ml.save_model(ml.train_lead_model(data, "lead_class", INPUTS), root, "v1", spark, {"trees": 20})
+    ml.save_model(ml.train_lead_model(split.where(~F.col("is_test")), "lead_class", INPUTS), root, "v1", spark)
     model, metadata = ml.load_model(root, "v1", spark)
     version = metadata.select("version").first()[0]
-    return ml.predict(model, data, version, keep=("call_id", "lead_class"))
+    return ml.predict(model, split.where("is_test"), version, keep=("call_id", "lead_class"))
 
 
 @query("text_classifier", "call_id:long lead_class:str predicted_class:str")
@@ -157,7 +157,8 @@ def _(spark, sf):
         F.col("doc_id").alias("call_id"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("lead_class")
     )
     examples = tables.transcripts(spark, sf).select("call_id", "text").join(labels, "call_id")
-    return ml.train_text_classifier(examples, "text", "lead_class").transform(examples)
+    split = ml.stratified_split(examples, "lead_class", "call_id")
+    return ml.train_text_classifier(split.where(~F.col("is_test")), "text", "lead_class").transform(split.where("is_test"))
 
 
 @query("embedding_classes", "vec_id:long class:str classification:str confidence:d6")

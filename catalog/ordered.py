@@ -83,13 +83,15 @@ def _(spark, sf):
     return topics.top_k_per_call(firsts, ["call_id"], [F.col("place")], 20)
 
 
+# some turns have no text
 @query("sentiment_progression", "call_id:long turn:long sentiment:d6 moving_sentiment:d6",
-       f"""WITH {sp.TURNS}, {sp.tok_rows('turns', 'call_id, turn')},
+       f"""WITH {sp.TURNS}, {sp.tok_rows("(SELECT call_id, turn, CASE WHEN turn % 5 <> 3 THEN text END AS text FROM turns) AS q", 'call_id, turn')},
 pol AS (SELECT call_id, turn, avg({POLARITY_CASE}) AS p FROM tok GROUP BY call_id, turn),
 full_pol AS (SELECT t.call_id, t.turn, coalesce(p, 0) AS sentiment FROM turns AS t LEFT JOIN pol USING (call_id, turn)) --final
-SELECT call_id, turn, sentiment, avg(sentiment) OVER (PARTITION BY call_id ORDER BY turn RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_sentiment FROM full_pol""")
+SELECT call_id, turn, sentiment, avg(sentiment) OVER (PARTITION BY call_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_sentiment FROM full_pol""")
 def _(spark, sf):
-    return conv.sentiment_progression(tables.turns(spark, sf), PROBE_V31)
+    turns = tables.turns(spark, sf).withColumn("text", F.when(F.col("turn") % 5 != 3, F.col("text")))
+    return conv.sentiment_progression(turns, PROBE_V31)
 
 
 @query("latest_per_call", "user_id:long call_id:long uploaded_at:ts status:str", f"""WITH {sp.CALLS},
@@ -103,7 +105,7 @@ def _(spark, sf):
 
 @query("rank_leads", "call_id:long lead_class:str score:d6 rank:long percent_rank:d6 quartile:long", f"""WITH {sp.CALLS},
 placed AS (SELECT call_id, lead_class, score, rank() OVER w AS rank, percent_rank() OVER w AS percent_rank,
-  count(*) OVER (PARTITION BY lead_class) AS k FROM calls WINDOW w AS (PARTITION BY lead_class ORDER BY score DESC)) --final
-SELECT call_id, lead_class, score, rank, percent_rank, (rank - 1) * 4 // k + 1 AS quartile FROM placed""")
+  ntile(4) OVER (PARTITION BY lead_class ORDER BY score DESC, call_id) AS quartile FROM calls WINDOW w AS (PARTITION BY lead_class ORDER BY score DESC)) --final
+SELECT * FROM placed""")
 def _(spark, sf):
     return dashboard.rank_leads(tables.analysis_results(spark, sf))

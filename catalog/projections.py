@@ -34,7 +34,8 @@ def noisy(spark, sf):
     )
 
 
-SPACES = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+# written from the Unicode list of white space
+SPACES = r"trim(regexp_replace({0}, '[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 TAGS = r"'(^|[^\p{L}\p{N}_])(Speaker [0-9]+|SPEAKER_[0-9]+)|[\p{L}\p{N}_]+:', '\1', 'g'"
 TAGS_V30 = r"'(^|[^\p{L}\p{N}_])(Speaker [0-9]+|SPEAKER_[0-9]+):', '\1', 'g'"
 DOTS = r"regexp_replace(regexp_replace({0}, '\.{{3,}}', '...', 'g'), '-{{2,}}', '--', 'g')"
@@ -54,12 +55,14 @@ def clean_sql(text: str, profile) -> str:
 
 
 KEYED = "call_id:long turn:long text:str"
+ODD_SQL = "replace(replace(text, '. ', '.' || chr(160) || ' ' || chr(8195)), ', ', ',' || chr(28) || chr(12288))"
 
 
 @query("collapse_whitespace", "call_id:long text:str",
-       f"WITH {sp.TRANSCRIPTS} --final\nSELECT call_id, {SPACES.format('text')} AS text FROM transcripts")
+       f"WITH {sp.TRANSCRIPTS} --final\nSELECT call_id, {SPACES.format(ODD_SQL)} AS text FROM transcripts")
 def _(spark, sf):
-    return tables.transcripts(spark, sf).select("call_id", tx.collapse_whitespace(F.col("text")).alias("text"))
+    odd = F.replace(F.replace("text", F.lit(". "), F.lit(".\u00a0 \u2003")), F.lit(", "), F.lit(",\x1c\u3000"))
+    return tables.transcripts(spark, sf).select("call_id", tx.collapse_whitespace(odd).alias("text"))
 
 
 @query("strip_artifacts", KEYED, NOISY_SQL + f"SELECT call_id, turn, {_strip('text', V31.artifacts)} AS text FROM noisy")
@@ -183,17 +186,19 @@ def _(spark, sf):
 
 @query("emotion_categories", "call_id:long positive:d6 negative:d6 neutral:d6",
        f"""WITH {sp.CALLS} --final
-SELECT call_id, greatest(0.0::DOUBLE, sentiment) AS positive, greatest(0.0::DOUBLE, -sentiment) AS negative,
-       1.0::DOUBLE - abs(sentiment) AS neutral FROM calls""")
+SELECT call_id, CASE WHEN job_type <> 'error' THEN greatest(0.0::DOUBLE, sentiment) END AS positive,
+       CASE WHEN job_type <> 'error' THEN greatest(0.0::DOUBLE, -sentiment) END AS negative,
+       CASE WHEN job_type <> 'error' THEN 1.0::DOUBLE - abs(sentiment) END AS neutral FROM calls""")
 def _(spark, sf):
-    shares = tx.emotions(F.col("sentiment"))
+    # failed calls have no sentiment
+    shares = tx.emotions(F.when(F.col("job_type") != "error", F.col("sentiment")))
     return tables.analysis_results(spark, sf).select("call_id", *[c.alias(n) for n, c in shares.items()])
 
 
 @query("validate_file_name", "page_id:long file_name:str valid:bool reason:str",
        r"""WITH names AS (
   SELECT page_id, unnest([url, '../' || CAST(page_id AS VARCHAR), '/' || CAST(page_id AS VARCHAR) || '.json', '', '  ', '.',
-    './.', CAST(page_id AS VARCHAR) || '/a-1_b.json', 'a b ' || CAST(page_id AS VARCHAR)]) AS file_name FROM pages),
+    './.', CAST(page_id AS VARCHAR) || '/a-1_b.json', 'a b ' || CAST(page_id AS VARCHAR), CAST(page_id AS VARCHAR) || chr(10)]) AS file_name FROM pages),
 judged AS (
   SELECT *, CASE WHEN trim(file_name) = '' THEN 'empty'
     WHEN contains(file_name, '..') OR starts_with(file_name, '/') THEN 'path_traversal'
@@ -205,6 +210,7 @@ def _(spark, sf):
     names = F.array(
         "url", F.concat(F.lit("../"), page), F.concat(F.lit("/"), page, F.lit(".json")), F.lit(""), F.lit("  "),
         F.lit("."), F.lit("./."), F.concat(page, F.lit("/a-1_b.json")), F.concat(F.lit("a b "), page),
+        F.concat(page, F.lit("\n")),
     )
     rows = tables.read_table(spark, sf, "pages").select("page_id", F.explode(names).alias("file_name"))
     return listing.validate_file_names(rows)
@@ -251,11 +257,11 @@ def _(spark, sf):
 @query("response_view",
        "fileName:str sentiment:d6 keywords:list lead_class:str confidence:d6 call_duration_minutes:d6",
        f"""WITH {sp.CALLS} --final
-SELECT file_name AS fileName, sentiment, [job_type, status] AS keywords, lead_class, confidence,
+SELECT file_name AS fileName, CASE WHEN job_type <> 'error' THEN sentiment END AS sentiment, [job_type, status] AS keywords, lead_class, confidence,
        duration AS call_duration_minutes FROM calls""")
 def _(spark, sf):
     results = tables.analysis_results(spark, sf).select(
-        "file_name", F.lit("").alias("text"), "sentiment", F.array("job_type", "status").alias("key_phrases"),
+        "file_name", F.lit("").alias("text"), F.when(F.col("job_type") != "error", F.col("sentiment")).alias("sentiment"), F.array("job_type", "status").alias("key_phrases"),
         F.array("job_type").alias("topics"), F.array().cast("array<string>").alias("moments"),
         "lead_class", "confidence", F.col("duration").alias("duration_minutes"),
     )

@@ -10,12 +10,13 @@ from calllens.functions.tokens import sentence_ngrams, sentences, tokens
 from calllens.lexicons import pattern_phrases
 from calllens.operators import extraction, moments, topics
 from calllens.operators import sentiment as senti
+from calllens.operators.conversation import response_time_avg, speaker_changes
 from calllens.plans.analysis import analyze_calls, feature_view
 from calllens.session import small_table
 from calllens.sources import tables
 from catalog import sqlparts as sp
 from catalog.aggregates import N_WORDS, POLARITY_CASE
-from catalog.filters import class_sql, score_sql
+from catalog.filters import SOME_TEXT_SQL, class_sql, score_sql, some_text
 from catalog.projections import clean_sql
 from catalog.registry import query
 from catalog.views import ORGS, PROBE_V30, PROBE_V31
@@ -154,7 +155,7 @@ SELECT g.call_id, g.phrase, count(*) AS matches, min(g.pos) AS first_pos FROM gr
 JOIN {pattern_values(PROBE_V31.interest_patterns)} ON pt.n = g.n AND pt.phrase = g.phrase GROUP BY g.call_id, g.phrase""")
 def _(spark, sf):
     table = extraction.pattern_table(spark, PROBE_V31.interest_patterns)
-    found = extraction.pattern_matches(tables.transcripts(spark, sf), table, 3)
+    found = extraction.pattern_matches(tables.transcripts(spark, sf), table)
     return found.groupBy("call_id", "phrase").agg(F.count(F.lit(1)).alias("matches"), F.min("pos").alias("first_pos"))
 
 
@@ -279,11 +280,11 @@ def _(spark, sf):
 
 def _analysis(name, profile):
     sql = f"""WITH {sp.TRANSCRIPTS},
-tidy AS (SELECT call_id, path, file_name, {clean_sql('text', profile)} AS text FROM transcripts), {sp.sent_rows('tidy')},
+tidy AS (SELECT call_id, path, file_name, {clean_sql(SOME_TEXT_SQL, profile)} AS text FROM transcripts), {sp.sent_rows('tidy')},
 flow AS (SELECT call_id, count(*) AS total_sentences, avg({N_WORDS}) AS asl, count(*) FILTER (WHERE ends_with(sent, '!')) AS ex FROM sent GROUP BY call_id),
-scored AS (SELECT *, len({sp.words('text')}) AS word_count, {score_sql(profile, 'lower(text)', f"len({sp.words('text')})")} AS lead_score FROM tidy) --final
-SELECT s.call_id, file_name, substr(md5(path), 1, 8) AS processing_id, word_count, word_count / 150::DOUBLE AS duration_minutes, lead_score,
-  {class_sql(profile, 'lead_score')} AS lead_class, coalesce(total_sentences, 0) AS total_sentences, asl AS average_sentence_length, coalesce(ex, 0) AS exclamation_count,
+scored AS (SELECT *, coalesce(len({sp.words('text')}), 0) AS word_count, {score_sql(profile, 'lower(text)', f"len({sp.words('text')})")} AS lead_score FROM tidy) --final
+SELECT s.call_id, file_name, substr(md5(path), 1, 8) AS processing_id, word_count, word_count / 150::DOUBLE AS duration_minutes,
+  CASE WHEN text IS NULL THEN 50 ELSE lead_score END AS lead_score, CASE WHEN text IS NULL THEN 'Warm' ELSE {class_sql(profile, 'lead_score')} END AS lead_class, coalesce(total_sentences, 0) AS total_sentences, asl AS average_sentence_length, coalesce(ex, 0) AS exclamation_count,
   {sp.hit_list('lower(text)', profile.concern, profile.prefixes[2])} AS concerns
 FROM scored AS s LEFT JOIN flow USING (call_id)"""
 
@@ -291,7 +292,7 @@ FROM scored AS s LEFT JOIN flow USING (call_id)"""
            "call_id:long file_name:str processing_id:str word_count:long duration_minutes:d6 lead_score:d6 lead_class:str "
            "total_sentences:long average_sentence_length:d6 exclamation_count:long concerns:list", sql)
     def _(spark, sf):
-        return analyze_calls(tables.transcripts(spark, sf), profile, ORGS).select(
+        return analyze_calls(some_text(tables.transcripts(spark, sf)), profile, ORGS).select(
             "call_id", "file_name", "processing_id", "word_count", "duration_minutes",
             F.col("lead.score").alias("lead_score"), F.col("lead.class").alias("lead_class"),
             "flow.total_sentences", "flow.average_sentence_length", "flow.exclamation_count",
@@ -313,13 +314,22 @@ def _(spark, sf):
     )
 
 
+# some calls have turns, some have timed events, the others take the defaults
 @query("feature_view",
        "call_id:long avg_sentence_length:d6 question_count:long call_duration_minutes:d6 response_time_avg:d6 speaker_changes:long",
-       rf"""WITH {sp.TRANSCRIPTS},
+       rf"""WITH {sp.TRANSCRIPTS}, {sp.TURNS},
+seen AS (SELECT call_id, speaker, lag(speaker) OVER (PARTITION BY call_id ORDER BY turn) AS prev FROM turns),
+changed AS (SELECT call_id, count(*) FILTER (WHERE prev IS NOT NULL AND prev <> speaker) AS speaker_changes FROM seen GROUP BY call_id),
+gaps AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+answered AS (SELECT user_id AS call_id, avg(gap) / 1000000.0 AS response_time_avg FROM gaps GROUP BY user_id),
 tidy AS (SELECT call_id, {clean_sql('text', PROBE_V31)} AS text FROM transcripts),
 m AS (SELECT call_id, len({sp.words('text')}) AS n, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w,
   list_filter(list_transform(string_split(text, '.'), lambda s: trim(s)), lambda s: s <> '') AS s FROM tidy) --final
 SELECT call_id, w / greatest(len(s), 1) AS avg_sentence_length, len(list_filter(s, lambda x: contains(x, '?'))) AS question_count,
-  n / 150::DOUBLE AS call_duration_minutes, 5.0 AS response_time_avg, 20 AS speaker_changes FROM m""")
+  n / 150::DOUBLE AS call_duration_minutes, coalesce(response_time_avg, 5.0) AS response_time_avg, coalesce(speaker_changes, 20) AS speaker_changes
+FROM m LEFT JOIN changed USING (call_id) LEFT JOIN answered USING (call_id)""")
 def _(spark, sf):
-    return feature_view(tables.transcripts(spark, sf), PROBE_V31)
+    responses = response_time_avg(tables.read_table(spark, sf, "events"), "user_id").withColumnRenamed("user_id", "call_id")
+    return feature_view(
+        tables.transcripts(spark, sf), PROBE_V31, speaker_changes(tables.turns(spark, sf)), responses
+    )

@@ -22,7 +22,7 @@ PYTHON = {"model_scores"}
 
 @pytest.fixture(scope="module")
 def many_splits(spark, small):
-    """Transcripts in as many splits as cores, so that nothing spreads them."""
+    """Transcripts as they lie."""
     return spark.read.parquet(f"{small}/documents.parquet").select(
         F.col("doc_id").alias("call_id"), F.col("source").alias("path"), "text"
     )
@@ -69,9 +69,31 @@ def test_large_lexicons_are_not_forced_to_broadcast(spark):
     assert "SortMergeJoin" in plan_of(lexicon_join(toks.union(toks), big)) or "BuildLeft" in plan_of(lexicon_join(toks, big))
 
 
-@pytest.mark.parametrize("name", [n for n in entry_module.queries() if n not in TRAINING | STORED])
+@pytest.mark.parametrize("name", [n for n in entry_module.QUERIES if n not in TRAINING | STORED])
 def test_registered_plans(spark, small, name):
-    plan = plan_of(entry_module.queries()[name](spark, small))
+    plan = plan_of(entry_module.QUERIES[name](spark, small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert not re.search(r"Window \[.*\], \[\]", plan), "window over the whole table"
     assert ("Python" in plan) == (name in PYTHON)
+
+
+def test_tfidf_has_one_exchange_by_call_after_the_vocabulary(spark, small):
+    plan = plan_of(topics.tfidf(tables.transcripts(spark, small), V31))
+    by_call = re.findall(r"Exchange hashpartitioning\(call_id#\d+", plan)
+    assert len(by_call) == 1
+
+
+def test_sessions_reduce_before_the_first_window(spark, small):
+    from calllens.streaming.events import user_sessions
+
+    plan = plan_of(user_sessions(tables.read_table(spark, small, "events")))
+    assert len(re.findall(r"\bWindow \[", plan)) == 2 and "partial_min" in plan
+
+
+def test_names_meet_by_first_word(spark, small):
+    from calllens.operators import extraction
+    from catalog.views import names_table
+
+    sents = extraction.sentence_rows(tables.transcripts(spark, small))
+    plan = plan_of(extraction.gazetteer_join(sents, names_table(spark)))
+    assert "_first" in plan and "CartesianProduct" not in plan

@@ -1,6 +1,7 @@
 """Streaming results against their batch form, and state over several batches."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,8 @@ def test_repeats_within_the_lifetime_are_dropped(spark):
     def step(rows):
         write_batch(spark, root, rows, schema)
         run(ev.dedupe_requests(spark.readStream.schema(schema).parquet(root)), out)
-        return sorted((r.text, (r.ts - START).seconds) for r in spark.read.parquet(out).collect())
+        names = {hashlib.md5(t.encode()).hexdigest(): t for t in "abc"}
+        return sorted((names[r.text_md5], (r.ts - START).seconds) for r in spark.read.parquet(out).collect())
 
     assert step([("a", at(0)), ("b", at(0))]) == [("a", 0), ("b", 0)]
     # 299 s later: still known
@@ -83,6 +85,21 @@ def test_repeats_within_the_lifetime_are_dropped(spark):
     assert ("b", 2400) in step([("b", at(2400))])
 
 
+def test_lifetimes_do_not_depend_on_batches(spark):
+    schema = "text string, ts timestamp"
+    times = [0, 10, 299, 300, 301, 599, 600, 1000, 1100, 1299, 1300, 9000]
+    for cuts in ([12], [1, 5, 6]):
+        root, out = scratch_dir(spark, "requests"), scratch_dir(spark, "kept")
+        at_row = 0
+        for n in cuts:
+            write_batch(spark, root, [("a", at(t)) for t in times[at_row : at_row + n]][::-1], schema)
+            at_row += n
+            run(ev.dedupe_requests(spark.readStream.schema(schema).parquet(root)), out)
+        # an answer cached at 0 lives until 300, the one cached then until 600, and so on
+        kept = sorted(int((r.ts - START).total_seconds()) for r in spark.read.parquet(out).collect())
+        assert kept == [0, 300, 600, 1000, 1300, 9000]
+
+
 def test_late_rows_are_dropped(spark):
     root = scratch_dir(spark, "late")
     schema = "user_id bigint, ts timestamp"

@@ -128,7 +128,7 @@ def test_pattern_table_agrees_with_row_form(spark):
     text = "Wow, I love this. This is perfect, when can we go"
     df = spark.createDataFrame([(1, text)], "call_id int, text string")
     table = extraction.pattern_table(spark, V31.interest_patterns)
-    joined = {(r.pos, r.phrase) for r in extraction.pattern_matches(df, table, 3).collect()}
+    joined = {(r.pos, r.phrase) for r in extraction.pattern_matches(df, table).collect()}
     inline = {(r.start, r.phrase.lower()) for r in moments.interest_moments(df, V31).collect()}
     assert joined == inline and len(joined) == 5
 
