@@ -14,7 +14,6 @@ import json
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,10 +229,11 @@ class Encoder(dict):
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
         self.letters = byte_letters()
-        self.dtype, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.end = b"" if end_id is None else self.dtype(end_id).tobytes()
-        merge, code = self.tokenizer.model.tokenize, self.code
-        self.plain = lambda letters: array(code, [t.id for t in merge(letters)]).tobytes()
+        self.packed = packed = [self.dtype(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        merge = self.tokenizer.model.tokenize
+        self.plain = lambda letters: b"".join([packed[t.id] for t in merge(letters)])
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.older.get(word)
@@ -255,7 +255,7 @@ class Encoder(dict):
         if found := SIGNED.match(text):
             letters = found[0].encode()
             return self[letters] + self[word[len(letters) :]]
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def text(self, data: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, data.lower().split())) + self.end, self.dtype)
