@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "job_id string, status string, changed_at timestamp"
+RAW = "job_id string, status string, micros long"  # an instant whatever the session's zone
 STATE = "status string, micros long"
 OPEN = ("pending", "processing", "reprocessing")
 
@@ -27,8 +28,7 @@ def stuck_jobs(changes: DataFrame, after_seconds: int, watermark: str = "10 minu
         if state.hasTimedOut:
             status, micros = state.get
             state.remove()
-            stamp = pd.Timestamp(micros, unit="us")
-            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "changed_at": [stamp]})
+            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "micros": [micros]})
             return
         status, micros = state.get if state.exists else (None, -1)
         for batch in batches:
@@ -49,6 +49,7 @@ def stuck_jobs(changes: DataFrame, after_seconds: int, watermark: str = "10 minu
         .select(F.col("job_id").cast("string").alias("job_id"), "status", "ts",
                 F.unix_micros("ts").alias("micros"))
     )
-    return keyed.groupBy("job_id").applyInPandasWithState(
-        track, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    found = keyed.groupBy("job_id").applyInPandasWithState(
+        track, RAW, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return found.select("job_id", "status", F.timestamp_micros("micros").alias("changed_at"))

@@ -222,14 +222,14 @@ def _(spark, sf):
 
 
 @query("metric_rollup",
-       "component:str environment:str hour:ts level:long samples:long mean_value:d6 min_value:d6 max_value:d6 latest_value:d6",
+       "metric_name:str component:str environment:str day:ts level:long samples:long mean_value:d6 min_value:d6 max_value:d6 latest_value:d6",
        f"""WITH {sp.METRICS} --final
-SELECT component, environment, date_trunc('day', ts)::TIMESTAMP AS hour, grouping(component, environment, date_trunc('day', ts)) AS level,
+SELECT metric_name, component, environment, date_trunc('day', ts)::TIMESTAMP AS day, grouping(metric_name, component, environment, date_trunc('day', ts)) AS level,
   count(*) AS samples, avg(value) AS mean_value, min(value) AS min_value, max(value) AS max_value, arg_max(value, ts) AS latest_value
-FROM metrics GROUP BY ROLLUP (component, environment, date_trunc('day', ts))""")
+FROM metrics GROUP BY ROLLUP (metric_name, component, environment, date_trunc('day', ts))""")
 def _(spark, sf):
-    metrics = tables.metrics(spark, sf).withColumn("hour", F.date_trunc("day", "ts"))
-    return dashboard.metric_rollup(metrics, ["component", "environment", "hour"], tie="metric_id")
+    metrics = tables.metrics(spark, sf).withColumn("day", F.date_trunc("day", "ts"))
+    return dashboard.metric_rollup(metrics, ["metric_name", "component", "environment", "day"], tie="metric_id")
 
 
 @query("log_summary", "log_level:str stage:str grouping:long entries:long", f"""WITH {sp.LOGS} --final

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from calllens.config import Bootstrap
 from calllens.functions import extract
+from calllens.functions.text import clean_transcript
 from calllens.functions.arrays import first_distinct
 from calllens.functions.tokens import tokens
 from calllens.operators import listing, scoring
 from calllens.sources import tables
 from catalog import sqlparts as sp
-from catalog.projections import BUCKET
+from catalog.projections import BUCKET, clean_sql
 from catalog.registry import query
 from catalog.views import PROBE_V30, PROBE_V31
 
@@ -196,10 +197,10 @@ def _flagship():
         for n, pre in zip(("interest", "buying", "concern"), p.prefixes)
     )
     wi, wb, wc, _ = p.weights
-    sql = f"""WITH {sp.TURNS},
+    sql = f"""WITH {sp.TURNS}, tidy AS (SELECT call_id, {clean_sql('text', p)} AS text FROM turns),
 called AS (SELECT call_id, sum(len({sp.words('text')})) AS token_count, {any_turn},
   bool_or({sp.any_like('lower(text)', p.analytical)}) AS analytical, bool_or(contains(lower(text), 'we')) AS we
-  FROM turns GROUP BY call_id),
+  FROM tidy GROUP BY call_id),
 scored AS (SELECT *, {lists}, {sums['interest']} AS n_interest, {sums['buying']} AS n_buying, {sums['concern']} AS n_concern,
   greatest(0.0::DOUBLE, least(100.0::DOUBLE, 50.0::DOUBLE + ({sums['interest']}) * {wi} + ({sums['buying']}) * {wb} + ({sums['concern']}) * ({wc})
   + least(25.0::DOUBLE, token_count / 80.0::DOUBLE))) AS lead_score FROM called) --final
@@ -212,7 +213,9 @@ SELECT *, {class_sql(p, 'lead_score')} AS lead_class, lead_score / 100 AS conver
            "conversion_probability:d6 personality:str decision_style:str interest_signals:list buying_signals:list concern_signals:list",
            sql)
     def _(spark, sf):
-        return scoring.lead_score_turns(tables.turns(spark, sf), p).orderBy(F.col("lead_score").desc(), "call_id")
+        # each turn is cleaned as a transcript is
+        turns = tables.turns(spark, sf).withColumn("text", clean_transcript(F.col("text"), p))
+        return scoring.lead_score_turns(turns, p).orderBy(F.col("lead_score").desc(), "call_id")
 
 
 _flagship()

@@ -36,11 +36,12 @@ def _(spark, sf):
 
 
 @query("event_changes", "user_id:long changes:long", """WITH seen AS (SELECT user_id, event_type,
-  lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) --final
+  lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) --final
 SELECT user_id, count(*) FILTER (WHERE prev IS NOT NULL AND prev <> event_type) AS changes FROM seen GROUP BY user_id""")
 def _(spark, sf):
-    events = tables.read_table(spark, sf, "events")
-    return count_changes(events, ["user_id"], "ts", "event_type", F.date_trunc("day", "ts"), "changes")
+    # events of one time follow each other by their ids
+    events = tables.read_table(spark, sf, "events").withColumn("at", F.struct("ts", "event_id"))
+    return count_changes(events, ["user_id"], "at", "event_type", F.date_trunc("day", "ts"), "changes")
 
 
 @query("response_time_avg", "user_id:long response_time_avg:d6 event_count:long", """WITH gaps AS (

@@ -208,16 +208,18 @@ _technical("technical_terms_v30", PROBE_V30)
 
 def _key_phrases(name, profile):
     blocked = " OR ".join(f"starts_with(phrase, {sp.lit(b)})" for b in profile.phrase_blocked_starts)
-    sql = f"""WITH {sp.TRANSCRIPTS}, {sp.phrase_rows('transcripts', min_chars=profile.phrase_min_chars)}, {PIECES},
+    sql = f"""WITH {sp.TRANSCRIPTS}, {sp.phrase_rows('transcripts', min_chars=profile.phrase_min_chars)}, {PIECES}, {sp.tok_rows('transcripts')},
+{GRAMS3},
 both_sources AS (SELECT call_id, pos AS place, phrase FROM phr WHERE NOT ({blocked})
-  UNION ALL SELECT call_id, 10000000 + pos, lower(e) FROM ent WHERE label IN ('MONEY', 'PERCENT')),
+  UNION ALL SELECT call_id, 10000000 + pos, lower(e) FROM ent WHERE label IN ('MONEY', 'PERCENT')
+  UNION ALL SELECT call_id, 20000000 + pos * 10 + n, phrase FROM gram WHERE phrase IN {sp.in_list(ORGS)}),
 firsts AS (SELECT call_id, phrase, min(place) AS place FROM both_sources GROUP BY call_id, phrase),
 placed AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY place) - 1 AS pos FROM firsts) --final
 SELECT call_id, pos, phrase FROM placed WHERE pos < 20"""
 
     @query(name, "call_id:long pos:long phrase:str", sql)
     def _(spark, sf):
-        return extraction.key_phrases(tables.transcripts(spark, sf), profile)
+        return extraction.key_phrases(tables.transcripts(spark, sf), profile, ORGS)
 
 
 _key_phrases("key_phrases_v31", PROBE_V31)
