@@ -88,9 +88,10 @@ class LanguageProfiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, and how much nearer it is than the next (0 to 1)."""
-        ranked = most_frequent(*ngram_counts(text or ""), self.length)
-        if not len(ranked) or not self.languages:
+        # superscripts and the like are neither blanks nor digits, but no letters either
+        if not self.languages or not any(map(str.isalpha, text or "")):
             return UNDETERMINED, 0.0
+        ranked = most_frequent(*ngram_counts(text), self.length)
         apart = self.distances(ranked)
         order = np.argsort(apart, kind="stable")
         if len(order) == 1:

@@ -275,7 +275,8 @@ def test_out_of_place_distance():
     profiles = langid.LanguageProfiles(["aa", "bb"], np.array([1, 2, 3]), np.array([[0, 2], [1, 3], [3, 0]]), 3)
     # ranks 0, 1, 2 of the document against 0, 1, - and 2, -, 0
     assert profiles.distances(np.array([1, 2, 3])).tolist() == [3 / 9, (2 + 3 + 2) / 9]
-    assert profiles.predict("12 !") == ("und", 0.0) and profiles.predict(None) == ("und", 0.0)
+    assert all(profiles.predict(t) == ("und", 0.0) for t in (None, "", "12 !", "² ⅷ _"))
+    assert profiles.predict("\u0300a")[0] in ("aa", "bb")
 
 
 def test_registered_languages(spark):
