@@ -204,8 +204,9 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of all rows: its rows' figures, and its slots.
 
-    Figures: ``(id, source, size, number, source_size, target, n_blocks, block, taken)``
-    of every row, taken or not.  Slots: ``(number, block, copy, shard)``, one for each time
+    Figures: ``(id, source, size, number, source_size, target, n_blocks, block, taken,
+    shards)`` of every row, taken or not; ``shards`` has the shard of each of its copies,
+    and ``taken`` counts those.  Slots: ``(number, block, copy, shard)``, one for each time
     a block is taken, dealt to ``2 ** depth`` shards.
 
     A null text has size 0 and is never taken, nor is any other text without words.  Null
@@ -216,10 +217,6 @@ def mix(
     rows = written(sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
     placed = with_blocks(rows, source_targets(rows, weights, cap), blocks)
     plan = written(block_copies(placed, cap, seed), "mix-plan")
-    taken = placed.join(plan.select("number", "block", "copies"), ["number", "block"], "left").select(
-        "id", "source", "size", "number", "source_size", "target", "n_blocks", "block",
-        (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken"),
-    )
     slots = plan.where("copies > 0").select("number", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     upto = split_tree(slots.groupBy("number").agg(F.count("*").alias("n")), depth, seed)
     permuted = W.partitionBy("number").orderBy(F.xxhash64(F.lit(seed), F.lit("slot"), "number", "block", "copy"), "block", "copy")
@@ -228,6 +225,18 @@ def mix(
         .join(upto, "number")
         .select("number", "block", "copy", F.size(F.filter("upto", lambda c: c <= F.col("place"))).alias("shard"))
     )
+    dealt = written(dealt, "mix-dealt")
+    # what a row is taken follows from the slots dealt to its block, at most ``cap`` of them
+    shards = dealt.groupBy("number", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    taken = (
+        placed.join(shards, ["number", "block"], "left")
+        .withColumn("shards", F.when(F.col("size") > 0, F.col("shards")))
+        .withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+        .select(
+            "id", "source", "size", "number", "source_size", "target", "n_blocks", "block",
+            (F.size("shards") * F.col("size")).alias("taken"), "shards",
+        )
+    )
     return taken, dealt
 
 

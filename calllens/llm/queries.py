@@ -141,7 +141,7 @@ def _(spark, sf):
 @query("op7_mixing")
 def _(spark, sf):
     rows, _ = mixing.mix(table(spark, sf, "documents"))
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
 
 
 @query("op8_line_dedup")

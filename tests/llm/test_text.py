@@ -388,3 +388,14 @@ def test_mixing_runs_no_python(spark, small):
     for df in (rows, slots, mixing.mixture(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_registered_mix_follows_the_dealt_slots(spark, small):
+    got = queries.QUERIES["op7_mixing"](spark, small).collect()
+    rows, slots = mixing.mix(spark.read.parquet(f"{small}/documents.parquet"))
+    dealt = {}
+    for s in slots.collect():
+        dealt.setdefault((s.number, s.block), []).append(s.shard)
+    want = {r.id: sorted(dealt.get((r.number, r.block), [])) if r["size"] else [] for r in rows.collect()}
+    assert {r.doc_id: list(r.shards) for r in got} == want and len({x for w in want.values() for x in w}) == 16
+    assert all(r.taken == r["size"] * len(r.shards) for r in got)
