@@ -1,6 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
-A source's documents are dealt by hash into blocks of about equal size.  Its target
+A source's documents are dealt by hash into blocks of about equal size, or stand alone
+if they are few.  Its target
 fixes how often each block is taken; each time is a slot.  A splitting tree halves the
 list of output shards again and again: at each node the slots of all sources are drawn
 for the left half without replacement, so the counts follow the multivariate
@@ -18,6 +19,8 @@ from calllens.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Blocks of a source at least, if it has as many documents.
+FEWEST = 64
 
 
 def word_count(text: Column) -> Column:
@@ -40,15 +43,17 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0) -> DataFrame:
-    """``(number, source, source_size, target)`` per source, numbered from 0 by code
-    point with null last.
+    """``(number, source, source_size, n_docs, target)`` per source, numbered from 0 by
+    code point with null last; ``n_docs`` counts its rows that have words.
 
     The sources weigh ``weights`` in turn and share the size of all rows.  A target
     stops at ``cap`` times its source's size and what is over is shared by weight again.
     With the sources sorted by capped size per weight, the level of the others is the
     largest that any number of capped sources leaves.
     """
-    own = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    own = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n_docs")
+    )
     # windows over one row per source
     order = W.orderBy(F.col("source").isNull(), "source")
     own = own.withColumn("number", F.row_number().over(order) - 1)
@@ -61,21 +66,24 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, cap: float = 3.0) -> DataFr
         "weight"
     ).over(after)
     own = own.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    return own.select(
-        "number", "source", "source_size", F.least("most", F.col("level") * F.col("weight")).cast("double").alias("target")
-    )
+    target = F.least("most", F.col("level") * F.col("weight")).cast("double").alias("target")
+    return own.select("number", "source", "source_size", "n_docs", target)
 
 
 def with_blocks(rows: DataFrame, targets: DataFrame, blocks: int) -> DataFrame:
     """Each row with its source's figures and its block.
 
-    All sources together have about ``blocks`` blocks, so a source with a third of all
-    rows has a third of them.
+    All sources together share about ``blocks`` blocks by size, so a source with a third
+    of all rows has a third of them.  However many sources there are, each has ``FEWEST``
+    at least, and one of no more documents than that has a block for each of them.
     """
+    share = F.ceil(F.col("source_size") * blocks / F.greatest("all_size", F.lit(1)))
+    # so many numbers that no two of a few documents meet under one
+    fewest = F.when(F.col("n_docs") <= FEWEST, F.lit(1 << 40)).otherwise(F.lit(FEWEST)).cast("bigint")
     everything = W.partitionBy()
     dealt = targets.withColumn("all_size", F.sum("source_size").over(everything)).select(
         "number", "source", "source_size", "target",
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") * blocks / F.greatest("all_size", F.lit(1)))).alias("n_blocks"),
+        F.greatest(fewest, share).alias("n_blocks"),
     )
     return (
         rows.join(dealt, rows["source"].eqNullSafe(dealt["source"]))
@@ -254,7 +262,7 @@ def mixture(
     Texts move once.  Blocks and slots are joined to them by source and block.
     """
     rows, slots = mix(docs, id_col, text_col, source_col, seed=seed, **options)
-    # a row per source, and one per slot: about the number of blocks, not of documents
+    # a row per source, and one per slot: about the number of blocks and of FEWEST for each source
     sources = checked(written(rows.groupBy("source").agg(F.first("number").alias("_mix_number"), F.first("n_blocks").alias("_mix_n")), "mix-sources"))
     slots = checked(written(slots.toDF("_mix_number", "_mix_block", "_mix_copy", "_mix_shard"), "mix-slots"))
     draw = F.xxhash64(F.lit(seed), id_col, F.coalesce(text_col, F.lit("")))

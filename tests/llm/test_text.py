@@ -399,3 +399,20 @@ def test_registered_mix_follows_the_dealt_slots(spark, small):
     want = {r.id: sorted(dealt.get((r.number, r.block), [])) if r["size"] else [] for r in rows.collect()}
     assert {r.doc_id: list(r.shards) for r in got} == want and len({x for w in want.values() for x in w}) == 16
     assert all(r.taken == r["size"] * len(r.shards) for r in got)
+
+
+def test_thousands_of_small_sources_come_near_their_targets(spark):
+    n, each = 9000, 12
+    docs = spark.range(n * each).selectExpr(
+        "id AS doc_id", f"concat('s', id % {n}) AS source", "repeat('w ', 40 + cast(pmod(hash(id), 20) AS int)) AS text"
+    )
+    rows = mixing.sizes(docs, "doc_id", "text", "source", 7)
+    placed = mixing.with_blocks(rows, mixing.source_targets(rows), 8192)
+    plan = mixing.block_copies(placed, 3.0, 7).collect()
+    taken = Counter()
+    for r in plan:
+        taken[r.number] += r.words * r.copies
+    want = {r.number: r.target for r in mixing.source_targets(rows).collect()}
+    assert len(want) == n and len(plan) == n * each and max(r.copies for r in plan) <= 3
+    assert all(abs(taken[s] - t) <= 60 for s, t in want.items())
+    assert abs(sum(taken.values()) - sum(want.values())) <= 0.01 * sum(want.values())
