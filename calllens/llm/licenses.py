@@ -7,7 +7,9 @@ the regex library checks the whole notice with its limit on errors and gives the
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,21 +108,36 @@ class NoticeFinder:
         return out
 
     def fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``(start, end, notice, edits)``; of overlapping finds the one with the fewest
-        edits for its length stays, of equal ones the longer, then the earlier notice."""
-        found = []
+        """``(start, end, notice, edits)``: again and again the find with the fewest edits
+        for its length, of equal ones the longer, then the earlier notice, that overlaps
+        none before it.
+
+        A pattern gives the best place of a stretch; what is left of the stretch beside
+        that place, or beside a better find that overlaps it, is searched again.
+        """
+        todo: list[tuple] = []
+
+        def look(number: int, a: int, b: int) -> None:
+            if b - a >= len(self.notices[number][0]) - self.edits[number] and (match := self.patterns[number].search(text, a, b)):
+                start, end, edits = match.start(), match.end(), sum(match.fuzzy_counts)
+                heappush(todo, (edits / len(self.notices[number][0]), start - end, number, start, end, edits, a, b))
+
         for number, spans in self.windows(text).items():
             for a, b in spans:
-                at = a
-                while match := self.patterns[number].search(text, at, b):
-                    found.append((match.start(), match.end(), number, sum(match.fuzzy_counts)))
-                    at = max(match.end(), at + 1)
-        found.sort(key=lambda f: (f[3] / len(self.notices[f[2]][0]), f[0] - f[1], f[2], f[0]))
-        kept: list[tuple[int, int, int, int]] = []
-        for f in found:
-            if all(f[1] <= g[0] or g[1] <= f[0] for g in kept):
-                kept.append(f)
-        return sorted(kept)
+                look(number, a, b)
+        kept: list[tuple[int, int, int, int]] = []  # by place, none overlaps another
+        while todo:
+            _, _, number, start, end, edits, a, b = heappop(todo)
+            at = bisect_left(kept, (start,))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (start, end, number, edits))
+            at = max(0, bisect_left(kept, (a,)) - 1)
+            while at < len(kept) and kept[at][0] < b:
+                look(number, a, min(b, kept[at][0]))
+                a = max(a, kept[at][1])
+                at += 1
+            look(number, a, b)
+        return kept
 
     def search(self, data: bytes) -> tuple[int, list[tuple[str, str, int, int, int]]]:
         """Number of words, and ``(kind, label, first word, last word, edits)`` of each

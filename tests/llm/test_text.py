@@ -173,6 +173,45 @@ def test_seeds_find_what_the_regex_alone_finds():
     assert regex.__name__ == "regex"
 
 
+def plain_finds(text, finder):
+    """(notice, edits) by place: every stretch within the limit by the table of edits, best first."""
+    every = []
+    for number, (notice, _) in enumerate(finder.notices):
+        for a in range(len(text)):
+            row = list(range(len(notice) + 1))
+            for b in range(a, min(len(text), a + len(notice) + finder.edits[number])):
+                above, row[0] = row[0], b - a + 1
+                for j, c in enumerate(notice, 1):
+                    above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (text[b] != c))
+                if row[-1] <= finder.edits[number]:
+                    every.append((row[-1] / len(notice), a - b - 1, number, a, b + 1, row[-1]))
+    kept = []
+    for _, _, number, a, b, edits in sorted(every):
+        if all(b <= x or y <= a for x, y, _, _ in kept):
+            kept.append((a, b, number, edits))
+    return [k[2:] for k in sorted(kept)]
+
+
+def test_adjacent_and_repeated_notices():
+    names = ("released under the mit license", "all rights reserved", "licensed under cc by nc 4 0")
+    gpl = "this work is licensed under the gnu general public license version "
+    notices = [n for n in licenses.NOTICES if n[0] in names or n[0].startswith(gpl)]
+    finder, rng = licenses.NoticeFinder((), notices), random.Random(6)
+    which = {n: i for i, (n, _) in enumerate(notices)}
+    two, three = which[gpl + "2"], which[gpl + "3"]
+    wrong = (gpl + "2").replace("work", "wrk").replace("general", "genral")
+    assert [f[2:] for f in finder.fuzzy(f" {wrong} {gpl}3 ")] == [(two, 2), (three, 0)]
+    mit = which[names[0]]
+    assert [f[2:] for f in finder.fuzzy(f" relased under the mit license {names[0]} ")] == [(mit, 1), (mit, 0)]
+    for _ in range(8):
+        parts = []
+        for name in rng.choices(names, k=3):
+            i = rng.randrange(5, len(name) - 5)
+            parts.append(rng.choice([name, name[:i] + "q" + name[i + 1 :], name[:i] + "q" + name[i:]]))
+        text = f" {' '.join(parts)} "
+        assert [f[2:] for f in finder.fuzzy(text)] == plain_finds(text, finder)
+
+
 def test_license_edge_cases(odd, none):
     assert licenses.scan(none).count() == 0
     assert {(r.id, r.n_base, r.labels) for r in licenses.digest(licenses.scan(odd)).collect()} == {
