@@ -147,4 +147,4 @@ def _(spark, sf):
 @query("op8_line_dedup")
 def _(spark, sf):
     lines = line_dedup.line_classes(table(spark, sf, "documents"))
-    return line_dedup.per_document(lines).withColumnRenamed("id", "doc_id")
+    return lines.select(F.col("id").alias("doc_id"), "line_no", "class_id", "class_line", "links", "kept")

@@ -190,3 +190,20 @@ def test_lines_of_edge_cases(odd, none):
     assert got[3] == got[4] == (0, 0, 0) and got[7] == (3, 2, 0)
     assert line_dedup.line_classes(none).count() == 0
     assert line_dedup.without_repeats(odd).columns == odd.columns
+
+
+def test_registered_query_names_the_line_that_a_line_repeats(spark, tmp_path):
+    passage = "the same passage stands in several documents of the table"
+    rows = [
+        (7, f"{passage}\n\nand a line of document seven alone"),
+        (3, f"first of three here\n{passage.replace('several', 'severel')}"),
+        (9, f"{passage}\nnothing like the others is in here"),
+    ]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op8_line_dedup"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "line_no", "class_id", "class_line", "links", "kept"]
+    assert sorted(map(tuple, got.collect())) == [
+        (3, 0, 3, 0, 0, True), (3, 1, 3, 1, 1, True),
+        (7, 0, 3, 1, 1, False), (7, 1, None, None, None, True), (7, 2, 7, 2, 0, True),
+        (9, 0, 3, 1, 1, False), (9, 1, 9, 1, 0, True),
+    ]
