@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from test_near import groups
-from test_text import contaminated_by_hand, targets_by_hand
+from test_llm_text import contaminated_by_hand, targets_by_hand
 from test_tokens import expected
 from tokenizers import Tokenizer
 
