@@ -163,7 +163,7 @@ def test_nested_chunks_hold_everything(spark):
 
 
 def test_top_k_limits_before_the_shuffle(rows):
-    from conftest import plan_of
+    from plan_text import plan_of
 
     top = topics.top_k_per_call(rows, ["user_id"], [F.col("value").desc(), F.col("event_id")], 3)
     assert plan_of(top).count("WindowGroupLimit") == 2

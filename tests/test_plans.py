@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
