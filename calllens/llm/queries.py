@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.llm import decontam, exact_dedup, langid, licenses, line_dedup, mixing, simhash, toxicity, warc, wavelet
+from calllens.llm import (
+    decontam, exact_dedup, langid, licenses, line_dedup, mixing, sharding, simhash, toxicity, warc, wavelet,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -148,3 +150,38 @@ def _(spark, sf):
 def _(spark, sf):
     lines = line_dedup.line_classes(table(spark, sf, "documents"))
     return lines.select(F.col("id").alias("doc_id"), "line_no", "class_id", "class_line", "links", "kept")
+
+
+#: CRC-32 of a list of byte values ``bytes``, with the table ``t`` of its 256 remainders.
+CRC_TABLE_SQL = (
+    "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), "
+    "lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(256) r(i))"
+)
+CRC_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda s, x: xor(s >> 8, t[1 + (xor(s, x) & 255)])))"
+
+
+def bytes_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+
+
+SHARDS = 24
+
+
+@query(
+    "op12_sharding",
+    f"""WITH RECURSIVE c AS ({CRC_TABLE_SQL}),
+w AS (SELECT DISTINCT doc_id, CAST(doc_id AS HUGEINT) AS key, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS far FROM documents
+  UNION ALL SELECT doc_id, k, far, CAST(floor((far + 1) * (2147483648.0::DOUBLE / CAST((k >> 33) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT doc_id, far, (key * {sharding.MULTIPLIER} + 1) % 18446744073709551616 AS k FROM w WHERE far < {SHARDS})),
+p AS (SELECT doc_id, place, far FROM w WHERE far >= {SHARDS}),
+d AS (SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, {CRC_SQL} AS text_crc32
+  FROM (SELECT doc_id, text, {bytes_sql("text")} AS bytes FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), c)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(place AS INT) AS shard,
+  row_number() OVER (PARTITION BY place ORDER BY doc_id, size, text_crc32) - 1 AS slot,
+  CAST(CASE WHEN far = {SHARDS} THEN far ELSE place END AS INT) AS grown_shard FROM d JOIN p USING (doc_id)""",
+)
+def _(spark, sf):
+    placed = sharding.assign(table(spark, sf, "documents"), SHARDS)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
