@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calllens.llm import (
-    decontam, exact_dedup, langid, licenses, line_dedup, mixing, sharding, simhash, toxicity, warc, wavelet,
+    align, decontam, exact_dedup, langid, licenses, line_dedup, mixing, sharding, simhash, toxicity, warc, wavelet,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,10 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 BITS = "CAST(CAST(from_hex(sha1(body)) AS BIT) AS VARCHAR)"
@@ -185,3 +185,9 @@ def _(spark, sf):
     return placed.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+@query("op13_token_alignment")
+def _(spark, sf):
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return align.alignment(table(spark, sf, "documents"), *paths).withColumnRenamed("id", "doc_id")
