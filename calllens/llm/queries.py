@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calllens.llm import (
-    align, decontam, exact_dedup, langid, licenses, line_dedup, mixing, sharding, simhash, toxicity, warc, wavelet,
+    align, decontam, exact_dedup, langid, licenses, line_dedup, mixing, sharding, simhash, spelling, toxicity, warc, wavelet,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,6 +187,29 @@ def _(spark, sf):
     )
 
 
+@query(
+    "op11_spelling_variants",
+    f"""WITH RECURSIVE c AS ({CRC_TABLE_SQL}),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, {CRC_SQL} AS h FROM (SELECT run, n, {bytes_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS bytes
+  FROM r WHERE length(run) >= 7), c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 > 0 THEN run
+  ELSE substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other FROM x a JOIN x b USING (i, d) WHERE a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.d = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.d = v.word),
+f AS (SELECT p.word, count(*) AS n_near, arg_min(other, (-v.n, other)) AS best, max(v.n) AS best_n FROM p JOIN v ON p.other = v.word GROUP BY p.word),
+w AS (SELECT word, CASE WHEN best_n >= 10 * n THEN best END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+  CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN f USING (word)),
+t AS (SELECT word, word AS stop, form AS ahead FROM w UNION ALL SELECT t.word, w.word, w.form FROM t JOIN w ON t.ahead = w.word)
+SELECT word, form, stop AS root, n, n_near, form_n FROM w JOIN t USING (word) WHERE t.ahead IS NULL""",
+)
+def _(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
 @query("op13_token_alignment")
 def _(spark, sf):
     paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
