@@ -53,3 +53,11 @@ def small_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> D
     its own threshold whether a join may broadcast it."""
     values = list(zip(*rows)) or [()] * len(columns)
     return spark.createDataFrame(pa.table({c: list(v) for c, v in zip(columns, values)}))
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once below the shared scratch folder and read back: later steps
+    neither compute them again nor lose them with an executor."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

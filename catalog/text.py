@@ -8,7 +8,7 @@ from calllens.functions import extract
 from calllens.functions.text import trigram_similarity
 from calllens.functions.tokens import sentence_ngrams, sentences, tokens
 from calllens.lexicons import pattern_phrases
-from calllens.operators import extraction, moments, topics
+from calllens.operators import extraction, moments, similarity, topics
 from calllens.operators import sentiment as senti
 from calllens.operators.conversation import response_time_avg, speaker_changes
 from calllens.plans.analysis import analyze_calls, feature_view
@@ -280,6 +280,43 @@ def _(spark, sf):
     return parts.select("p_partkey", trigram_similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
 
 
+SIMILAR_SQL = """set_of AS (SELECT side, min(key) AS key, {grams} AS g FROM named WHERE text IS NOT NULL GROUP BY side, text),
+pair AS (SELECT x.key AS a, y.key AS b, len(list_intersect(x.g, y.g)) AS shared, len(x.g) + len(y.g) AS total
+  FROM set_of AS x JOIN set_of AS y ON {on} WHERE len(x.g) > 0 AND len(y.g) > 0)"""
+
+
+@query("similar_turns", "a:long b:long similarity:d6",
+       f"""WITH {sp.TURNS}, named AS (SELECT 0 AS side, call_id * 10000 + turn AS key, text FROM turns),
+{SIMILAR_SQL.format(grams=GRAMS_SQL.format('text'), on='x.key < y.key')} --final
+SELECT a, b, shared / (total - shared)::DOUBLE AS similarity FROM pair WHERE shared / (total - shared)::DOUBLE >= 0.4""")
+def _(spark, sf):
+    turns = tables.turns(spark, sf).withColumn("key", F.col("call_id") * 10000 + F.col("turn"))
+    return similarity.similar_pairs(turns, "key", "text", 0.4)
+
+
+@query("similar_names", "a:long b:long similarity:d6",
+       f"""WITH named AS (SELECT 0 AS side, p_partkey AS key, p_name AS text FROM part
+  UNION ALL SELECT 1, p_partkey, p_type || ' ' || split_part(p_name, ' ', 2) FROM part),
+{SIMILAR_SQL.format(grams=GRAMS_SQL.format('text'), on='x.side = 0 AND y.side = 1')} --final
+SELECT a, b, shared / (total - shared)::DOUBLE AS similarity FROM pair WHERE shared / (total - shared)::DOUBLE >= 0.5""")
+def _(spark, sf):
+    part = tables.read_table(spark, sf, "part")
+    kinds = part.withColumn("kind", F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2))))
+    return similarity.similarity_join(part, kinds, "p_partkey", "p_name", "p_partkey", "kind", 0.5)
+
+
+@query("similar_transcripts", "call_id:long text_key:long links:long",
+       f"""WITH named AS (SELECT 0 AS side, doc_id AS key, text FROM documents),
+{SIMILAR_SQL.format(grams=GRAMS_SQL.format('text'), on='x.key < y.key AND least(len(x.g), len(y.g)) >= 0.9 * greatest(len(x.g), len(y.g))')},
+near AS (SELECT a, b FROM pair WHERE shared / (total - shared)::DOUBLE >= 0.9),
+linked AS (SELECT key, count(*) AS links FROM (SELECT a AS key FROM near UNION ALL SELECT b FROM near) GROUP BY key) --final
+SELECT doc_id AS call_id, r.key AS text_key, coalesce(links, 0) AS links
+FROM documents AS d JOIN (SELECT text, min(doc_id) AS key FROM documents GROUP BY text) AS r ON r.text = d.text LEFT JOIN linked AS l ON l.key = r.key""")
+def _(spark, sf):
+    calls = tables.transcripts(spark, sf)
+    return similarity.with_similar(calls, "call_id", "text", 0.9).withColumnRenamed("key", "call_id")
+
+
 def _analysis(name, profile):
     sql = f"""WITH {sp.TRANSCRIPTS},
 tidy AS (SELECT call_id, path, file_name, {clean_sql(SOME_TEXT_SQL, profile)} AS text FROM transcripts), {sp.sent_rows('tidy')},
