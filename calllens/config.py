@@ -48,6 +48,7 @@ class Profile:
     # patterns and timeline
     interest_patterns: tuple
     context_window: int
+    moment_labels: tuple[str, str]  # topic, follow-up
     timeline_words: float
     # sentiment ensemble: compound, polarity, model
     ensemble: tuple[float, float, float]
@@ -55,6 +56,8 @@ class Profile:
     ngram_max: int
     max_features: int
     max_df: float
+    # stated confidence of each component
+    confidences: tuple[tuple[str, float], ...]
     # shared defaults
     objection_patterns: tuple = lx.OBJECTION_PATTERNS
     polarity: dict = field(default_factory=lambda: dict(lx.POLARITY))
@@ -72,6 +75,7 @@ class Profile:
     enable_sentiment: bool = True
     enable_topics: bool = True
     enable_emotions: bool = True
+    enable_speakers: bool = True
 
 
 # The constants, weights and output strings of the two rule generations.
@@ -107,11 +111,16 @@ V31 = Profile(
     sample_questions=5,
     interest_patterns=lx.INTEREST_PATTERNS_V31,
     context_window=25,
+    moment_labels=("general_interest", "Explore expressed interest in detail"),
     timeline_words=25.0,
     ensemble=(0.4, 0.35, 0.25),
     ngram_max=2,
     max_features=500,
     max_df=0.9,
+    confidences=(
+        ("sentiment_analysis", 0.85), ("topic_extraction", 0.8), ("lead_scoring", 0.78),
+        ("interest_detection", 0.75), ("overall_analysis", 0.8),
+    ),
 )
 
 V30 = Profile(
@@ -146,11 +155,16 @@ V30 = Profile(
     sample_questions=10,
     interest_patterns=lx.INTEREST_PATTERNS_V30,
     context_window=30,
+    moment_labels=("general", "Explore interest further"),
     timeline_words=20.0,
     ensemble=(0.4, 0.3, 0.3),
     ngram_max=3,
     max_features=1000,
     max_df=0.95,
+    confidences=(
+        ("sentiment_analysis", 0.85), ("topic_extraction", 0.8), ("lead_scoring", 0.78),
+        ("wow_moments", 0.75), ("overall_analysis", 0.8),
+    ),
 )
 
 

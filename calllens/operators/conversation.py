@@ -16,6 +16,7 @@ from calllens.config import Profile
 from calllens.functions import sentiment as sent
 from calllens.functions.arrays import let, rows_of
 from calllens.functions.extract import contains_any
+from calllens.functions.speakers import speaker_profiles, speaker_spans
 from calllens.functions.text import sentiment_bucket
 from calllens.functions.tokens import sentences, token_count, tokens, whitespace_words
 from calllens.operators.ordered import count_changes, running_totals
@@ -236,11 +237,18 @@ def speaker_profile(
     )
 
 
+def speaker_profile_text(calls: DataFrame, profile: Profile, key: str = "call_id", text: str = "text") -> DataFrame:
+    """As :func:`speaker_profile` for whole transcripts that hold their speaker tags; one
+    row per call and speaker, computed inside the call's row."""
+    return calls.select(key, F.inline(speaker_profiles(speaker_spans(F.col(text), profile), profile)))
+
+
 def speaker_changes(
     turns: DataFrame, key: str = "call_id", turn: str = "turn", speaker: str = "speaker",
     bucket_turns: int = 4096,
 ) -> DataFrame:
-    """Turns whose speaker differs from the previous turn's, per call."""
+    """Turns whose speaker differs from that of the turn before, per call; turns without a
+    speaker are passed over."""
     return count_changes(
         turns, [key], turn, speaker, F.floor(F.col(turn) / F.lit(bucket_turns)), "speaker_changes"
     )

@@ -59,21 +59,27 @@ def running_totals(
 def count_changes(
     df: DataFrame, keys: list[str], order: str, value: str, bucket: Column, name: str
 ) -> DataFrame:
-    """Per key, the number of rows whose ``value`` differs from the previous row's."""
+    """Per key, how often ``value`` changes from one known value to the next.
+
+    Rows without a value are passed over: of a, null, b the last is a change, of a, null,
+    a none is.  A key whose rows all lack a value has 0.
+    """
     rows = df.withColumn(BUCKET, bucket)
-    inside = W.partitionBy(*keys, BUCKET).orderBy(order)
-    previous = F.lag(value).over(inside)
+    inside = W.partitionBy(*keys, BUCKET).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    previous = F.last(value, ignorenulls=True).over(inside)
+    known = F.when(F.col(value).isNotNull(), F.col(order))  # null orders count for no row
     pieces = (
-        rows.withColumn("_changed", (previous.isNotNull() & (F.col(value) != previous)).cast("bigint"))
+        rows.withColumn("_changed", F.coalesce((F.col(value) != previous).cast("bigint"), F.lit(0)))
         .groupBy(*keys, BUCKET)
         .agg(
             F.sum("_changed").alias("_changes"),
-            F.min_by(value, order).alias("_first"),
-            F.max_by(value, order).alias("_last"),
+            F.min_by(F.col(value), known).alias("_first"),
+            F.max_by(F.col(value), known).alias("_last"),
         )
     )
-    before = F.lag("_last").over(W.partitionBy(*keys).orderBy(BUCKET))
-    edge = (before.isNotNull() & (F.col("_first") != before)).cast("bigint")
+    earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    before = F.last("_last", ignorenulls=True).over(earlier)
+    edge = F.coalesce((F.col("_first") != before).cast("bigint"), F.lit(0))
     return (
         pieces.withColumn("_edge", edge)
         .groupBy(*keys)

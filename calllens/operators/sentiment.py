@@ -121,3 +121,66 @@ def model_scores(
             yield pd.Series(values, dtype="float64")
 
     return df.withColumn(out, score(F.col(text)))
+
+
+def word_windows(text: str, size: int, overlap: int) -> Iterator[tuple[str, int]]:
+    """The text's blank-separated words in windows of ``size``, each beginning ``overlap``
+    words before the end of the one before; with the number of words in each."""
+    words = text.split()
+    at = 0
+    while at < len(words):
+        part = words[at : at + size]
+        yield " ".join(part), len(part)
+        if at + size >= len(words):
+            return
+        at += size - overlap
+
+
+def emotion_scores(
+    df: DataFrame,
+    load: Callable[[], Callable[[list[str]], list[dict[str, float]]]],
+    text: str = "text",
+    size: int = 256,
+    overlap: int = 32,
+    batch: int = 8,
+    out: str = "emotions",
+) -> DataFrame:
+    """Add a map of labels and scores by a user model, over whole texts.
+
+    ``load()`` runs once per task and returns a function from a list of texts to a
+    ``{label: score}`` each.  Models read only so much at once, so a text goes to it in
+    overlapping windows of ``size`` words, ``batch`` windows at a time, and a label's score
+    is the mean over the windows, weighted by their words; where a window lacks a label it
+    counts as 0.  A text without words has a null map.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap is smaller than the window")
+
+    @F.pandas_udf("labels array<string>, scores array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for series in batches:
+            totals: list[dict[str, float]] = [{} for _ in range(len(series))]
+            weights = [0] * len(series)
+            held: list[tuple[int, str, int]] = []
+
+            def passed() -> None:
+                for (row, _, n), labels in zip(held, model([t for _, t, _ in held])):
+                    weights[row] += n
+                    for label, value in labels.items():
+                        totals[row][label] = totals[row].get(label, 0.0) + n * float(value)
+                held.clear()
+
+            for row, value in enumerate(series):
+                for part, n in word_windows(value or "", size, overlap):
+                    held.append((row, part, n))
+                    if len(held) == batch:
+                        passed()
+            if held:
+                passed()
+            named = [sorted(t) if w else None for t, w in zip(totals, weights)]
+            means = [[t[x] / w for x in sorted(t)] if w else None for t, w in zip(totals, weights)]
+            yield pd.DataFrame({"labels": named, "scores": means})
+
+    scored = df.withColumn("_e", score(F.col(text)))
+    return scored.withColumn(out, F.map_from_arrays("_e.labels", "_e.scores")).drop("_e")

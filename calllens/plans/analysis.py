@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calllens import lexicons as lx
 from calllens.config import Profile
 from calllens.functions import extract, scoring
 from calllens.functions import sentiment as sent
 from calllens.functions.arrays import let, strings
+from calllens.functions.speakers import speaker_profiles, speaker_spans, word_spans
 from calllens.functions.text import base_name, clean_transcript, emotions, processing_id
 from calllens.functions.tokens import candidate_phrases, sentences, words
 from calllens.operators import conversation as conv
@@ -22,19 +24,28 @@ def analyze_calls(
     names=(),
     sentiment_in_score: bool = False,
     model_col: str | None = None,
+    emotions_col: str | None = None,
 ) -> DataFrame:
     """One nested result row per transcript ``(call_id, path, text)``.
 
     No stage shuffles: words, sentences, phrases and scanned pieces are computed
     once per row and every result is built from them, so the job is a map over
     the transcripts whatever their number.
+
+    A missing text stays missing and has the lists, sentiment and flow of an empty one;
+    only its lead is the neutral one.  ``model_col`` is a signed score that enters the
+    sentiment, ``emotions_col`` a map of labels and scores that stands in for the shares
+    of the sentiment where it is not null.
     """
     text = F.col("text")
     read = calls.select(
         "call_id",
         "path",
+        text.isNotNull().alias("_known"),
         *([F.col(model_col).alias("_model")] if model_col else [F.lit(0.0).alias("_model")]),
-        clean_transcript(text, profile).alias("text"),
+        *([F.col(emotions_col).alias("_emotions")] if emotions_col else []),
+        speaker_spans(F.coalesce(text, F.lit("")), profile).alias("_spans"),
+        clean_transcript(F.coalesce(text, F.lit("")), profile).alias("text"),
     )
     split = read.select(
         "*",
@@ -58,9 +69,8 @@ def analyze_calls(
         "*",
         let(F.col("_toks"), lambda t: sent.compound(t, profile)).alias("_compound"),
         sent.mean_valence(F.col("_toks"), profile.polarity).alias("_polarity"),
-        # a call without a text has no words and no sentences
-        F.coalesce(F.size("_toks"), F.lit(0)).alias("_n"),
-        *[F.coalesce(c, F.lit(0)).alias(f"_flow_{n}") for n, c in conv.flow_measures(F.col("_sents")).items()],
+        F.size("_toks").alias("_n"),
+        *[c.alias(f"_flow_{n}") for n, c in conv.flow_measures(F.col("_sents")).items()],
     )
     mixed = sent.ensemble(F.col("_compound"), F.col("_polarity"), F.col("_model"), profile)
     scored = values.withColumn(
@@ -68,7 +78,7 @@ def analyze_calls(
     ).withColumn(
         "_value",
         scoring.score(
-            F.size("_interest"), F.size("_buying"), F.size("_concern"), F.when(text.isNotNull(), F.col("_n")), profile,
+            F.size("_interest"), F.size("_buying"), F.size("_concern"), F.when(F.col("_known"), F.col("_n")), profile,
             F.col("_sentiment") if sentiment_in_score else None,
         ),
     ).withColumn("_score", scoring.score_or_neutral(F.col("_value")))
@@ -78,6 +88,30 @@ def analyze_calls(
         if shares
         else F.create_map().cast("map<string,double>")
     )
+    if emotions_col and profile.enable_emotions:
+        emotion_map = F.coalesce("_emotions", emotion_map)
+    speaker_list = speaker_profiles(F.col("_spans") if profile.enable_speakers else F.slice("_spans", 1, 0), profile)
+    moment_topic, follow_up = profile.moment_labels
+
+    def spoken_by(m, of_words):
+        if not profile.enable_speakers:
+            return F.lit(None).cast("string")
+        return F.get("_spans", F.get(of_words, m["start"]))["speaker"]
+
+    def moment_list(of_words):
+        return F.transform(
+            moments.moments_from(F.col("_words"), profile),
+            lambda m: F.struct(
+                m["phrase"].alias("phrase"),
+                m["context"].alias("context"),
+                m["t"].alias("t"),
+                m["intensity"].alias("intensity"),
+                F.lit(moment_topic).alias("topic"),
+                spoken_by(m, of_words).alias("speaker"),
+                F.lit(follow_up).alias("follow_up"),
+            ),
+        )
+
     topic_list = (
         F.transform(
             topics.topics_from(F.col("_phrases"), profile.max_topics),
@@ -94,7 +128,7 @@ def analyze_calls(
         "call_id",
         base_name(F.col("path")).alias("file_name"),
         processing_id(F.col("path")).alias("processing_id"),
-        "text",
+        F.when(F.col("_known"), text).alias("text"),
         F.col("_n").cast("bigint").alias("word_count"),
         (F.col("_n") / F.lit(profile.words_per_minute)).alias("duration_minutes"),
         F.struct(
@@ -103,15 +137,8 @@ def analyze_calls(
             emotion_map.alias("emotions"),
         ).alias("sentiment"),
         topic_list.alias("topics"),
-        F.transform(
-            moments.moments_from(F.col("_words"), profile),
-            lambda m: F.struct(
-                m["phrase"].alias("phrase"),
-                m["context"].alias("context"),
-                m["t"].alias("t"),
-                m["intensity"].alias("intensity"),
-            ),
-        ).alias("moments"),
+        speaker_list.alias("speakers"),
+        let(word_spans(F.col("_spans")), moment_list).alias("moments"),
         F.struct(
             scoring.class_or_neutral(F.col("_value"), profile).alias("class"),
             F.col("_score").alias("score"),
@@ -145,6 +172,7 @@ def analyze_calls(
             *[c.alias(n) for n, c in questions.items()],
             F.slice("_questions", 1, profile.sample_questions).alias("sample_questions"),
         ).alias("questions"),
+        F.create_map(*[F.lit(x) for pair in profile.confidences for x in pair]).alias("confidences"),
     )
 
 
@@ -204,6 +232,7 @@ def feature_view(
     profile: Profile,
     changes: DataFrame | None = None,
     responses: DataFrame | None = None,
+    positive=lx.FEATURE_POSITIVE,
 ) -> DataFrame:
     """The ten named features of each transcript ``(call_id, text)``.
 
@@ -228,7 +257,7 @@ def feature_view(
         "text",
     )
     # the linguistic features come from the same row, so no join is needed
-    rows = text_features(measured, "call_id", "text", keep=measured.columns[1:-1])
+    rows = text_features(measured, "call_id", "text", positive, keep=measured.columns[1:-1])
     if changes is not None:
         rows = rows.join(changes.select("call_id", "speaker_changes"), "call_id", "left")
     else:

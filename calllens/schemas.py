@@ -24,7 +24,11 @@ ANALYSIS = (
     "duration_minutes double, "
     "sentiment struct<score: double, confidence: double, emotions: map<string, double>>, "
     "topics array<struct<name: string, relevance: double>>, "
-    "moments array<struct<phrase: string, context: string, t: double, intensity: double>>, "
+    "speakers array<struct<speaker: string, role: string, turn_count: bigint, word_count: bigint, "
+    "share_pct: double, positive_share: double, negative_share: double, neutral_share: double, "
+    "engagement: double, concerns: array<string>>>, "
+    "moments array<struct<phrase: string, context: string, t: double, intensity: double, "
+    "topic: string, speaker: string, follow_up: string>>, "
     "lead struct<class: string, score: double, confidence: double, interest: array<string>, "
     "buying: array<string>, concerns: array<string>, personality: string, decision: string, "
     "strategy: string, next_actions: array<string>, risk_factors: array<string>, "
@@ -35,5 +39,6 @@ ANALYSIS = (
     "question_count: bigint, exclamation_count: bigint, conversation_pace: string>, "
     "timeline array<struct<t: double, v: double>>, "
     "questions struct<total_questions: bigint, open_ended: bigint, yes_no: bigint, "
-    "clarifying: bigint, sample_questions: array<string>>"
+    "clarifying: bigint, sample_questions: array<string>>, "
+    "confidences map<string, double>"
 )

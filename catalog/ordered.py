@@ -35,6 +35,18 @@ def _(spark, sf):
     return conv.speaker_changes(tables.turns(spark, sf))
 
 
+# turns whose speaker is not known are passed over
+@query("speaker_changes_gaps", "call_id:long speaker_changes:long", f"""WITH {sp.TURNS},
+told AS (SELECT call_id, turn, CASE WHEN (turn * 7 + call_id) % 3 > 0 AND call_id % 5 > 0 THEN speaker END AS speaker FROM turns),
+seen AS (SELECT call_id, speaker, lag(speaker) OVER (PARTITION BY call_id ORDER BY turn) AS prev FROM told WHERE speaker IS NOT NULL),
+changed AS (SELECT call_id, count(*) FILTER (WHERE prev <> speaker) AS n FROM seen GROUP BY call_id) --final
+SELECT call_id, coalesce(n, 0) AS speaker_changes FROM (SELECT DISTINCT call_id FROM turns) LEFT JOIN changed USING (call_id)""")
+def _(spark, sf):
+    known = ((F.col("turn") * 7 + F.col("call_id")) % 3 > 0) & (F.col("call_id") % 5 > 0)
+    turns = tables.turns(spark, sf).withColumn("speaker", F.when(known, F.col("speaker")))
+    return conv.speaker_changes(turns, bucket_turns=2)
+
+
 @query("event_changes", "user_id:long changes:long", """WITH seen AS (SELECT user_id, event_type,
   lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) --final
 SELECT user_id, count(*) FILTER (WHERE prev IS NOT NULL AND prev <> event_type) AS changes FROM seen GROUP BY user_id""")

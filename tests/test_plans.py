@@ -17,7 +17,7 @@ TRAINING = {"random_forest", "gradient_boosting", "cross_validate", "feature_imp
 # queries that write before they return; their plan is only the read back
 STORED = {"stuck_jobs", "ingest_stream", "analyze_stream", "dedupe_requests", "running_performance_stream",
           "read_transcripts_v31", "read_transcripts_v30", "write_read_results", "results_by_day"}
-PYTHON = {"model_scores"}
+PYTHON = {"model_scores", "analysis_emotions"}
 
 
 @pytest.fixture(scope="module")
