@@ -8,10 +8,10 @@ from calllens.functions import extract
 from calllens.functions.text import trigram_similarity
 from calllens.functions.tokens import sentence_ngrams, sentences, tokens
 from calllens.lexicons import pattern_phrases
-from calllens.operators import extraction, moments, similarity, topics
+from calllens.operators import extraction, index, moments, similarity, topics
 from calllens.operators import sentiment as senti
 from calllens.plans.analysis import analyze_calls
-from calllens.session import small_table
+from calllens.session import scratch_dir, small_table
 from calllens.sources import tables
 from catalog import sqlparts as sp
 from catalog.aggregates import N_WORDS, POLARITY_CASE
@@ -257,17 +257,41 @@ def _(spark, sf):
     return topics.topic_rows(tables.transcripts(spark, sf), PROBE_V31)
 
 
-@query("fulltext_search", "call_id:long score:d6", f"""WITH {sp.TRANSCRIPTS}, {sp.tok_rows('transcripts')},
+SEARCH_SQL = f"""WITH {sp.TRANSCRIPTS}, {sp.tok_rows('transcripts')},
 tf AS (SELECT call_id, tok, count(*) AS n FROM tok WHERE tok IN ('tion', 'heed', 'ing') GROUP BY call_id, tok),
 idf AS (SELECT tok, ln((1 + (SELECT count(*) FROM transcripts)) / (1 + count(*))::DOUBLE) + 1 AS w FROM tf GROUP BY tok),
 scored AS (SELECT call_id, sum(n * w) AS score, count(*) AS k FROM tf JOIN idf USING (tok) GROUP BY call_id) --final
-SELECT call_id, score FROM scored WHERE k = 3 ORDER BY round(score, 9) DESC, call_id LIMIT 50""")
+SELECT call_id, score FROM scored WHERE k = 3 ORDER BY round(score, 9) DESC, call_id LIMIT 50"""
+
+
+@query("fulltext_search", "call_id:long score:d6", SEARCH_SQL)
 def _(spark, sf):
     return topics.fulltext_search(
         tables.transcripts(spark, sf), "tion of the heed ing", 50, PROBE_V31.stop_words
     )
 
 
+def indexed(spark, sf):
+    """The transcripts in an index, in two arrivals of which the second repeats calls."""
+    folder = scratch_dir(spark, "index")
+    calls = tables.transcripts(spark, sf)
+    index.add_segment(calls.where("call_id % 3 = 0"), folder, 0, block_calls=32)
+    index.add_segment(calls.where("call_id % 3 > 0 OR call_id % 5 = 0"), folder, 1, block_calls=32)
+    return folder
+
+
+@query("indexed_search", "call_id:long score:d6", SEARCH_SQL)
+def _(spark, sf):
+    return index.search(spark, indexed(spark, sf), "tion of the heed ing", 50, PROBE_V31.stop_words, first_blocks=4)
+
+
+@query("phrase_search", "call_id:long n:long first:long", f"""WITH {sp.TRANSCRIPTS}, {sp.tok_rows('transcripts')}, {GRAMS3} --final
+SELECT call_id, count(*) AS n, min(pos) AS first FROM gram WHERE phrase = 'de la' GROUP BY call_id""")
+def _(spark, sf):
+    found = index.phrase_search(spark, indexed(spark, sf), "De la")
+    return found.select("call_id", F.size("places").alias("n"), F.get("places", F.lit(0)).alias("first"))
+
+
 GRAMS_SQL = r"""list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''),
   lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 
