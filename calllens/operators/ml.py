@@ -4,16 +4,11 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
-from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
     HashingTF,
@@ -27,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calllens.operators.boosting import BoostedModel, fit_boosting, load_boosting, save_boosting
 from calllens.operators.ordered import running_totals
 
 TREES, DEPTH, MIN_SPLIT = 100, 10, 5
@@ -81,16 +77,13 @@ def index_labels(df: DataFrame, label: str):
     ).fit(df)
 
 
-def _classifier(kind: str, seed: int, trees: int, rounds: int):
+def _classifier(kind: str, seed: int, trees: int):
     if kind == "random_forest":
         # a node of fewer than MIN_SPLIT rows must not split; the nearest setting
         # here is the smallest child size, half of that
         return RandomForestClassifier(
             numTrees=trees, maxDepth=DEPTH, minInstancesPerNode=MIN_SPLIT // 2, seed=seed
         )
-    if kind == "gradient_boosting":
-        booster = GBTClassifier(maxIter=rounds, stepSize=RATE, maxDepth=BOOST_DEPTH, seed=seed)
-        return OneVsRest(classifier=booster, rawPredictionCol="rawPrediction")
     raise ValueError(f"unknown model type: {kind!r}")
 
 
@@ -102,44 +95,39 @@ def train_lead_model(
     seed: int = 42,
     trees: int = TREES,
     rounds: int = ROUNDS,
-) -> PipelineModel:
-    """Fit scaler, label index and classifier as one pipeline model."""
+) -> PipelineModel | BoostedModel:
+    """Fit scaler, label index and classifier as one pipeline model, or boosted trees,
+    which need neither; both kinds predict, weigh features, save and load alike."""
+    if kind == "gradient_boosting":
+        return fit_boosting(train, label, features, rounds, RATE, BOOST_DEPTH)
     data = train.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexer = index_labels(data, label)
         decode = IndexToString(
             inputCol="prediction", outputCol="predicted_class", labels=list(indexer.labels)
         )
-        stages = [*assemble_scale(features), indexer, _classifier(kind, seed, trees, rounds), decode]
+        stages = [*assemble_scale(features), indexer, _classifier(kind, seed, trees), decode]
         return Pipeline(stages=stages).fit(data)
     finally:
         data.unpersist()
 
 
-def class_names(model: PipelineModel) -> list[str]:
+def class_names(model: PipelineModel | BoostedModel) -> list[str]:
+    if isinstance(model, BoostedModel):
+        return list(model.classes)
     return list(next(s for s in model.stages if isinstance(s, IndexToString)).getLabels())
 
 
-def _probabilities(columns: list[str]) -> Column:
-    """Class probabilities; boosted one-vs-rest scores go through the logistic link
-    of the loss and are made to sum to one."""
-    if "probability" in columns:
-        return vector_to_array("probability")
-    links = F.transform(
-        vector_to_array("rawPrediction"), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(m * -2.0))
-    )
-    total = F.aggregate(links, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(links, lambda p: p / total)
-
-
-def predict(model: PipelineModel, df: DataFrame, version: str = "v1", keep=()) -> DataFrame:
+def predict(model: PipelineModel | BoostedModel, df: DataFrame, version: str = "v1", keep=()) -> DataFrame:
     """Class, confidence, class-to-probability map, weights of the features and model
     version of every row; a model without named features gives no weights."""
-    # the label index is for training only
-    stages = [s for s in model.stages if not s.__class__.__name__.startswith("StringIndexer")]
-    scored = PipelineModel(stages).transform(df)
+    if isinstance(model, BoostedModel):
+        staged = model.transform(df).withColumn("_p", F.col("probability"))
+    else:
+        # the label index is for training only
+        stages = [s for s in model.stages if not s.__class__.__name__.startswith("StringIndexer")]
+        staged = PipelineModel(stages).transform(df).withColumn("_p", vector_to_array("probability"))
     names = F.array(*[F.lit(c) for c in class_names(model)])
-    staged = scored.withColumn("_p", _probabilities(scored.columns))
     pairs = [x for name, weight in feature_weights(model) for x in (F.lit(name), F.lit(weight))]
     contributions = F.create_map(*pairs).cast("map<string,double>")
     return staged.select(
@@ -238,21 +226,18 @@ def cross_validate(
     )
 
 
-def feature_weights(model: PipelineModel) -> list[tuple[str, float]]:
-    """Name and importance of each feature; boosted classes are averaged."""
+def feature_weights(model: PipelineModel | BoostedModel) -> list[tuple[str, float]]:
+    """Name and importance of each feature."""
+    if isinstance(model, BoostedModel):
+        return model.importances()
     assembler = next((s for s in model.stages if isinstance(s, VectorAssembler)), None)
     if assembler is None:
         return []
-    names, fitted = assembler.getInputCols(), model.stages[-2]
-    if hasattr(fitted, "featureImportances"):
-        weights = fitted.featureImportances.toArray()
-    else:
-        per_class = [m.featureImportances.toArray() for m in fitted.models]
-        weights = reduce(lambda a, b: a + b, per_class) / len(per_class)
-    return [(n, float(w)) for n, w in zip(names, weights)]
+    weights = model.stages[-2].featureImportances.toArray()
+    return [(n, float(w)) for n, w in zip(assembler.getInputCols(), weights)]
 
 
-def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
+def feature_importance(model: PipelineModel | BoostedModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(feature_weights(model), "feature string, importance double")
 
 
@@ -275,15 +260,20 @@ def train_text_classifier(
 
 
 def save_model(
-    model: PipelineModel, root: str, version: str, spark: SparkSession, metrics: dict | None = None
+    model: PipelineModel | BoostedModel, root: str, version: str, spark: SparkSession, metrics: dict | None = None
 ) -> None:
-    """Write the pipeline and one metadata row below ``root/version``."""
+    """Write the model and one metadata row below ``root/version``."""
     base = f"{root.rstrip('/')}/{version}"
-    model.write().overwrite().save(f"{base}/model")
-    assembler = next((s for s in model.stages if isinstance(s, VectorAssembler)), None)
+    if isinstance(model, BoostedModel):
+        save_boosting(model, f"{base}/boosted", spark)
+        names = model.features
+    else:
+        model.write().overwrite().save(f"{base}/model")
+        assembler = next((s for s in model.stages if isinstance(s, VectorAssembler)), None)
+        names = list(assembler.getInputCols()) if assembler else []
     row = (
         version,
-        list(assembler.getInputCols()) if assembler else [],
+        names,
         class_names(model),
         json.dumps(metrics or {}, sort_keys=True),
         datetime.now(timezone.utc),
@@ -295,6 +285,10 @@ def save_model(
     ).write.mode("overwrite").parquet(f"{base}/metadata")
 
 
-def load_model(root: str, version: str, spark: SparkSession) -> tuple[PipelineModel, DataFrame]:
+def load_model(root: str, version: str, spark: SparkSession) -> tuple[PipelineModel | BoostedModel, DataFrame]:
     base = f"{root.rstrip('/')}/{version}"
-    return PipelineModel.load(f"{base}/model"), spark.read.parquet(f"{base}/metadata")
+    metadata = spark.read.parquet(f"{base}/metadata")
+    try:
+        return load_boosting(f"{base}/boosted", spark), metadata
+    except AnalysisException:  # no such folder: a pipeline
+        return PipelineModel.load(f"{base}/model"), metadata
