@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,14 @@ from calllens.config import Profile
 from calllens.functions import extract
 from calllens.functions import patterns as pt
 from calllens.functions.arrays import first_distinct, let, rows_of
-from calllens.functions.tokens import candidate_phrases, ngrams, sentences, tokens, tokens_of, words
+from calllens.functions.tokens import candidate_phrases, sentences, tokens, tokens_of, words
 from calllens.lexicons import pattern_phrases
 from calllens.operators.topics import top_k_per_call
-from calllens.session import small_table
+from calllens.session import small_table, stored
 
 PHRASE_LABELS = ("MONEY", "PERCENT")
+#: Buckets near a match that are sent to the tasks.
+FEW = 200_000
 
 
 def name_patterns(names) -> list[tuple]:
@@ -136,23 +140,6 @@ def sentence_rows(df: DataFrame, key: str = "call_id", text: str = "text") -> Da
     return df.select(key, F.inline(numbered))
 
 
-def ngram_rows(
-    df: DataFrame, n_max: int, keys: list[str], text: str = "text"
-) -> DataFrame:
-    """``(keys, pos, n, phrase)`` for every n-gram up to ``n_max``."""
-
-    def sized(toks: Column, n: int) -> Column:
-        return F.transform(
-            ngrams(toks, n),
-            lambda g, i: F.struct(i.alias("pos"), F.lit(n).alias("n"), g.alias("phrase")),
-        )
-
-    def placed(toks: Column) -> Column:
-        return F.concat(*[sized(toks, n) for n in range(1, n_max + 1)])
-
-    return df.select(*keys, F.inline(let(tokens(F.col(text)), placed)))
-
-
 def lexicon_join(tokens_df: DataFrame, lexicon: DataFrame, term: str = "term") -> DataFrame:
     """Attach lexicon columns to matching tokens.
 
@@ -168,13 +155,56 @@ def pattern_table(spark: SparkSession, patterns) -> DataFrame:
     return rows.withColumn("n", F.col("n").cast("int"))
 
 
+def pattern_trie(table: DataFrame) -> DataFrame:
+    """A pattern table ``(n, phrase)`` as a trie: an edge ``(depth, parent, tok, node, ends)``
+    per distinct beginning, named by its text; ``ends`` where a pattern does."""
+    cut = table.select(F.split("phrase", " ").alias("t"))
+    edges = cut.select(
+        F.inline(
+            F.transform(
+                F.sequence(F.lit(1), F.size("t")),
+                lambda i: F.struct(
+                    i.alias("depth"),
+                    F.array_join(F.slice("t", F.lit(1), i - 1), " ").alias("parent"),
+                    F.get("t", i - 1).alias("tok"),
+                    F.array_join(F.slice("t", F.lit(1), i), " ").alias("node"),
+                    (i == F.size("t")).alias("ends"),
+                ),
+            )
+        )
+    )
+    return edges.groupBy("depth", "parent", "tok", "node").agg(F.bool_or("ends").alias("ends"))
+
+
 def pattern_matches(
     df: DataFrame, table: DataFrame, keys=("call_id",), text: str = "text"
 ) -> DataFrame:
     """Matches of a pattern table of any size ``(keys, pos, n, phrase)``; patterns may
-    be of any length."""
-    n_max = table.agg(F.max("n")).first()[0] or 1
-    return ngram_rows(df, n_max, list(keys), text).join(table, ["n", "phrase"])
+    be of any length.
+
+    Tokens that begin a pattern are the first live beginnings; in every further step a
+    beginning lives on if its next token continues a pattern.  Only tokens that some
+    pattern holds are kept, and no n-gram is built.
+    """
+    keys = list(keys)
+    trie = stored(pattern_trie(table), "pattern-trie")
+    longest = trie.agg(F.max("depth")).first()[0] or 0
+    rows = df.select(*keys, rows_of(tokens(F.col(text)), "tok", "pos"))
+    known = trie.select("tok").distinct()
+    toks = stored(rows.join(known, "tok", "left_semi").select(*keys, "pos", "tok"), "pattern-tokens")
+    live = toks.join(trie.where("depth = 1"), "tok").select(*keys, F.col("pos").alias("_start"), "node", "ends")
+    found = []
+    for depth in range(1, longest + 1):
+        if depth > 1:
+            ahead = live.select(*keys, "_start", F.col("node").alias("parent"), (F.col("_start") + depth - 1).alias("pos"))
+            stepped = ahead.join(toks, [*keys, "pos"]).join(trie.where(F.col("depth") == depth), ["parent", "tok"])
+            live = stored(stepped.select(*keys, "_start", "node", "ends"), "pattern-steps")
+        found.append(live.where("ends").select(*keys, F.col("_start").alias("pos"), F.lit(depth).alias("n"), F.col("node").alias("phrase")))
+        if depth > 1 and live.isEmpty():
+            break
+    if not found:
+        return live.select(*keys, F.col("_start").alias("pos"), F.lit(0).alias("n"), F.col("node").alias("phrase"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def gazetteer_join(
@@ -218,7 +248,8 @@ def context_window(
     """Tokens within ``k`` of each match ``(key, start, n)``: a range join.
 
     Both sides are cut into position buckets and meet by equality on
-    (key, bucket), so a long call spreads over many tasks.
+    (key, bucket), so a long call spreads over many tasks.  While the buckets near a match
+    are few, which is checked, tokens elsewhere are left out before the shuffle.
     """
     width = 4 * k + 8
     lo, hi = F.col("start") - k, F.col("start") + F.col("n") + k - 1
@@ -226,6 +257,9 @@ def context_window(
         "_b", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
     )
     placed = tokens_df.withColumn("_b", F.floor(F.col("pos") / width))
+    near = spread.select(key, "_b").distinct()
+    if near.limit(FEW + 1).count() <= FEW:
+        placed = placed.join(F.broadcast(near), [key, "_b"], "left_semi")
     joined = spread.join(placed, [key, "_b"]).where(
         (F.col("pos") >= lo) & (F.col("pos") <= hi)
     )

@@ -19,6 +19,7 @@ from calllens.functions.tokens import (
     tokens,
     tokens_of,
 )
+from calllens.session import stored
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 
@@ -90,13 +91,6 @@ def _terms(text: str, ngram_max: int, stop_words) -> Column:
     return ngrams_upto(kept, ngram_max)
 
 
-def term_counts(
-    df: DataFrame, ngram_max: int, stop_words, key: str = "call_id", text: str = "text"
-) -> DataFrame:
-    """``(key, term, n)`` of every transcript row, without a shuffle."""
-    return df.select(key, F.inline(run_lengths(_terms(text, ngram_max, stop_words))))
-
-
 def vocabulary(
     counts: DataFrame, documents: DataFrame, max_features: int | None, min_df: int, max_df: float
 ) -> DataFrame:
@@ -124,10 +118,12 @@ def tfidf(
 
     tf x (ln((1+n)/(1+df)) + 1), L2-normalised per call over the vocabulary.
     """
-    counts = term_counts(df, profile.ngram_max, profile.stop_words, key, text)
-    vocab = vocabulary(counts, df, profile.max_features, min_df, profile.max_df)
-    # counted in the row, so one exchange by call serves both windows; Catalyst broadcasts
-    # the vocabulary while its size is under the threshold
+    # counted in the row and stored a list per call: the texts are cut into terms once
+    lists = stored(df.select(key, run_lengths(_terms(text, profile.ngram_max, profile.stop_words)).alias("_terms")), "term-counts")
+    counts = lists.select(key, F.inline(F.transform("_terms", lambda x: x)))
+    vocab = vocabulary(counts, lists, profile.max_features, min_df, profile.max_df)
+    # one exchange by call serves both windows; Catalyst broadcasts the vocabulary while
+    # its size is under the threshold
     counts = counts.join(vocab, "term")
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     weighted = counts.select(key, "term", (F.col("n") * idf).alias("_w"))

@@ -97,3 +97,36 @@ def test_names_meet_by_first_word(spark, small):
     sents = extraction.sentence_rows(tables.transcripts(spark, small))
     plan = plan_of(extraction.gazetteer_join(sents, names_table(spark)))
     assert "_first" in plan and "CartesianProduct" not in plan
+
+
+def test_patterns_meet_as_a_trie(spark):
+    """No n-gram is built, and the tokens kept are those that some pattern holds."""
+    from calllens.operators import extraction
+
+    rows = [(1, "we want to buy now and buy it now buy"), (2, None), (3, "to to to to buy to")]
+    df = spark.createDataFrame(rows, "call_id int, text string")
+    phrases = ["buy", "buy it now", "want to buy", "to to to", "never said at all", "now buy"]
+    table = spark.createDataFrame([(len(p.split()), p) for p in phrases], "n int, phrase string")
+    got = sorted((r.call_id, r.pos, r.n, r.phrase) for r in extraction.pattern_matches(df, table).collect())
+    want = []
+    for key, text in rows:
+        toks = (text or "").split()
+        want += [(key, i, len(p.split()), p) for p in phrases for i in range(len(toks)) if toks[i : i + len(p.split())] == p.split()]
+    assert got == sorted(want)
+    assert extraction.pattern_matches(df, table.limit(0)).collect() == []
+    edges = {(r.parent, r.tok): (r.depth, r.ends) for r in extraction.pattern_trie(table).collect()}
+    assert edges["buy", "it"] == (2, False) and edges["", "buy"] == (1, True) and edges["to to", "to"] == (3, True)
+
+
+def test_context_windows_leave_far_tokens_out_before_the_shuffle(spark):
+    from calllens.operators import extraction
+
+    toks = spark.range(100_000).select((F.col("id") % 50).alias("call_id"), F.floor(F.col("id") / 50).alias("pos"), F.lit("w").alias("tok"))
+    hits = toks.where("pos = 1000 AND call_id < 5").select("call_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
+    found = extraction.context_window(hits, toks, 3)
+    assert "LeftSemi" in plan_of(found) and found.count() == 5 * 7
+
+
+def test_tfidf_cuts_the_texts_once(spark, small):
+    plan = plan_of(topics.tfidf(tables.transcripts(spark, small), V31))
+    assert "documents.parquet" not in plan and "term-counts" in plan
