@@ -14,6 +14,7 @@ import json
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,11 +199,12 @@ class WaveletFile:
         return self.alphabet[order] if len(order) else order
 
 
-# Letters whose lower case is one letter, that no normalisation changes, and that the
-# tokenizer's word pattern takes together.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-# Such letters before ASCII signs (no apostrophe, which may begin a contraction): two words to it.
-SIGNED = re.compile(PLAIN.pattern + "(?=[!-&(-/:-@\\[-`{-~]+$)")
+# A word in UTF-8 with A-Z lowered: letters a-z and U+00C0 to U+00FF, whose lower case is one
+# letter, that no normalisation changes, and that the tokenizer's word pattern takes
+# together; then ASCII signs (no apostrophe, which may begin a contraction), a word of their own to it.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+# In such a word the second bytes of capital letters, moved to those of the small ones.
+SMALL = bytes(b + 32 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256))
 
 
 def byte_letters() -> dict[int, str]:
@@ -219,16 +221,19 @@ class Encoder(dict):
     No token spans white space, so the ids of a text are those of its blank-separated
     words in order, and each new word is encoded once.  Signs behind plain letters are
     looked up apart.  A word of plain letters is one word to the tokenizer and goes
-    straight to its merge model; any other goes through the whole tokenizer.  Words are
-    remembered in two halves: when the newer one (this dict) reaches ``most`` entries it
+    straight to its merge model; any other goes through the whole tokenizer, and so do
+    words that hold a special token's string, whose case the tokenizer tells apart.  Words
+    are remembered in two halves: when the newer one (this dict) reaches ``most`` entries it
     becomes the older one, whose rare words are then forgotten.
     """
 
-    def __init__(self, path: str, end_id: int | None, most: int = 200_000):
+    def __init__(self, path: str, end_id: int | None, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.end = b"" if end_id is None else self.dtype(end_id).tobytes()
         self.packed = packed = [self.dtype(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
@@ -249,16 +254,24 @@ class Encoder(dict):
     def other(self, word: bytes) -> bytes:
         if word[-1:] in b".," and word[:-1].isalpha():
             return self[word[:-1]] + self[word[-1:]]
+        if found := PLAIN.fullmatch(word):
+            letters, signs = found.groups()
+            if signs:
+                return self[letters] + self[signs]
+            return self.plain(charmap_decode(letters.translate(SMALL), "strict", self.letters)[0])
         text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text):
-            return self.plain(text.lower().encode().decode("latin-1").translate(self.letters))
-        if found := SIGNED.match(text):
-            letters = found[0].encode()
-            return self[letters] + self[word[len(letters) :]]
         return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
+    def words(self, data: bytes) -> list[bytes]:
+        low = data.lower()
+        for special in self.special:
+            if special in low:
+                held = self.special
+                return [w if any(s in w.lower() for s in held) else w.lower() for w in data.split()]
+        return low.split()
+
     def text(self, data: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, data.lower().split())) + self.end, self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.words(data))) + self.end, self.dtype)
 
 
 def write_tokens(

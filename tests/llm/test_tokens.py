@@ -23,6 +23,8 @@ def test_word_by_word_equals_whole_texts(spark, small, tokenizer):
     rng = random.Random(5)
     odd = "ab'.,1é́ ‍ ΣİAs\n\t<|>$%*_ ßſ！３"
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(60).collect()]
+    texts += ["<|ENDOFTEXT|>", "<|StartOfText|>", "a<|ENDoftext|>b", "<|endoftext|>", "AB<|endoftext|>CD", "É<|ENDOFTEXT|>, X. <|", "ÀÉÞ×÷ß. ÿ,"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "A", "é", " ", "É.", ",."]) for _ in range(6)) for _ in range(300)]
     texts += ["", " ", "<|endoftext|>. x<|startoftext|>,", "don't I'LL 'tis a.b,c 3.14 ... .,"]
     texts += ["".join(rng.choice(odd) for _ in range(50)) for _ in range(400)]
     for text in texts:
