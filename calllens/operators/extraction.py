@@ -253,7 +253,9 @@ def context_window(
     """
     width = 4 * k + 8
     lo, hi = F.col("start") - k, F.col("start") + F.col("n") + k - 1
-    spread = matches.withColumn(
+    # stored, as the matches are looked at twice
+    held = stored(matches.select(key, "start", "n"), "matches")
+    spread = held.withColumn(
         "_b", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
     )
     placed = tokens_df.withColumn("_b", F.floor(F.col("pos") / width))

@@ -12,7 +12,8 @@ from calllens.functions.tokens import sentences
 from calllens.operators import sentiment as senti
 from calllens.operators.conversation import response_time_avg, speaker_changes, speaker_profile_text
 from calllens.plans.analysis import FEATURES, analyze_calls, feature_view
-from calllens.sources import tables
+from calllens.session import scratch_dir
+from calllens.sources import domain, tables
 from catalog import aggregates, filters, joins, ordered, projections, text  # noqa: F401  the SQL they register
 from catalog import sqlparts as sp
 from catalog.aggregates import POLARITY_CASE
@@ -259,3 +260,75 @@ def _(spark, sf):
     found = analyze_calls(calls, PROBE_V31, emotions_col="model_emotions")
     labels = F.array_sort(F.map_keys("sentiment.emotions"))
     return found.select("call_id", labels.alias("labels"), *[F.col("sentiment.emotions")[e].alias(e) for e in ("calm", "doubt")])
+
+
+# relational tables ----------------------------------------------------------------------
+
+
+@query("table_interest_moments", "call_transcript_id:str trigger_phrase:str context_md5:str estimated_timestamp:d6 intensity_score:d6",
+       f"""WITH q0 AS ({oracle('interest_moments_v31', PROBE_V31)}) --final
+SELECT md5(CAST(call_id AS VARCHAR)) AS call_transcript_id, phrase AS trigger_phrase, context_md5, t AS estimated_timestamp, intensity AS intensity_score FROM q0""")
+def _(spark, sf):
+    root = scratch_dir(spark, "tables")
+    made = domain.normalised(rows(spark, sf, PROBE_V31))
+    domain.write_tables({"interest_moments": made["interest_moments"]}, domain.SET_A, root)
+    held = domain.read_domain(spark, root, domain.SET_A["interest_moments"])
+    return held.withColumn("context_md5", F.md5("contextual_content"))
+
+
+@query("table_call_topics", "call_transcript_id:str topic_name:str relevance_score:d6",
+       f"""WITH q0 AS ({oracle('phrase_frequency', PROBE_V31)}) --final
+SELECT md5(CAST(call_id AS VARCHAR)) AS call_transcript_id, name AS topic_name, relevance AS relevance_score FROM q0""")
+def _(spark, sf):
+    return domain.normalised(rows(spark, sf, PROBE_V31))["call_topics"]
+
+
+@query("table_audio_files", "filename:str file_size_bytes:long file_size_mb:d6 duration_seconds:d6 duration_minutes:d6", """WITH
+a AS (SELECT 'call-' || CAST(doc_id AS VARCHAR) || '.mp3' AS filename, n_chars * 1000 AS file_size_bytes, CAST(n_chars / 7.0 AS DECIMAL(10, 2)) AS duration_seconds FROM documents) --final
+SELECT filename, file_size_bytes, CAST(file_size_bytes / 1048576.0::DOUBLE AS DECIMAL(10, 2)) AS file_size_mb, duration_seconds,
+  round(CAST(duration_seconds AS DOUBLE) / 60 + 1e-9, 2) AS duration_minutes FROM a""")
+def _(spark, sf):
+    root = scratch_dir(spark, "tables")
+    files = tables.transcripts(spark, sf).select(
+        F.concat(F.lit("call-"), F.col("call_id").cast("string"), F.lit(".mp3")).alias("filename"),
+        (F.col("size_bytes") * 1000).alias("file_size_bytes"), (F.col("size_bytes") / 7).cast("decimal(10,2)").alias("duration_seconds"),
+    )
+    domain.write_tables({"audio_files": files}, domain.SET_B, root)
+    return domain.read_domain(spark, root, domain.SET_B["audio_files"])
+
+
+# jobs and results made of events, many of them broken; half of the results refer to no file
+@query("table_violations", "table_name:str rule:str rows:long", """WITH
+j AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'stuck' WHEN 'view' THEN NULL ELSE 'completed' END AS status, CAST(json_extract_string(props, '$.k') AS INT) * 2 - 20 AS progress FROM events),
+f AS (SELECT CAST(user_id AS VARCHAR) AS id, 'file-' || CAST(user_id // 2 AS VARCHAR) AS filename FROM events GROUP BY user_id),
+r AS (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN CAST(user_id + 75 AS VARCHAR) END AS audio_file_id, value / 60 - 1.1 AS score,
+  repeat('x', 500 + CAST(event_id % 30 AS INT)) || CAST(event_id AS VARCHAR) AS ident, CASE WHEN event_type = 'error' THEN 'Lukewarm' ELSE 'Hot' END AS lead FROM events),
+told AS (SELECT 'processing_jobs' AS table_name, 'status_missing' AS rule, count(*) FILTER (WHERE status IS NULL) AS n FROM j
+  UNION ALL SELECT 'processing_jobs', 'status_domain', count(*) FILTER (WHERE status = 'stuck') FROM j
+  UNION ALL SELECT 'processing_jobs', 'progress_percentage_range', count(*) FILTER (WHERE progress NOT BETWEEN 0 AND 100) FROM j
+  UNION ALL SELECT 'audio_files', 'filename_unique', sum(n) FROM (SELECT count(*) AS n FROM f GROUP BY filename HAVING count(*) > 1)
+  UNION ALL SELECT 'analysis_results', 'sentiment_score_range', count(*) FILTER (WHERE CAST(score AS DECIMAL(5, 4)) NOT BETWEEN -1 AND 1) FROM r
+  UNION ALL SELECT 'analysis_results', 'lead_classification_domain', count(*) FILTER (WHERE lead = 'Lukewarm') FROM r
+  UNION ALL SELECT 'analysis_results', 'file_identifier_length', count(*) FILTER (WHERE length(ident) > 512) FROM r
+  UNION ALL SELECT 'analysis_results', 'audio_file_id_unique', sum(n) FROM (SELECT count(*) AS n FROM r WHERE audio_file_id IS NOT NULL GROUP BY audio_file_id HAVING count(*) > 1)
+  UNION ALL SELECT 'analysis_results', 'audio_file_id_reference', count(*) FROM r WHERE audio_file_id IS NOT NULL AND audio_file_id NOT IN (SELECT id FROM f)) --final
+SELECT table_name, rule, n AS rows FROM told WHERE n > 0""")
+def _(spark, sf):
+    events = tables.read_table(spark, sf, "events")
+    kind, name = F.col("event_type"), F.col("event_id").cast("string")
+    job_rows = events.select(
+        name.alias("id"), kind.alias("job_type"), F.when(kind == "click", "stuck").when(kind != "view", "completed").alias("status"),
+        (F.get_json_object("props", "$.k").cast("int") * 2 - 20).alias("progress_percentage"),
+    )
+    files = events.groupBy("user_id").agg(F.lit(1)).select(
+        F.col("user_id").cast("string").alias("id"), F.concat(F.lit("file-"), F.floor(F.col("user_id") / 2).cast("string")).alias("filename")
+    )
+    results = events.select(
+        name.alias("id"), F.when(F.col("user_id") % 3 > 0, (F.col("user_id") + 75).cast("string")).alias("audio_file_id"),
+        F.concat(F.repeat(F.lit("x"), (500 + F.col("event_id") % 30).cast("int")), name).alias("file_identifier"),
+        (F.col("value") / 60 - 1.1).cast("decimal(5,4)").alias("sentiment_score"),
+        F.when(kind == "error", "Lukewarm").otherwise("Hot").alias("lead_classification"),
+    )
+    held = {"processing_jobs": job_rows, "audio_files": files, "analysis_results": results}
+    kinds = domain.SET_A | domain.SET_B
+    return domain.violations({n: domain.shaped(df, kinds[n]) for n, df in held.items()}, kinds)
