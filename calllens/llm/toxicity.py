@@ -9,6 +9,7 @@ which an entry means no harm; what is left is weighed and normalised by the leng
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -96,7 +97,17 @@ def hits(automaton, words: list[str]) -> dict[int, float]:
             spared.append((start, end))
         elif weight > out.get(start, 0.0):
             out[start] = weight
-    return {s: w for s, w in out.items() if not any(a <= s < b for a, b in spared)} if spared else out
+    if not spared:
+        return out
+    # stretches of exceptions that overlap become one, so one search tells each place
+    starts, ends = [], []
+    for a, b in sorted(spared):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return {s: w for s, w in out.items() if (i := bisect_right(starts, s)) == 0 or s >= ends[i - 1]}
 
 
 def features(found: dict[int, float], n_words: int) -> tuple[float, float, float]:
