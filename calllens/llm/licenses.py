@@ -11,6 +11,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,21 +91,17 @@ class NoticeFinder:
         if places:
             self.seeds.make_automaton()
 
-    def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """Stretches of the text that may hold a notice, joined where they overlap."""
-        out: dict[int, list[tuple[int, int]]] = {}
+    def windows(self, text: str) -> dict[int, set[tuple[int, int]]]:
+        """Stretches of the text that may hold a notice: one around each unchanged piece,
+        no longer than the notice and its edits."""
+        out: dict[int, set[tuple[int, int]]] = {}
         if not len(self.seeds):
             return out
         for end, (size, where) in self.seeds.iter(text):
             for number, offset in where:
                 k, length = self.edits[number], len(self.notices[number][0])
                 begin = end - size + 1 - offset
-                a, b = max(0, begin - k), min(len(text), begin + length + k)
-                spans = out.setdefault(number, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1] = (min(spans[-1][0], a), max(spans[-1][1], b))
-                else:
-                    spans.append((a, b))
+                out.setdefault(number, set()).add((max(0, begin - k), min(len(text), begin + length + k)))
         return out
 
     def fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -112,18 +109,24 @@ class NoticeFinder:
         for its length, of equal ones the longer, then the earlier notice, that overlaps
         none before it.
 
-        A pattern gives the best place of a stretch; what is left of the stretch beside
-        that place, or beside a better find that overlaps it, is searched again.
+        Every find keeps a piece unchanged, so it lies in the stretch around that piece.  A
+        pattern gives the best place of a stretch; what is left of the stretch beside that
+        place, or beside a better find that overlaps it, is searched again.  Stretches are
+        short, so the work grows with their number, however many finds a text has.
         """
         todo: list[tuple] = []
+        looked: set[tuple[int, int, int]] = set()
 
         def look(number: int, a: int, b: int) -> None:
-            if b - a >= len(self.notices[number][0]) - self.edits[number] and (match := self.patterns[number].search(text, a, b)):
+            if b - a < len(self.notices[number][0]) - self.edits[number] or (number, a, b) in looked:
+                return
+            looked.add((number, a, b))
+            if match := self.patterns[number].search(text, a, b):
                 start, end, edits = match.start(), match.end(), sum(match.fuzzy_counts)
                 heappush(todo, (edits / len(self.notices[number][0]), start - end, number, start, end, edits, a, b))
 
         for number, spans in self.windows(text).items():
-            for a, b in spans:
+            for a, b in sorted(spans):
                 look(number, a, b)
         kept: list[tuple[int, int, int, int]] = []  # by place, none overlaps another
         while todo:
@@ -144,16 +147,19 @@ class NoticeFinder:
         exact phrase and fuzzy notice."""
         words = alnum_words(data)
         text = f" {b' '.join(words).decode('utf-8', 'replace')} "
+        exact = [(at, phrase.count(" "), label) for phrase, label in self.phrases for at in phrase_places(text, phrase)]
+        fuzzy = self.fuzzy(text)
+        if not exact and not fuzzy:
+            return len(words), []
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4") == 32)
+        before = lambda place: int(np.searchsorted(blanks, place))  # noqa: E731  blanks in front of a place
         spans = []
-        for phrase, label in self.phrases:
-            size = phrase.count(" ")
-            for at in phrase_places(text, phrase):
-                first = text.count(" ", 0, at)
-                spans.append(("exact", label, first, first + size, 0))
-        for a, b, number, edits in self.fuzzy(text):
+        for at, size, label in exact:
+            spans.append(("exact", label, before(at), before(at) + size, 0))
+        for a, b, number, edits in fuzzy:
             # whole words: from the word that holds the first letter to that of the last
-            first = text.count(" ", 0, a + (text[a] == " ") + 1) - 1
-            last = text.count(" ", 0, b - (text[b - 1] == " ")) - 1
+            first = before(a + (text[a] == " ") + 1) - 1
+            last = before(b - (text[b - 1] == " ")) - 1
             spans.append(("fuzzy", self.notices[number][1], first, last, edits))
         return len(words), spans
 

@@ -1,6 +1,7 @@
 """Decontamination, licenses, toxicity, languages and mixing."""
 
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -212,6 +213,20 @@ def test_adjacent_and_repeated_notices():
         assert [f[2:] for f in finder.fuzzy(text)] == plain_finds(text, finder)
 
 
+def test_a_megabyte_of_notices_takes_seconds():
+    """Work grows with the length, however many finds a text has and whatever their order."""
+    finder = licenses.NoticeFinder(licenses.BASE_PHRASES, licenses.NOTICES)
+    wrong = "permision is hereby granted free of charge to any person obtainin a copy"
+    for parts, finds in (([wrong], 1), ([wrong, "released under the mit license"], 3)):
+        n = 1_000_000 // sum(len(p) + 1 for p in parts)
+        began = time.monotonic()
+        words, spans = finder.search((" ".join(parts * n)).encode())
+        assert time.monotonic() - began < 60 and len(spans) == finds * n
+        size = sum(len(p.split()) for p in parts)
+        assert words == n * size and max(s[3] for s in spans) == words - 1
+        assert sorted({s[2] % size for s in spans if s[0] == "fuzzy"}) == [0, len(wrong.split())][: len(parts)]
+
+
 def test_license_edge_cases(odd, none):
     assert licenses.scan(none).count() == 0
     assert {(r.id, r.n_base, r.labels) for r in licenses.digest(licenses.scan(odd)).collect()} == {
@@ -239,6 +254,30 @@ def toxic_corpus(spark, n=1500):
     return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
 
 
+def test_spared_words_by_hand():
+    """Exceptions that touch, overlap or repeat against a test of each place and stretch."""
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon({" trash ": 2.0, " can": 1.0, " fish ": 3.0}, ("trash can", "can fish", "fish", "trash can fish trash"))
+    machine = lexicon.automaton()
+    for _ in range(300):
+        words = rng.choices(["trash", "can", "fish", "canned", "other"], k=rng.randint(0, 9))
+        text, want = f" {' '.join(words)} ", {}
+        spared = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(text)) if text.startswith(f" {p} ", i)]
+        for at in range(len(text)):
+            best = max((w for t, w in lexicon.weights.items() if text.startswith(t, at)), default=0)
+            if best and words and not any(a <= at < b for a, b in spared):
+                want[at] = best
+        assert toxicity.hits(machine, words) == want, words
+
+
+def test_a_megabyte_of_exceptions_takes_seconds():
+    lexicon = toxicity.Lexicon({" trash ": 2.0}, toxicity.HARMLESS)
+    words = ["trash", "can", "trash", "bin", "trash", "heap"] * 40_000
+    began = time.monotonic()
+    found = toxicity.hits(lexicon.automaton(), words)
+    assert time.monotonic() - began < 30 and len(found) == 40_000
+
+
 def test_toxicity_learns_folds_and_spares(spark):
     docs, labels = toxic_corpus(spark)
     model = toxicity.train(docs, labels)
@@ -380,9 +419,12 @@ def test_mix_of_a_table(spark):
     assert sorted((r.id, r.taken) for r in again.collect()) == sorted((r.id, r.taken) for r in rows)
     mixed = mixing.mixture(docs)
     assert mixed.columns == docs.columns
-    assert Counter(r.doc_id for r in mixed.collect()) == Counter(
-        {r.id: r.taken // r["size"] for r in rows if r.taken}
-    )
+    want = Counter({r.id: r.taken // r["size"] for r in rows if r.taken})
+    assert Counter(r.doc_id for r in mixed.collect()) == want
+    # more tasks, of about as many words each, when pieces are smaller
+    small = mixing.mixture(docs, piece_words=2000)
+    assert Counter(r.doc_id for r in small.collect()) == want
+    assert small.rdd.getNumPartitions() > 4 * mixed.rdd.getNumPartitions()
 
 
 def test_mix_edge_cases(odd, none):
