@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from calllens.operators import ml
+from calllens.operators.boosting import fit_boosting
 from calllens.operators.conversation import text_features
 from calllens.session import scratch_dir
 from calllens.sources import tables
@@ -172,3 +173,109 @@ def _(spark, sf):
     split = ml.stratified_split(wide, "class", "vec_id")
     model = ml.train_lead_model(split.where(~F.col("is_test")), "class", names)
     return ml.predict(model, split.where("is_test"), keep=("vec_id", "class"))
+
+
+# what is exact about learned models: the rows held out, their classes, and sums of shares
+
+HELD_SQL = f"""labelled AS (SELECT doc_id AS call_id, {CLASS_SQL} AS lead_class FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lead_class ORDER BY md5('42:' || CAST(call_id AS VARCHAR)), call_id) AS r,
+  count(*) OVER (PARTITION BY lead_class) AS n FROM labelled),
+held AS (SELECT call_id, lead_class FROM placed WHERE r <= ceil(n * 0.2::DOUBLE))"""
+MODEL_SQL = f"""WITH {HELD_SQL} --final
+SELECT call_id, lead_class, ['Cold', 'Hot', 'Warm'] AS classes, 1.0 AS total, TRUE AS known, TRUE AS best FROM held"""
+MODEL = "call_id:long lead_class:str classes:list total:d6 known:bool best:bool"
+
+
+def exact_parts(predicted):
+    shares = F.map_values("class_probabilities")
+    return predicted.select(
+        "call_id", "lead_class", F.array_sort(F.map_keys("class_probabilities")).alias("classes"),
+        F.aggregate(shares, F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.map_contains_key("class_probabilities", F.col("classification")).alias("known"),
+        (F.col("confidence") == F.array_max(shares)).alias("best"),
+    )
+
+
+@query("random_forest_rows", MODEL, MODEL_SQL)
+def _(spark, sf):
+    split = ml.stratified_split(training(spark, sf), "lead_class", "call_id")
+    model = ml.train_lead_model(split.where(~F.col("is_test")), "lead_class", INPUTS, trees=10)
+    return exact_parts(ml.predict(model, split.where("is_test"), keep=("call_id", "lead_class")))
+
+
+@query("gradient_boosting_rows", MODEL, MODEL_SQL)
+def _(spark, sf):
+    split = ml.stratified_split(training(spark, sf), "lead_class", "call_id")
+    model = ml.train_lead_model(split.where(~F.col("is_test")), "lead_class", INPUTS, "gradient_boosting", rounds=3)
+    return exact_parts(ml.predict(model, split.where("is_test"), keep=("call_id", "lead_class")))
+
+
+# two rounds of one split each, on a feature of two values: every step in SQL
+def _round(before: str, after: str) -> str:
+    """The scores after one more round: softmax, gradients, and a Newton step per value of the feature."""
+    return f"""{before}_p AS (SELECT call_id, y, x, class, f, exp(f) / sum(exp(f)) OVER (PARTITION BY call_id) AS p FROM {before}),
+{before}_r AS (SELECT *, CASE WHEN y = class THEN 1 ELSE 0 END - p AS r FROM {before}_p),
+{before}_v AS (SELECT class, x, 0.5 * 2 / 3.0 * sum(r) / sum(abs(r) * (1 - abs(r))) AS v FROM {before}_r GROUP BY class, x),
+{after} AS (SELECT call_id, y, r.x, r.class, f + v AS f FROM {before}_r AS r JOIN {before}_v AS v ON v.class = r.class AND v.x = r.x)"""
+
+
+@query("boosted_rounds", "call_id:long cold:d6 hot:d6 warm:d6", f"""WITH rows_in AS (SELECT doc_id AS call_id, {CLASS_SQL} AS y, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS x FROM labels JOIN documents USING (doc_id)),
+prior AS (SELECT y AS class, ln(count(*) / (SELECT count(*) FROM rows_in)::DOUBLE) AS f FROM rows_in GROUP BY y),
+s0 AS (SELECT call_id, y, x, class, f FROM rows_in, prior),
+{_round('s0', 's1')},
+{_round('s1', 's2')},
+told AS (SELECT call_id, class, exp(f) / sum(exp(f)) OVER (PARTITION BY call_id) AS p FROM s2) --final
+SELECT call_id, max(p) FILTER (WHERE class = 'Cold') AS cold, max(p) FILTER (WHERE class = 'Hot') AS hot, max(p) FILTER (WHERE class = 'Warm') AS warm FROM told GROUP BY call_id""")
+def _(spark, sf):
+    docs = tables.read_table(spark, sf, "documents").select(F.col("doc_id").alias("call_id"), (F.col("n_chars") > 1500).cast("int").alias("x"))
+    labels = tables.read_table(spark, sf, "labels").select(
+        F.col("doc_id").alias("call_id"),
+        F.when(F.col("toxic") == 1, "Cold").when(F.col("quality") == 1, "Hot").otherwise("Warm").alias("y"),
+    )
+    rows = labels.join(docs, "call_id")
+    scored = fit_boosting(rows, "y", ["x"], rounds=2, rate=0.5, depth=1).transform(rows)
+    return scored.select("call_id", *[F.get("probability", F.lit(i)).alias(c) for i, c in enumerate(("cold", "hot", "warm"))])
+
+
+@query("saved_model_rows", "call_id:long lead_class:str same:bool", f"WITH {HELD_SQL} --final\nSELECT call_id, lead_class, TRUE AS same FROM held")
+def _(spark, sf):
+    split = ml.stratified_split(training(spark, sf), "lead_class", "call_id")
+    root = scratch_dir(spark, "models")
+    model = ml.train_lead_model(split.where(~F.col("is_test")), "lead_class", INPUTS, trees=10)
+    ml.save_model(model, root, "v1", spark)
+    held = split.where("is_test")
+    before = ml.predict(model, held, keep=("call_id", "lead_class"))
+    after = ml.predict(ml.load_model(root, "v1", spark)[0], held, keep=("call_id",))
+    both = after.select("call_id", F.col("classification").alias("c"), F.col("confidence").alias("p"))
+    same = (F.col("c") == F.col("classification")) & (F.abs(F.col("p") - F.col("confidence")) < 1e-12)
+    return before.join(both, "call_id").withColumn("same", same)
+
+
+@query("feature_importance_names", "features:list total:d6", f"--final\nSELECT [{', '.join(repr(c) for c in sorted(INPUTS))}] AS features, 1.0 AS total")
+def _(spark, sf):
+    model = ml.train_lead_model(training(spark, sf), "lead_class", INPUTS, trees=10)
+    weights = ml.feature_importance(model, spark)
+    return weights.agg(F.array_sort(F.collect_list("feature")).alias("features"), F.sum("importance").alias("total"))
+
+
+@query("cross_validate_folds", "fold:long rows:long accurate:bool", f"""WITH labelled AS (SELECT doc_id AS call_id, {CLASS_SQL} AS lead_class FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
+placed AS (SELECT row_number() OVER (PARTITION BY lead_class ORDER BY md5('42:' || CAST(call_id AS VARCHAR)), call_id) % 3 AS fold FROM labelled) --final
+SELECT fold, count(*) AS rows, TRUE AS accurate FROM placed GROUP BY fold""")
+def _(spark, sf):
+    data = training(spark, sf)
+    rated = ml.cross_validate(data, "lead_class", "call_id", INPUTS, k=3, trees=5)
+    sizes = ml.fold_column(data, "lead_class", "call_id", 3).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    inside = F.col("accuracy").between(0, 1) & (F.abs(F.col("cv_mean") - F.col("accuracy")) <= 1)
+    return rated.join(sizes, "fold").withColumn("accurate", inside)
+
+
+@query("text_classifier_rows", "call_id:long lead_class:str known:bool", """WITH labelled AS (SELECT doc_id AS call_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS lead_class FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lead_class ORDER BY md5('42:' || CAST(call_id AS VARCHAR)), call_id) AS r, count(*) OVER (PARTITION BY lead_class) AS n FROM labelled) --final
+SELECT call_id, lead_class, TRUE AS known FROM placed WHERE r <= ceil(n * 0.2::DOUBLE)""")
+def _(spark, sf):
+    labels = tables.read_table(spark, sf, "labels").select(
+        F.col("doc_id").alias("call_id"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("lead_class")
+    )
+    split = ml.stratified_split(tables.transcripts(spark, sf).select("call_id", "text").join(labels, "call_id"), "lead_class", "call_id")
+    model = ml.train_text_classifier(split.where(~F.col("is_test")), "text", "lead_class")
+    return model.transform(split.where("is_test")).withColumn("known", F.col("predicted_class").isin("good", "poor"))

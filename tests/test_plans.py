@@ -13,7 +13,8 @@ from calllens.plans.analysis import analyze_calls
 from calllens.sources import tables
 
 TRAINING = {"random_forest", "gradient_boosting", "cross_validate", "feature_importance", "saved_model",
-            "text_classifier", "embedding_classes"}
+            "text_classifier", "embedding_classes", "random_forest_rows", "gradient_boosting_rows", "boosted_rounds",
+            "saved_model_rows", "feature_importance_names", "cross_validate_folds", "text_classifier_rows"}
 # queries that write before they return; their plan is only the read back
 STORED = {"stuck_jobs", "ingest_stream", "analyze_stream", "dedupe_requests", "running_performance_stream",
           "read_transcripts_v31", "read_transcripts_v30", "write_read_results", "results_by_day"}
