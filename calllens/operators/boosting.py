@@ -23,6 +23,8 @@ from calllens.session import stored
 
 #: Rounds whose trees are applied anew in each pass before the scores are stored again.
 KEPT_ROUNDS = 10
+#: Classes a model may tell apart; more are taken for a label column that holds none.
+MOST_CLASSES = 1000
 CELLS = "cell bigint, g double, h double, n bigint"
 
 
@@ -234,9 +236,10 @@ def fit_boosting(
         raise ValueError("from 2 to 256 bins")
     features = list(features)
     data = df.where(F.col(label).isNotNull())
-    shares = {r[0]: r[1] for r in data.groupBy(F.col(label).cast("string")).count().collect()}
-    if not shares:
-        raise ValueError("no labelled rows")
+    sizes = data.groupBy(F.col(label).cast("string").alias("class")).count()
+    shares = {r[0]: r[1] for r in sizes.limit(MOST_CLASSES + 1).collect()}
+    if not 0 < len(shares) <= MOST_CLASSES:
+        raise ValueError(f"from 1 to {MOST_CLASSES} classes, not {len(shares) or 'none'}")
     classes = sorted(shares)
     total = sum(shares.values())
     priors = np.log(np.array([shares[c] / total for c in classes]))
