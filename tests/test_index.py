@@ -34,8 +34,10 @@ def held(spark):
     return folder, calls, rows
 
 
-@pytest.mark.parametrize("query, k", [("price", 5), ("Price trial", 10), ("follow-up budget", 3), ("the call", 1000), ("nothing", 5), ("price price", 4)])
-@pytest.mark.parametrize("first_blocks", [1, 64])
+@pytest.mark.parametrize("query, k, first_blocks", [
+    ("price", 5, 1), ("Price trial", 10, 1), ("Price trial", 10, 64), ("follow-up budget", 3, 1), ("the call", 1000, 64),
+    ("nothing", 5, 1), ("price price", 4, 64),
+])
 def test_equal_to_the_scan(spark, held, query, k, first_blocks):
     folder, calls, _ = held
     got = index.search(spark, folder, query, k, ("a",), first_blocks=first_blocks).collect()

@@ -37,8 +37,7 @@ def first_keys(rows):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.2, 0.5, 2 / 3, 0.8, 1.0])
-@pytest.mark.parametrize("block", [sim.BLOCK, 2])
+@pytest.mark.parametrize("threshold, block", [(0.2, 2), (0.5, sim.BLOCK), (0.5, 2), (2 / 3, 2), (0.8, sim.BLOCK), (1.0, 2)])
 def test_equal_to_all_pairs(spark, threshold, block):
     rows = names(1, 150)
     got = {(r.a, r.b): r.similarity for r in sim.similar_pairs(table(spark, rows), "key", "text", threshold, block).collect()}
