@@ -131,7 +131,7 @@ def write_archives(
     todo = salted.join(twins, ["digest", "salt"], "left").select(
         "id", "url", "data", F.when(F.col("id") < F.col("response"), F.col("response")).when(
             F.col("id").isNull(), F.col("response")).alias("refers_to")
-    )
+    ).sortWithinPartitions(F.col("id").asc_nulls_first(), "url", "data")  # a task that runs again writes the same files
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
