@@ -2,9 +2,10 @@
 
 Tasks cut their documents into segments of a bounded number of words and write each
 segment's postings: one row per term with the term's places in the segment, so a list
-tells document and position at once.  A phrase is looked up segment by segment: the
-places of its rarest term, less the term's offset, are intersected with those of its
-next rarest terms until none is left or all terms agree.
+tells document and position at once.  The windows of the benchmark are rows too: each is
+joined to the segments that hold its rarest term.  There the places of its rarest term,
+less the term's offset, are intersected with those of its next rarest terms until none is
+left or all terms agree.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calllens.llm.store import written
+from calllens.llm.store import few, written
 from calllens.llm.words import alnum_words, batch, id_and_text
 
 POSTINGS = pa.schema(
@@ -139,37 +140,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-class Phrases:
-    """A bounded block of phrases: distinct word windows and the items that hold them."""
-
-    def __init__(self, window: int):
-        self.window, self.items, self.size = window, {}, 0
-
-    def add(self, item: str | None, words: list[bytes]) -> None:
-        width = min(self.window, len(words))
-        for i in range(len(words) - width + 1):
-            self.items.setdefault(tuple(words[i : i + width]), []).append(item)
-        self.size += len(words)
-
-    def terms(self) -> list[bytes]:
-        return sorted({w for phrase in self.items for w in phrase})
+def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """``(item, words)``: each distinct window of each item; an item of fewer words is one
+    window, one without words none."""
+    schema = pa.schema([("item", pa.string()), ("words", pa.list_(pa.binary()))])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches:
+            for item, data in zip(table.column("id").to_pylist(), table.column("data")):
+                words = alnum_words(data.as_py())
+                width = min(window, len(words))
+                for at in range(0, len(words) - width + 1 if words else 0, 1 << 14):
+                    found = [words[i : i + width] for i in range(at, min(at + (1 << 14), len(words) - width + 1))]
+                    yield batch(schema, [item] * len(found), found)
 
-def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of about ``block_words`` words, a longer item in pieces
-    that overlap by a window less a word."""
-    block = Phrases(window)
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for row in rows.toLocalIterator():
-        words = alnum_words(row.text.encode())
-        for i in range(0, max(1, len(words) - window + 1), block_words):
-            if piece := words[i : i + block_words + window - 1]:
-                block.add(row.id, piece)
-            if block.size >= block_words:
-                yield block
-                block = Phrases(window)
-    if block.items:
-        yield block
+    rows = id_and_text(benchmark, id_col, text_col).withColumn("id", F.col("id").cast("string"))
+    return rows.mapInArrow(cut, "item string, words array<binary>").distinct()
 
 
 def exact_starts(phrase: tuple, lists: dict, rarity: dict) -> np.ndarray:
@@ -241,18 +227,32 @@ MATCH_SCHEMA = (
 )
 
 
-def search_block(index: DataFrame, block: Phrases, slop: int | None) -> DataFrame:
-    """Matches of one block of phrases in every segment."""
-    spark = index.sparkSession
-    terms = spark.createDataFrame(pa.table({"term": pa.array(block.terms(), pa.binary())}))
-    # no more terms than a block has words; the stored index stays where it is
-    found = index.join(F.broadcast(terms), "term", "left_semi")
-    # as many counts as the block has terms
-    rarity = {bytes(r.term): r.n for r in found.groupBy("term").agg(F.sum("places").alias("n")).collect()}
-    held = spark.sparkContext.broadcast((block.items, rarity))
+def candidates(index: DataFrame, windows: DataFrame, most_sent: int) -> tuple[DataFrame, DataFrame]:
+    """Where windows may occur: ``(segment, words, item)`` of each window and each segment
+    that holds its rarest term, and the terms ``(term)`` of all of them.
 
-    def look(segment_rows: pa.Table) -> pa.Table:
-        items, rarity = held.value
+    A window with a term that no document holds is left out.  Every join is by term or
+    window, so the benchmark may be as large as the corpus; sides that are few are sent.
+    """
+    distinct = windows.select("words").distinct()
+    terms = few(written(distinct.select(F.explode("words").alias("term")).distinct(), "benchmark-terms"), most_sent)
+    held = written(index.select("segment", "term", "places").join(terms, "term", "left_semi"), "benchmark-postings")
+    counts = few(written(held.groupBy("term").agg(F.sum("places").alias("n")), "term-counts"), most_sent)
+    each = distinct.select("words", F.explode(F.array_distinct("words")).alias("term")).join(counts, "term", "left")
+    rated = each.groupBy("words").agg(F.min(F.struct("n", "term")).alias("rarest"), F.count_if(F.col("n").isNull()).alias("lost"))
+    live = written(rated.where("lost = 0").select("words", F.col("rarest.term").alias("term")), "live-windows")
+    seeds = held.select("segment", "term").join(few(live, most_sent), "term").join(few(windows, most_sent), "words")
+    return seeds.select("segment", "words", "item"), live.select(F.explode("words").alias("term")).distinct()
+
+
+def search(index: DataFrame, windows: DataFrame, slop: int | None, most_sent: int) -> DataFrame:
+    """Matches of the windows, segment by segment."""
+    seeds, terms = candidates(index, windows, most_sent)
+    lists = index.where("term IS NULL").unionByName(index.join(few(written(terms, "live-terms"), most_sent), "term", "left_semi"))
+
+    def look(wanted: pa.Table, segment_rows: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.Table.from_batches([batch(MATCHES, *[[]] * len(MATCHES))])
         names, sizes, lists = [], np.zeros(0, np.int64), {}
         segment = segment_rows.column("segment")[0].as_py()
         for term, data in zip(segment_rows.column("term"), segment_rows.column("data")):
@@ -260,6 +260,10 @@ def search_block(index: DataFrame, block: Phrases, slop: int | None) -> DataFram
                 names, sizes = unpack_documents(data.as_py())
             else:
                 lists[term.as_py()] = np.cumsum(unvarint(data.as_py()))
+        items: dict[tuple, set] = defaultdict(set)
+        for words, item in zip(wanted.column("words").to_pylist(), wanted.column("item").to_pylist()):
+            items[tuple(words)].add(item)
+        rarity = {word: len(places) for word, places in lists.items()}
         ends = np.cumsum(sizes)
         spans: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for phrase, owners in items.items():
@@ -273,7 +277,7 @@ def search_block(index: DataFrame, block: Phrases, slop: int | None) -> DataFram
             for kind, a, b in pairs:
                 doc = int(np.searchsorted(ends, a, side="right"))
                 if b <= ends[doc]:  # not across two documents
-                    for owner in set(owners):
+                    for owner in owners:
                         spans[doc, owner, kind].append((a - int(ends[doc] - sizes[doc]), b - int(ends[doc] - sizes[doc])))
         rows = []
         for (doc, owner, kind), held_spans in spans.items():
@@ -281,8 +285,7 @@ def search_block(index: DataFrame, block: Phrases, slop: int | None) -> DataFram
                 rows.append((segment, doc, names[doc], owner, kind, a, b))
         return pa.Table.from_batches([batch(MATCHES, *(zip(*rows) if rows else [[]] * len(MATCHES)))])
 
-    rows = index.where("term IS NULL").unionByName(found)
-    return rows.groupBy("segment").applyInArrow(look, MATCH_SCHEMA)
+    return seeds.groupBy("segment").cogroup(lists.groupBy("segment")).applyInArrow(look, MATCH_SCHEMA)
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -303,7 +306,7 @@ def matches(
     text_col: str = "text",
     window: int = 10,
     slop: int | None = 3,
-    block_words: int = 100_000,
+    most_sent: int = 100_000,
 ) -> DataFrame:
     """Where benchmark windows occur: ``(segment, ordinal, doc_id, item_id, kind,
     first_word, end_word)``, windows of one item that touch as one span.
@@ -311,16 +314,13 @@ def matches(
     ``kind`` is ``exact`` for consecutive words, or ``near`` for a span of at most
     ``slop`` more words with the window's words in any order (``slop=None``: exact
     only).  A window has ``window`` words; an item of fewer is one window, one without
-    words none.  Items of equal id count as one item.  The benchmark is taken in blocks
-    of ``block_words`` words, one pass over the stored index each.
+    words none.  Items of equal id count as one item.  A segment is sent the windows
+    whose rarest term it holds, so the index is passed over a fixed number of times
+    however large the benchmark is.  Terms and windows are sent to the tasks while there
+    are at most ``most_sent`` of them, and joined by shuffles beyond.
     """
-    found = [search_block(index, b, slop) for b in phrase_blocks(benchmark, id_col, text_col, window, block_words)]
-    if not found:
-        return index.sparkSession.createDataFrame([], MATCH_SCHEMA)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return written(out, "phrase-matches")
+    windows = written(benchmark_windows(benchmark, id_col, text_col, window), "benchmark-windows")
+    return written(search(index, windows, slop, most_sent), "phrase-matches")
 
 
 CONTAMINATION = pa.schema(

@@ -13,6 +13,7 @@ from collections.abc import Callable, Hashable
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from calllens.session import scratch_dir
 
@@ -42,6 +43,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows; else Spark joins it as it can."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """One row ``(path, content)`` per file, through Spark's own reader."""
     return (

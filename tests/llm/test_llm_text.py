@@ -73,11 +73,11 @@ def contaminated_by_hand(texts, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_words", [3, 100_000])
-def test_contamination(spark, block_words):
+@pytest.mark.parametrize("most_sent", [0, 100_000])
+def test_contamination(spark, most_sent):
     docs = spark.createDataFrame(TEXTS, "doc_id int, text string").withColumn("segment", F.lit("x"))
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
-    got = decontam.contamination(docs, items, block_words=block_words).collect()
+    got = decontam.contamination(docs, items, most_sent=most_sent).collect()
     assert sorted(map(tuple, got), key=str) == contaminated_by_hand(TEXTS, ITEMS)
     clean = decontam.clean_documents(docs, items)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 5, 6, 7, 8, 11]
