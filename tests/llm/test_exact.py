@@ -37,14 +37,15 @@ def by_hand(rows):
     return sorted(out, key=str)
 
 
+@pytest.mark.parametrize("most_sent", [0, 1_000_000])
 @pytest.mark.parametrize("bits", ["all", "two", "none"])
-def test_exact_groups_whatever_collides(odd, bits):
+def test_exact_groups_whatever_collides(odd, bits, most_sent):
     hashes = {
         "all": exact_dedup.md5_128,
         "two": lambda c: F.pmod(F.length(c), F.lit(2)),
         "none": lambda c: F.lit(1),
     }
-    got = exact_dedup.exact_groups(odd, content_hash=hashes[bits]).collect()
+    got = exact_dedup.exact_groups(odd, content_hash=hashes[bits], most_sent=most_sent).collect()
     assert sorted(map(tuple, got), key=str) == by_hand(TABLES["rows"])
 
 
