@@ -194,7 +194,9 @@ def scan(
     ``spans`` holds every place of an exact phrase and every notice found with at most
     ``rate`` edits per character and ``most`` edits, by words counted from 0.  ``score`` is 1 for an exact
     phrase, else the share of the best notice that is unchanged, and 0 without any.  A
-    null text has no words.
+    null text has no words.  Of finds that overlap, the one with fewer edits for its length
+    stays, then the longer, then the earlier notice.  Ids are whole numbers or null; rows
+    repeated in the table are repeated in the result, and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

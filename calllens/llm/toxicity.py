@@ -290,7 +290,10 @@ SCORES = pa.schema([("id", pa.int64()), ("hits", pa.int64()), ("score", pa.float
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, hits, score)`` per row: words that entries match, and the score from 0 to 1.
 
-    Only the text is read.  Null and empty texts are scored as texts without hits.
+    Only the text is read.  Null and empty texts are scored as texts without hits.  Of
+    entries that match at one place the heaviest counts; of equal ones it makes no
+    difference.  Ids are whole numbers or null; rows repeated in the table are repeated in
+    the result, and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
