@@ -110,17 +110,21 @@ def train(
     lang_col: str = "lang",
     length: int = 400,
     max_docs: int = 2000,
+    max_languages: int = 200,
 ) -> LanguageProfiles:
     """A profile for each language of the rows that may be learned from.
 
     Fitted on whole texts of at most about ``max_docs`` rows per language, chosen by a
-    hash of the id.  Rows without text or language teach nothing.  The driver receives
+    hash of the id, and on the ``max_languages`` languages of most rows (ties: the first
+    by name).  Rows without text or language teach nothing, rows repeated in the table
+    teach each time, and an empty table teaches no language.  The driver receives
     ``length`` n-grams per language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("id")))
-    # one row per language, with the share of its rows to learn from
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*")).alias("share"))
+    # a row for each of at most max_languages, with the share of its rows to learn from
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages)
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("rows")).alias("share"))
     chosen = rows.join(F.broadcast(shares), "lang").where(
         F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     )
@@ -157,7 +161,9 @@ def identify(docs: DataFrame, profiles: LanguageProfiles, id_col: str = "doc_id"
     """``(id, lang_pred, score)`` per row; only the text is read.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text when
-    no language was learned.  Of languages equally near the first by name is taken.
+    no language was learned.  Of languages equally near the first by name is taken.  Ids
+    are whole numbers; rows repeated in the table are repeated in the result, and an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
