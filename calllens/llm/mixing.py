@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Blocks of a source at least, if it has as many documents.
 FEWEST = 64
+#: Pieces of all shards, beyond which they grow in size.
+MOST_TASKS = 1 << 15
 
 
 def word_count(text: Column) -> Column:
@@ -254,26 +256,33 @@ def checked(small: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def mixture(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7,
+    depth: int = 4, piece_words: int = 1 << 22, **options
 ) -> DataFrame:
     """The mixed documents with all their columns: a row for each time one is taken,
     dealt to tasks by shard and shuffled within each shard.
 
-    Texts move once.  Blocks and slots are joined to them by source and block.
+    A shard's rows are dealt by hash into pieces of about ``piece_words`` words, as many
+    for every shard, so the tasks grow in number with the mix and not in size, up to
+    ``MOST_TASKS`` pieces.  Texts move once.  Blocks and slots are joined to them by source and block.
     """
-    rows, slots = mix(docs, id_col, text_col, source_col, seed=seed, **options)
+    rows, slots = mix(docs, id_col, text_col, source_col, seed=seed, depth=depth, **options)
     # a row per source, and one per slot: about the number of blocks and of FEWEST for each source
-    sources = checked(written(rows.groupBy("source").agg(F.first("number").alias("_mix_number"), F.first("n_blocks").alias("_mix_n")), "mix-sources"))
+    sources = checked(written(rows.groupBy("source").agg(F.first("number").alias("_mix_number"), F.first("n_blocks").alias("_mix_n"), F.sum("taken").alias("_mix_words")), "mix-sources"))
+    words = sources.agg(F.sum("_mix_words")).first()[0] or 0
+    pieces = max(1, min(-(-words // (piece_words << depth)), MOST_TASKS >> depth))
     slots = checked(written(slots.toDF("_mix_number", "_mix_block", "_mix_copy", "_mix_shard"), "mix-slots"))
     draw = F.xxhash64(F.lit(seed), id_col, F.coalesce(text_col, F.lit("")))
-    sources = sources.withColumnRenamed("source", "_mix_source")
+    sources = sources.drop("_mix_words").withColumnRenamed("source", "_mix_source")
+    piece = F.pmod(F.xxhash64(F.lit(seed), F.lit("piece"), "_mix_draw", "_mix_copy"), F.lit(pieces))
     return (
         docs.where(word_count(F.col(text_col)) > 0)
         .withColumn("_mix_draw", draw)
         .join(sources, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")))
         .withColumn("_mix_block", F.pmod("_mix_draw", "_mix_n"))
         .join(slots, ["_mix_number", "_mix_block"])
-        .repartition("_mix_shard")
+        .withColumn("_mix_piece", piece)
+        .repartition(2 * pieces << depth, "_mix_shard", "_mix_piece")  # twice as many, so few pieces share a task
         .sortWithinPartitions("_mix_shard", F.xxhash64(F.lit(seed), F.lit("shuffle"), "_mix_draw", "_mix_copy"))
         .select(*docs.columns)
     )
