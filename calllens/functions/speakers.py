@@ -19,12 +19,12 @@ BUCKETS = ("Positive", "Negative", "Neutral")
 
 
 def speaker_spans(raw: Column, profile: Profile) -> Column:
-    """``array<struct<speaker, text, n>>`` of a transcript that still holds its tags.
+    """``array<struct<speaker, text>>`` of a transcript that still holds its tags.
 
     A tag names the speaker of all that follows up to the next one; words before the first
     belong to ``primary_speaker``.  The texts are cleaned as the whole transcript is, so
     the tokens of the spans are, in order, those of the cleaned transcript (unless an
-    apostrophe touches a tag), and ``n`` counts them.  Spans without text are left out.
+    apostrophe touches a tag).  Spans without text are left out.
     """
     tidy = F.translate(strip_artifacts(collapse_whitespace(raw), profile.artifacts), TAG + TAG_END, "  ")
     pieces = F.split(F.regexp_replace(tidy, profile.speaker_tag, f"{TAG}$0{TAG_END}"), TAG)
@@ -39,13 +39,18 @@ def speaker_spans(raw: Column, profile: Profile) -> Column:
             F.when(i == 0, F.trim(piece)).otherwise(text).alias("text"),
         )
 
-    spans = F.filter(F.transform(pieces, span), lambda s: s["text"] != "")
-    return F.transform(spans, lambda s: F.struct(s["speaker"].alias("speaker"), s["text"].alias("text"), token_count(s["text"]).alias("n")))
+    return F.filter(F.transform(pieces, span), lambda s: s["text"] != "")
 
 
 def word_spans(spans: Column) -> Column:
     """For each token of the transcript the number of its span."""
-    return F.flatten(F.transform(spans, lambda s, i: F.array_repeat(i, s["n"].cast("int"))))
+    return F.flatten(F.transform(spans, lambda s, i: F.array_repeat(i, token_count(s["text"]).cast("int"))))
+
+
+def speaker_at(spans: Column, of_words: Column, place: Column) -> Column:
+    """Who says the token at a place; ``of_words`` are the bound :func:`word_spans`, which
+    a transcript of one span needs not."""
+    return F.when(F.size(spans) == 1, F.get(spans, F.lit(0))["speaker"]).otherwise(F.get(spans, F.get(of_words, place))["speaker"])
 
 
 def _measures(spans: Column, profile: Profile) -> Column:
@@ -62,7 +67,7 @@ def _measures(spans: Column, profile: Profile) -> Column:
             lambda e: F.struct(
                 s["speaker"].alias("speaker"),
                 i.alias("at"),
-                s["n"].alias("n"),
+                token_count(s["text"]).alias("n"),
                 sentiment_bucket(polarity).alias("bucket"),
                 F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("engaged"),
                 F.size(e).alias("sentences"),

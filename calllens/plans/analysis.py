@@ -10,7 +10,7 @@ from calllens.config import Profile
 from calllens.functions import extract, scoring
 from calllens.functions import sentiment as sent
 from calllens.functions.arrays import let, strings
-from calllens.functions.speakers import speaker_profiles, speaker_spans, word_spans
+from calllens.functions.speakers import speaker_at, speaker_profiles, speaker_spans, word_spans
 from calllens.functions.text import base_name, clean_transcript, emotions, processing_id
 from calllens.functions.tokens import candidate_phrases, sentences, words
 from calllens.operators import conversation as conv
@@ -96,7 +96,7 @@ def analyze_calls(
     def spoken_by(m, of_words):
         if not profile.enable_speakers:
             return F.lit(None).cast("string")
-        return F.get("_spans", F.get(of_words, m["start"]))["speaker"]
+        return speaker_at(F.col("_spans"), of_words, m["start"])
 
     def moment_list(of_words):
         return F.transform(
@@ -138,7 +138,7 @@ def analyze_calls(
         ).alias("sentiment"),
         topic_list.alias("topics"),
         speaker_list.alias("speakers"),
-        let(word_spans(F.col("_spans")), moment_list).alias("moments"),
+        let(F.when(F.size("_spans") > 1, word_spans(F.col("_spans"))), moment_list).alias("moments"),
         F.struct(
             scoring.class_or_neutral(F.col("_value"), profile).alias("class"),
             F.col("_score").alias("score"),
