@@ -9,12 +9,14 @@ reference, each in one pass over the table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calllens.functions.text import minutes, size_mb
 from calllens.operators import quality
@@ -42,10 +44,16 @@ class Table:
     #: Columns that follow from others.
     generated: tuple[str, ...] = ()
 
+    def digits(self) -> dict[str, int]:
+        """The digits that each decimal may have before its point."""
+        found = re.findall(r"(\w+) decimal\((\d+),(\d+)\)", self.columns)
+        return {c: int(size) - int(scale) for c, size, scale in found}
+
     def rules(self) -> dict[str, Column]:
         """The rules of single rows, by name."""
         out = {f"{c}_missing": quality.not_null(c) for c in (self.key, *self.required)}
         out |= {f"{c}_range": quality.between(c, lo, hi) for c, (lo, hi) in self.ranges.items()}
+        out |= {f"{c}_digits": F.abs(c) < 10 ** n for c, n in self.digits().items() if c not in self.ranges}
         out |= {f"{c}_domain": quality.one_of(c, members) for c, members in self.domains.items()}
         return out | {f"{c}_length": F.length(c) <= n for c, n in self.lengths.items()}
 
@@ -184,12 +192,16 @@ GENERATED = {
 }
 
 
-def shaped(df: DataFrame, table: Table) -> DataFrame:
-    """The rows with the declared columns, in their types and order; absent ones are null."""
+def shaped(df: DataFrame, table: Table, wide: bool = False) -> DataFrame:
+    """The rows with the declared columns, in their types and order; absent ones are null.
+
+    With ``wide``, for rows that are yet to be checked, decimals keep their places but may
+    have any number of digits before the point: a value too large for its column is then
+    one that a rule finds, and no error.
+    """
     declared = df.sparkSession.createDataFrame([], table.columns).schema
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared
-    ])
+    kinds = {f.name: T.DecimalType(38, f.dataType.scale) if wide and isinstance(f.dataType, T.DecimalType) else f.dataType for f in declared}
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
 def write_tables(tables: Mapping[str, DataFrame], kinds: Mapping[str, Table], root: str) -> None:

@@ -326,9 +326,9 @@ def _(spark, sf):
     results = events.select(
         name.alias("id"), F.when(F.col("user_id") % 3 > 0, (F.col("user_id") + 75).cast("string")).alias("audio_file_id"),
         F.concat(F.repeat(F.lit("x"), (500 + F.col("event_id") % 30).cast("int")), name).alias("file_identifier"),
-        (F.col("value") / 60 - 1.1).cast("decimal(5,4)").alias("sentiment_score"),
+        (F.col("value") / 60 - 1.1).alias("sentiment_score"),
         F.when(kind == "error", "Lukewarm").otherwise("Hot").alias("lead_classification"),
     )
     held = {"processing_jobs": job_rows, "audio_files": files, "analysis_results": results}
     kinds = domain.SET_A | domain.SET_B
-    return domain.violations({n: domain.shaped(df, kinds[n]) for n, df in held.items()}, kinds)
+    return domain.violations({n: domain.shaped(df, kinds[n], wide=True) for n, df in held.items()}, kinds)

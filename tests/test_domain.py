@@ -9,6 +9,10 @@ from calllens import V31
 from calllens.plans.analysis import analyze_calls
 from calllens.session import scratch_dir
 from calllens.sources import domain
+from catalog import load
+from catalog.registry import QUERIES
+
+load()
 
 
 def rows(spark, table, *given):
@@ -87,3 +91,22 @@ def test_an_analysis_as_tables(spark):
     again = domain.normalised(analyze_calls(calls, V31))["interest_moments"]
     assert again.exceptAll(made["interest_moments"]).count() == 0
     assert made["lead_scores"].where(F.col("primary_classification") == "Warm").count() >= 1
+
+
+def test_values_too_large_for_their_column_are_found(spark):
+    kinds = {"analysis_results": domain.SET_B["analysis_results"], "audio_files": domain.SET_B["audio_files"]}
+    results = spark.createDataFrame([("1", "a", 12.5, 3.0), ("2", "b", 0.5, 100.0)], "id string, file_identifier string, sentiment_score double, engagement_level double")
+    files = spark.createDataFrame([("1", "a", 1e8), ("2", "b", 1e8 - 1)], "id string, filename string, duration_seconds double")
+    held = {"analysis_results": results, "audio_files": files}
+    found = domain.violations({n: domain.shaped(df, kinds[n], wide=True) for n, df in held.items()}, kinds)
+    assert sorted(map(tuple, found.collect())) == [
+        ("analysis_results", "engagement_level_digits", 1), ("analysis_results", "sentiment_score_range", 1), ("audio_files", "duration_seconds_digits", 1),
+    ]
+
+
+def test_events_of_a_large_value_are_counted(spark):
+    root = scratch_dir(spark, "events")
+    rows = spark.sql("SELECT id AS event_id, timestamp'2024-01-01' AS ts, id AS user_id, 'click' AS event_type, id * 700D AS value, '{\"k\": 12}' AS props FROM range(3)")
+    rows.write.parquet(f"{root}/events.parquet")
+    got = {(r.table_name, r.rule): r.rows for r in QUERIES["table_violations"](spark, root).collect()}
+    assert got["analysis_results", "sentiment_score_range"] == 3
