@@ -65,8 +65,9 @@ def _(spark, sf):
 
 
 def table_stream(spark, sf, name, schema):
-    """The files of one table as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The files of one table as a stream; the table is one file or a folder of them."""
+    # a pattern matches both, a plain path to a file is refused as a base folder
+    return spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{name}.[p]arquet")
 
 
 def event_stream(spark, sf):

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import hashlib
+import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from calllens.session import scratch_dir
 from calllens.sources import tables
 from calllens.streaming import events as ev
 from calllens.streaming import ingest, jobs
+from catalog.registry import QUERIES
 from catalog.streams import changes
 
 START = dt.datetime(2024, 1, 1)
@@ -166,3 +169,17 @@ def test_audio_stream(spark, tmp_path):
     out = scratch_dir(spark, "audio")
     run(ingest.ingest_audio(spark, str(tmp_path)), out)
     assert [r.media_format for r in spark.read.parquet(out).collect()] == ["mp3"]
+
+
+def test_a_table_is_a_file_or_a_folder_of_files(spark):
+    root = scratch_dir(spark, "table-kinds")
+    documents = spark.createDataFrame([(i, f"call {i} that", "web") for i in range(6)], "doc_id bigint, text string, source string")
+    documents.repartition(3).write.parquet(f"{root}/documents.parquet")
+    got = QUERIES["analyze_stream"](spark, root).collect()
+    assert sorted((r.call_id, r.word_count) for r in got) == [(i, 3) for i in range(6)]
+    documents.coalesce(1).write.parquet(f"{root}-parts")
+    part = next(Path(f"{root}-parts").glob("part-*.parquet"))
+    Path(f"{root}-single").mkdir()
+    shutil.copy(part, f"{root}-single/documents.parquet")
+    got = QUERIES["analyze_stream"](spark, f"{root}-single").collect()
+    assert sorted(r.call_id for r in got) == list(range(6))
