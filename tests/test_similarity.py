@@ -89,3 +89,26 @@ def test_hot_trigram_is_dealt_to_parts(spark):
 def test_no_cross_join(spark):
     plan = plan_of(sim.similar_pairs(table(spark, names(1, 20)), "key", "text", 0.8))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.9])
+def test_long_texts_in_blocks(spark, threshold):
+    """More trigrams than are counted at first, in several scripts; a key of two texts."""
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz\u00e4\u00f6\u03bb\u0436\u4e2d"
+    words = ["".join(draw.choices(letters, k=draw.randint(2, 7))) for _ in range(400)]
+    base = [" ".join(draw.choices(words, k=draw.randint(60, 200))) for _ in range(10)]
+    rows = [(i // 2, " ".join(w for w in draw.choice(base).split() if draw.random() < keep)) for i, keep in enumerate([0.97, 0.7, 0.95, 0.5] * 10)]
+    assert len(set().union(*[grams(t) for _, t in rows])) > sim.FRONT
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in sim.similar_pairs(table(spark, rows), "key", "text", threshold, block=7).collect())
+    want = [(min(a, b), max(a, b), round(jaccard(s, t), 9)) for (s, a), (t, b) in combinations(first_keys(rows).items(), 2) if a != b and jaccard(s, t) >= threshold]
+    assert got == sorted(want) and want
+
+
+def test_pairs_of_one_table_are_not_joined(spark):
+    assert "Join" not in plan_of(sim.similar_pairs(table(spark, names(1, 20)), "key", "text", 0.4))
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    front = sim.prefixes(sim.stored(sim.ordered_sets(table(spark, names(1, 20)).withColumn("side", F.lit(0))), "sets"), 0.5)
+    assert "SortMergeJoin" in plan_of(sim.candidates(front, front, 0.5, True, 50))
