@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from calllens.functions.arrays import rows_of
 from calllens.functions.tokens import sentences
 from calllens.operators import sentiment as senti
 from calllens.operators.conversation import response_time_avg, speaker_changes, speaker_profile_text
@@ -75,14 +76,14 @@ field("sentiment", "call_id:long sentiment_score:d6 sentiment_confidence:d6 posi
 field("moments", "call_id:long phrase:str context_md5:str t:d6 intensity:d6", "interest_moments",
       lambda r: r.select("call_id", each("moments")).withColumn("context_md5", F.md5("context")))
 field("key_phrases", "call_id:long pos:long phrase:str", "key_phrases",
-      lambda r: r.select("call_id", F.posexplode("key_phrases").alias("pos", "phrase")))
+      lambda r: r.select("call_id", rows_of(F.col("key_phrases"), "phrase", "pos")))
 field("technical", "call_id:long technical_terms:list", "technical_terms", lambda r: r.select("call_id", "technical_terms"))
 field("pricing", "call_id:long pos:long mention_md5:str", "pricing_mentions",
-      lambda r: r.select("call_id", F.posexplode("pricing").alias("pos", "mention")).withColumn("mention_md5", F.md5("mention")))
+      lambda r: r.select("call_id", rows_of(F.col("pricing"), "mention", "pos")).withColumn("mention_md5", F.md5("mention")))
 field("objections", "call_id:long idx:long sentence_md5:str", "objections",
-      lambda r: r.select("call_id", F.posexplode("objections").alias("idx", "s")).withColumn("sentence_md5", F.md5("s")))
+      lambda r: r.select("call_id", rows_of(F.col("objections"), "s", "idx")).withColumn("sentence_md5", F.md5("s")))
 field("timeline", "call_id:long idx:long t:d6 v:d6", "engagement_timeline",
-      lambda r: r.select("call_id", F.posexplode("timeline").alias("idx", "p")).select("call_id", "idx", "p.t", "p.v"))
+      lambda r: r.select("call_id", rows_of(F.col("timeline"), "p", "idx")).select("call_id", "idx", "p.t", "p.v"))
 field("signals", "call_id:long interest_signals:list buying_signals:list concern_signals:list", "signal_extract",
       lambda r: r.select("call_id", *[F.col(f"lead.{c}").alias(f"{n}_signals") for c, n in (("interest", "interest"), ("buying", "buying"), ("concerns", "concern"))]))
 field("insights", "call_id:long personality:str decision_style:str strategy:str next_actions:list risk_factors:list", "insight_labels",
@@ -99,7 +100,7 @@ def _(spark, sf):
        f"""WITH q0 AS ({oracle('competitor_mentions', PROBE_V31)}) --final
 SELECT call_id, competitor, count(*) AS mentions FROM q0 GROUP BY call_id, competitor""")
 def _(spark, sf):
-    found = rows(spark, sf, PROBE_V31).select("call_id", F.explode("competitors").alias("name"))
+    found = rows(spark, sf, PROBE_V31).select("call_id", rows_of(F.col("competitors"), "name"))
     return found.groupBy("call_id", F.lower("name").alias("competitor")).agg(F.count(F.lit(1)).alias("mentions"))
 
 

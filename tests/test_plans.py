@@ -131,3 +131,8 @@ def test_context_windows_leave_far_tokens_out_before_the_shuffle(spark):
 def test_tfidf_cuts_the_texts_once(spark, small):
     plan = plan_of(topics.tfidf(tables.transcripts(spark, small), V31))
     assert "documents.parquet" not in plan and "term-counts" in plan
+
+
+@pytest.mark.parametrize("name", ["analysis_key_phrases_v31", "analysis_pricing_v30", "analysis_objections_v31", "analysis_timeline_v31", "analysis_competitors_v31"])
+def test_lists_are_not_computed_again_for_a_filter(spark, small, name):
+    assert "Filter (" not in plan_of(entry_module.queries()[name](spark, small))
