@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calllens.session import stored
+from calllens.session import spread, stored
 
 #: Rounds whose trees are applied anew in each pass before the scores are stored again.
-KEPT_ROUNDS = 10
+KEPT_ROUNDS = 4
 #: Classes a model may tell apart; more are taken for a label column that holds none.
 MOST_CLASSES = 1000
 CELLS = "cell bigint, g double, h double, n bigint"
@@ -125,9 +125,17 @@ def cut_points(df: DataFrame, features: list[str], bins: int) -> list[np.ndarray
 
 def _rows(table: pa.RecordBatch, n_features: int, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins, label and scores of a batch."""
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.uint8).reshape(-1, n_features)
-    f = np.frombuffer(b"".join(table.column("f").to_pylist()), "<f8").reshape(-1, n_classes)
-    return x, table.column("y").to_numpy(), f.copy()
+    x = _matrix(table.column("x"), np.dtype("u1"), n_features)
+    return x, table.column("y").to_numpy(), _matrix(table.column("f"), np.dtype("<f8"), n_classes).copy()
+
+
+def _matrix(column: pa.Array, kind: np.dtype, width: int) -> np.ndarray:
+    """Values of equal width, as they lie behind each other in the column's buffer."""
+    if not len(column):
+        return np.zeros((0, width), kind)
+    _, ends, values = column.buffers()
+    start = np.frombuffer(ends, "<i8" if pa.types.is_large_binary(column.type) else "<i4")[column.offset]
+    return np.frombuffer(values, kind, len(column) * width, int(start)).reshape(-1, width)
 
 
 def _binned(df: DataFrame, label: str, features: list[str], classes: list[str], cuts: list[np.ndarray], priors: np.ndarray) -> DataFrame:
@@ -235,7 +243,8 @@ def fit_boosting(
     if not 2 <= bins <= 256:
         raise ValueError("from 2 to 256 bins")
     features = list(features)
-    data = df.where(F.col(label).isNotNull())
+    # the classes, the quantiles and the bins are three passes
+    data = stored(df.where(F.col(label).isNotNull()).select(*dict.fromkeys([label, *features])), "boosting-data")
     sizes = data.groupBy(F.col(label).cast("string").alias("class")).count()
     shares = {r[0]: r[1] for r in sizes.limit(MOST_CLASSES + 1).collect()}
     if not 0 < len(shares) <= MOST_CLASSES:
@@ -244,7 +253,7 @@ def fit_boosting(
     total = sum(shares.values())
     priors = np.log(np.array([shares[c] / total for c in classes]))
     cuts = cut_points(data, features, bins)
-    rows = stored(_binned(data, label, features, classes, cuts, priors), "boosting-rows")
+    rows = stored(_binned(spread(data, total), label, features, classes, cuts, priors), "boosting-rows")
     n, k = len(features), len(classes)
     gains, losses, pending, binned = np.zeros(n), [], [], []
     for _ in range(rounds):

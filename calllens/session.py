@@ -55,6 +55,18 @@ def small_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> D
     return spark.createDataFrame(pa.table({c: list(v) for c, v in zip(columns, values)}))
 
 
+#: Rows of a task in a job that passes over a table many times: at least and at most.
+LEAST_ROWS, MOST_ROWS = 5_000, 500_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The table, of so many rows, dealt over the cores.  AQE joins partitions by their bytes,
+    so a table of short rows would lie in one, and one task would do the work of every pass."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(cores, rows // LEAST_ROWS), -(-rows // MOST_ROWS))
+    return df.repartition(parts) if parts > 1 else df
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once below the shared scratch folder and read back: later steps
     neither compute them again nor lose them with an executor."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from calllens.operators import ml
 from calllens.operators.boosting import fit_boosting
 from calllens.operators.conversation import text_features
-from calllens.session import scratch_dir
+from calllens.session import scratch_dir, stored
 from calllens.sources import tables
 from catalog.registry import query
 
@@ -18,7 +18,8 @@ INPUTS = ("total_word_count", "unique_word_count", "sentence_count", "avg_senten
 
 
 def training(spark, sf):
-    """Labelled documents: linguistic features and a three-way class."""
+    """Labelled documents: linguistic features and a three-way class.  Stored, as splits, folds
+    and fits pass over them several times and the texts need be read once only."""
     labels = tables.read_table(spark, sf, "labels").withColumnRenamed("doc_id", "call_id")
     calls = tables.transcripts(spark, sf).join(labels.select("call_id"), "call_id", "left_semi")
     features = text_features(calls, positive=("that", "with", "der"), question_words=("in", "la", "und"))
@@ -26,7 +27,8 @@ def training(spark, sf):
         "call_id",
         F.when(F.col("toxic") == 1, "Cold").when(F.col("quality") == 1, "Hot").otherwise("Warm").alias("lead_class"),
     )
-    return features.join(named, "call_id").select("call_id", "lead_class", *[F.col(c).cast("double").alias(c) for c in INPUTS])
+    rows = features.join(named, "call_id").select("call_id", "lead_class", *[F.col(c).cast("double").alias(c) for c in INPUTS])
+    return stored(rows, "training")
 
 
 CLASS_SQL = "CASE WHEN toxic = 1 THEN 'Cold' WHEN quality = 1 THEN 'Hot' ELSE 'Warm' END"

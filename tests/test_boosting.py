@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,29 @@ def test_saved_and_loaded(spark, tmp_path):
     weights = {r.feature: r.importance for r in ml.feature_importance(model, spark).collect()}
     assert sum(weights.values()) == pytest.approx(1) and set(weights) == {"a", "b"}
     assert ml.predict(back, df, keep=("y",)).where(F.col("y") == F.col("classification")).count() > 40
+
+
+def test_rows_of_one_partition_are_dealt_over_the_cores(spark, monkeypatch):
+    dealt = {}
+
+    def stored(df, purpose, keep=boosting.stored):
+        dealt.setdefault(purpose, df.rdd.getNumPartitions())
+        return keep(df, purpose)
+
+    monkeypatch.setattr(boosting, "stored", stored)
+    df = spark.range(20_000, numPartitions=1).selectExpr("cast(id % 10 as double) AS a", "if(id % 10 < 5, 'x', 'y') AS y")
+    model = boosting.fit_boosting(df, "y", ["a"], rounds=1, depth=1)
+    assert dealt == {"boosting-data": 1, "boosting-rows": 4}
+    assert model.rounds[0][0].threshold[0] == 4.0
+
+
+def test_rows_are_read_from_any_part_of_a_batch():
+    x = np.arange(12, dtype="u1").reshape(-1, 2)
+    f = np.arange(18, dtype="<f8").reshape(-1, 3)
+    for kind in (pa.binary(), pa.large_binary()):
+        held = {"y": pa.array(range(6), pa.int32()), "x": pa.array([r.tobytes() for r in x], kind), "f": pa.array([r.tobytes() for r in f], kind)}
+        table = pa.RecordBatch.from_pydict(held)
+        for part in (table, table.slice(2, 3), table.slice(0, 0)):
+            got = boosting._rows(part, 2, 3)
+            at = part.column("y").to_numpy()
+            assert (got[0] == x[at]).all() and (got[1] == at).all() and (got[2] == f[at]).all()
