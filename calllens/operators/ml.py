@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from calllens.operators.boosting import BoostedModel, fit_boosting, load_boosting, save_boosting
 from calllens.operators.ordered import running_totals
+from calllens.session import spread
 
 TREES, DEPTH, MIN_SPLIT = 100, 10, 5
 ROUNDS, RATE, BOOST_DEPTH = 100, 0.1, 5
@@ -100,7 +101,8 @@ def train_lead_model(
     which need neither; both kinds predict, weigh features, save and load alike."""
     if kind == "gradient_boosting":
         return fit_boosting(train, label, features, rounds, RATE, BOOST_DEPTH)
-    data = train.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
+    # every level of the trees is a pass
+    data = spread(train.select(label, *features), train.count()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexer = index_labels(data, label)
         decode = IndexToString(

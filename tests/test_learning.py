@@ -70,6 +70,19 @@ def test_cross_validation(spark, data):
     assert rows[0].cv_mean == pytest.approx(sum(r.accuracy for r in rows) / 3)
 
 
+def test_fits_and_folds_use_the_cores(spark, monkeypatch):
+    parts = []
+
+    def indexed(df, label, keep=ml.index_labels):
+        parts.append(df.rdd.getNumPartitions())
+        return keep(df, label)
+
+    monkeypatch.setattr(ml, "index_labels", indexed)
+    df = spark.range(24_000, numPartitions=1).selectExpr("id AS call_id", "cast(id % 10 as double) AS a", "if(id % 10 < 5, 'x', 'y') AS y")
+    rows = ml.cross_validate(df, "y", "call_id", ["a"], k=2, trees=2).collect()
+    assert parts == [2, 2] and [r.accuracy for r in rows] == [1.0, 1.0]
+
+
 def test_unknown_model_type(data):
     with pytest.raises(ValueError):
         ml.train_lead_model(data, "lead_class", ["a"], "perceptron")
