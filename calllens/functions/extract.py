@@ -21,8 +21,9 @@ WORDLIKE = r"\p{N}*[\p{L}_][\p{L}\p{N}_']*"
 SCAN = "|".join([
     EMAIL.replace("]+@", "]++@"), URL, MONEY, PERCENT, r"\p{N}*+[\p{L}_][\p{L}\p{N}_']*+", NUMBER
 ])
-# every entity holds one of these, and hardly any word does
-ENTITY_MARK = r"[\p{N}@$€£%:]|www\."
+# every entity holds a digit, one of @$€£%: or "www.", and hardly any word does
+# Blank-separated chunks without such a mark, as many in a row as there are.
+UNMARKED = r"(?<![^ ])(?:(?:[^ w\p{N}@$€£%:]++|w(?!ww\.))++(?![^ ]) ?)++"
 
 
 def contains_any(text: Column, terms) -> Column:
@@ -89,11 +90,8 @@ def entities(c: Column) -> Column:
     Blank-separated chunks without a mark cannot touch an entity; they are blanked
     out first, so the long pattern runs over little text.
     """
-    chunks = F.transform(
-        F.split(c, " "), lambda w: F.when(w.rlike(ENTITY_MARK), w).otherwise(F.lit("|"))
-    )
     scanned = F.transform(
-        scan(F.array_join(chunks, " ")),
+        scan(F.regexp_replace(c, UNMARKED, "| ")),
         lambda p: F.struct(entity_label(p).alias("label"), p.alias("text")),
     )
     return F.filter(scanned, lambda e: e["label"].isNotNull())
@@ -117,4 +115,5 @@ def technical_from(pieces: Column, profile: Profile) -> Column:
         test = F.lower(p).isin(*profile.technical) | capitals
         return test | is_url(p) | is_email(p) if profile.technical_links else test
 
-    return F.sort_array(F.array_distinct(F.filter(pieces, technical)))
+    # distinct first, as the test takes longer
+    return F.sort_array(F.filter(F.array_distinct(pieces), technical))

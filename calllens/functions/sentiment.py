@@ -36,9 +36,19 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def valences(toks: Column, polarity: dict) -> Column:
+    """The weight of each token, null for those not listed."""
+    return F.transform(toks, lambda t: valence(t, polarity))
+
+
 def mean_valence(toks: Column, polarity: dict) -> Column:
     """Mean weight of the listed tokens, 0 when there are none."""
-    hits = F.filter(F.transform(toks, lambda t: valence(t, polarity)), lambda v: v.isNotNull())
+    return mean_of(valences(toks, polarity))
+
+
+def mean_of(values: Column) -> Column:
+    """Mean of the weights that are not null, 0 when there are none."""
+    hits = F.filter(values, lambda v: v.isNotNull())
     return let(hits, lambda h: F.when(F.size(h) == 0, F.lit(0.0)).otherwise(_sum(h) / F.size(h)))
 
 
@@ -49,13 +59,15 @@ def _any_before(toks: Column, i: Column, terms) -> Column:
     return found
 
 
-def weighted_valences(toks: Column, profile: Profile) -> Column:
-    """Valence of each listed token after boosters and negation among the three before it."""
-    listed = list(profile.polarity)
-    hits = F.filter(F.transform(toks, lambda _, i: i), lambda i: F.get(toks, i).isin(*listed))
+def weighted_valences(toks: Column, profile: Profile, values: Column | None = None) -> Column:
+    """Valence of each listed token after boosters and negation among the three before it;
+    ``values`` are the bound :func:`valences`, where they are at hand."""
+    if values is None:
+        return let(valences(toks, profile.polarity), lambda v: weighted_valences(toks, profile, v))
+    hits = F.filter(F.transform(toks, lambda _, i: i), lambda i: F.get(values, i).isNotNull())
 
     def adjusted(i: Column) -> Column:
-        v = valence(F.get(toks, i), profile.polarity)
+        v = F.get(values, i)
         up = F.when(_any_before(toks, i, profile.boosters_up), BOOST).otherwise(0.0)
         down = F.when(_any_before(toks, i, profile.boosters_down), BOOST).otherwise(0.0)
         v = v + F.signum(v) * (up - down)
@@ -68,8 +80,8 @@ def normalise(total: Column) -> Column:
     return total / F.sqrt(total * total + NORMALISER)
 
 
-def compound(toks: Column, profile: Profile) -> Column:
-    return let(_sum(weighted_valences(toks, profile)), normalise)
+def compound(toks: Column, profile: Profile, values: Column | None = None) -> Column:
+    return let(_sum(weighted_valences(toks, profile, values)), normalise)
 
 
 def ensemble(comp: Column, polarity: Column, model: Column, profile: Profile) -> Column:

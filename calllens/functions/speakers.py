@@ -9,12 +9,14 @@ from calllens.config import Profile
 from calllens.functions import sentiment as sent
 from calllens.functions.arrays import let, positions
 from calllens.functions.text import collapse_whitespace, sentiment_bucket, squeeze_punctuation, strip_artifacts
-from calllens.functions.tokens import sentences, token_count, tokens
+from calllens.functions.tokens import sentences, token_count, words
 
 # Fixed value: the name of whoever speaks before the first tag.
 PRIMARY = "primary_speaker"
 ROLES = ("prospect", "sales_representative", "decision_maker")
 TAG, TAG_END = "\u0002", "\u0003"
+# Fixed value: the combining dot above.
+DOT = "\u0307"
 BUCKETS = ("Positive", "Negative", "Neutral")
 
 
@@ -26,8 +28,18 @@ def speaker_spans(raw: Column, profile: Profile) -> Column:
     the tokens of the spans are, in order, those of the cleaned transcript (unless an
     apostrophe touches a tag).  Spans without text are left out.
     """
-    tidy = F.translate(strip_artifacts(collapse_whitespace(raw), profile.artifacts), TAG + TAG_END, "  ")
-    pieces = F.split(F.regexp_replace(tidy, profile.speaker_tag, f"{TAG}$0{TAG_END}"), TAG)
+    return spans_of(marked_tags(strip_artifacts(collapse_whitespace(raw), profile.artifacts), profile), profile)
+
+
+def marked_tags(tidy: Column, profile: Profile) -> Column:
+    """A tidied transcript with its speaker tags between ``TAG`` and ``TAG_END``."""
+    plain = F.replace(F.replace(tidy, F.lit(TAG), F.lit(" ")), F.lit(TAG_END), F.lit(" "))
+    return F.regexp_replace(plain, profile.speaker_tag, f"{TAG}$0{TAG_END}")
+
+
+def spans_of(marked: Column, profile: Profile) -> Column:
+    """:func:`speaker_spans` of a transcript whose tags are marked."""
+    pieces = F.split(marked, TAG)
 
     def span(piece: Column, i: Column) -> Column:
         # what a tag leaves of its colon goes with it
@@ -57,23 +69,29 @@ def _measures(spans: Column, profile: Profile) -> Column:
     """Per span what adds up to a profile, ordered by speaker."""
 
     def measured(s: Column, i: Column) -> Column:
-        polarity = let(tokens(s["text"]), lambda t: sent.mean_valence(t, profile.polarity))
+        lower = F.lower(s["text"])
         engaged = F.transform(
             sentences(s["text"]),
             lambda x: F.least(F.lit(1.0), F.regexp_count(x, F.lit(r"\S+")) / F.lit(profile.timeline_words)),
         )
-        return let(
-            engaged,
-            lambda e: F.struct(
+
+        def struct(low: Column, toks: Column, polarity: Column, e: Column) -> Column:
+            # only a dot that lower-casing adds to a letter can cut a word in two
+            n = F.when(F.contains(low, F.lit(DOT)), token_count(s["text"])).otherwise(F.size(toks).cast("bigint"))
+            return F.struct(
                 s["speaker"].alias("speaker"),
                 i.alias("at"),
-                token_count(s["text"]).alias("n"),
+                n.alias("n"),
                 sentiment_bucket(polarity).alias("bucket"),
                 F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("engaged"),
                 F.size(e).alias("sentences"),
-                F.lower(s["text"]).alias("lower"),
-            ),
-        )
+                low.alias("lower"),
+            )
+
+        # every part is bound, as a lambda computes what it names as often as it is named
+        return let(lower, lambda low: let(words(low), lambda toks: let(
+            sent.mean_valence(toks, profile.polarity), lambda p: let(engaged, lambda e: struct(low, toks, p, e))
+        )))
 
     return F.array_sort(F.transform(spans, measured))
 
@@ -114,11 +132,11 @@ def speaker_profiles(spans: Column, profile: Profile) -> Column:
         first = F.filter(positions(ms), lambda i: (i == 0) | (F.get(ms, i)["speaker"] != F.get(ms, i - 1)["speaker"]))
         everything = F.aggregate(ms, F.lit(0).cast("bigint"), lambda a, s: a + s["n"])
         return let(
-            first,
-            lambda st: F.transform(
-                st,
+            F.struct(first.alias("st"), everything.alias("n")),
+            lambda b: F.transform(
+                b["st"],
                 lambda p, k: let(
-                    F.slice(ms, p + 1, F.coalesce(F.get(st, k + 1), F.size(ms)) - p), lambda part: profiled(part, everything)
+                    F.slice(ms, p + 1, F.coalesce(F.get(b["st"], k + 1), F.size(ms)) - p), lambda part: profiled(part, b["n"])
                 ),
             ),
         )

@@ -8,13 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from calllens.config import Profile
+from calllens.functions.arrays import let
 from calllens.functions.tokens import BLANK
 
 
 def collapse_whitespace(c: Column) -> Column:
     """Every run of blanks as one space, none at the ends; blanks of all scripts count."""
     # single spaces, by far the most, are left alone
-    return F.trim(F.regexp_replace(c, f" {BLANK}+|(?! ){BLANK}+", " "))
+    return F.trim(F.regexp_replace(c, f"{BLANK}(?:(?<! ){BLANK}*+|{BLANK}++)", " "))
 
 
 def strip_artifacts(c: Column, artifacts) -> Column:
@@ -28,13 +29,23 @@ def strip_speaker_tags(c: Column, profile: Profile) -> Column:
 
 
 def squeeze_punctuation(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\.{3,}", "..."), r"-{2,}", "--")
+    # most texts hold no run that is too long
+    def cut(run: str, pattern: str, to: str):
+        return lambda x: F.when(F.contains(x, F.lit(run)), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    return let(let(c, cut("....", r"\.{3,}", "...")), cut("---", r"-{2,}", "--"))
 
 
 def clean_transcript(c: Column, profile: Profile) -> Column:
     """Whitespace first, then artefacts, tags and punctuation; one narrow expression."""
-    out = strip_artifacts(collapse_whitespace(c), profile.artifacts)
-    out = strip_speaker_tags(out, profile)
+    return clean_tidy(strip_artifacts(collapse_whitespace(c), profile.artifacts), profile)
+
+
+def clean_tidy(c: Column, profile: Profile, has_tags: Column | None = None) -> Column:
+    """The steps after the artefacts; ``has_tags`` is false where no tag can be in the text."""
+    out = strip_speaker_tags(c, profile)
+    if has_tags is not None:
+        out = F.when(has_tags, out).otherwise(c)
     if profile.squeeze:
         out = squeeze_punctuation(out)
     return F.trim(out)

@@ -11,14 +11,17 @@ from calllens.functions.arrays import let
 
 WORD = r"[\p{L}\p{N}_']+"
 # Fixed value: the characters that Unicode calls white space, and four ASCII separators.
-BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The visible ASCII characters are ruled out by one test, as most characters are such.
+BLANK = r"[[^!-~]&&[\p{IsWhite_Space}\x1c-\x1f]]"
+# Plain letters first: the tests of a class run in order.
+NOT_WORD = r"[^[a-z][\p{L}\p{N}_']]+"
 SENTENCE_END = r"([.!?]+)(\s+|$)"
 BREAK = "\u0001"
 
 
 def words(c: Column) -> Column:
     """Words in their original case; an apostrophe stays inside its word."""
-    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(c, NOT_WORD), "")
 
 
 def tokens(c: Column) -> Column:
@@ -73,11 +76,12 @@ def candidate_phrases(c: Column, stop_words, min_words: int, min_chars: int) ->
     Stands in for noun chunks; ``min_chars`` is exclusive.
     """
     # punctuation and stop words become "|", the runs lie between
-    spaced = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_'\s]+", " | ")
+    spaced = F.regexp_replace(F.lower(c), r"[^[a-z ][\p{L}\p{N}_'\s]]+", " | ")
     marked = F.transform(
         F.split(spaced, r"\s+"), lambda w: F.when(w.isin(*stop_words), F.lit("|")).otherwise(w)
     )
-    runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r))
+    # no blank is left beside a bar, and none but single ones elsewhere
+    runs = F.split(F.trim(F.array_join(marked, " ")), r" *+\|[ |]*+")
     return F.filter(
         runs, lambda r: F.contains(r, F.lit(" ")) & (F.length(r) > min_chars)
     ) if min_words == 2 else F.filter(

@@ -31,13 +31,15 @@ def _total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def flow_measures(sents: Column) -> dict[str, Column]:
+def flow_measures(sents: Column, counts: Column | None = None) -> dict[str, Column]:
+    """``counts`` are the :func:`word_counts`, where they are at hand."""
+
     def ending(mark: str) -> Column:
         return F.size(F.filter(sents, lambda s: F.endswith(s, F.lit(mark)))).cast("bigint")
 
     return {
         "total_sentences": F.size(sents).cast("bigint"),
-        "_words": _total(word_counts(sents)),
+        "_words": _total(word_counts(sents) if counts is None else counts),
         "question_count": ending("?"),
         "exclamation_count": ending("!"),
     }
@@ -129,13 +131,18 @@ def engagement(word_count: Column, profile: Profile) -> Column:
 
 def timeline_array(sents: Column, profile: Profile) -> Column:
     """``array<struct<t, v>>`` over the sentences of one transcript."""
+    return timeline_from(word_counts(sents), profile)
+
+
+def timeline_from(counts: Column, profile: Profile) -> Column:
+    """The timeline of sentences whose words are counted."""
     return let(
-        sents,
-        lambda ss: F.transform(
-            ss,
-            lambda s, i: F.struct(
-                (i / F.size(ss) * F.lit(profile.call_seconds)).alias("t"),
-                engagement(F.regexp_count(s, F.lit(r"\S+")), profile).alias("v"),
+        counts,
+        lambda ns: F.transform(
+            ns,
+            lambda n, i: F.struct(
+                (i / F.size(ns) * F.lit(profile.call_seconds)).alias("t"),
+                engagement(n, profile).alias("v"),
             ),
         ),
     )

@@ -17,13 +17,17 @@ def moments_array(c: Column, profile: Profile) -> Column:
     return moments_from(words(c), profile)
 
 
-def moments_from(word_array: Column, profile: Profile) -> Column:
+def moments_from(
+    word_array: Column, profile: Profile, toks: Column | None = None, values: Column | None = None
+) -> Column:
+    """``toks`` and ``values``, the lower-cased words and their ``sentiment.valences``, are
+    given where they are at hand."""
 
-    def moment(ws: Column, toks: Column, span: Column) -> Column:
+    def moment(ws: Column, toks: Column, values: Column, span: Column) -> Column:
         lo, length = pt.window_bounds(
             span["start"], span["n"], F.size(toks), profile.context_window
         )
-        polarity = sent.mean_valence(F.slice(toks, lo + 1, length), profile.polarity)
+        polarity = sent.mean_of(F.slice(values, lo + 1, length))
         intensity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (polarity + 1) / 2))
         return F.struct(
             span["start"].alias("start"),
@@ -33,15 +37,15 @@ def moments_from(word_array: Column, profile: Profile) -> Column:
             intensity.alias("intensity"),
         )
 
-    def over(ws: Column) -> Column:
-        return let(
-            F.transform(ws, lambda w: F.lower(w)),
-            lambda toks: F.transform(
-                pt.spans(toks, profile.interest_patterns), lambda s: moment(ws, toks, s)
-            ),
-        )
+    def found(ws: Column, toks: Column, values: Column) -> Column:
+        return F.transform(pt.spans(toks, profile.interest_patterns), lambda s: moment(ws, toks, values, s))
 
-    return let(word_array, over)
+    if values is not None:
+        return found(word_array, toks, values)
+    return let(word_array, lambda ws: let(
+        F.transform(ws, lambda w: F.lower(w)),
+        lambda toks: let(sent.valences(toks, profile.polarity), lambda values: found(ws, toks, values)),
+    ))
 
 
 def interest_moments(

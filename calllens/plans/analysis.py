@@ -10,8 +10,8 @@ from calllens.config import Profile
 from calllens.functions import extract, scoring
 from calllens.functions import sentiment as sent
 from calllens.functions.arrays import let, strings
-from calllens.functions.speakers import speaker_at, speaker_profiles, speaker_spans, word_spans
-from calllens.functions.text import base_name, clean_transcript, emotions, processing_id
+from calllens.functions.speakers import TAG, marked_tags, spans_of, speaker_at, speaker_profiles, word_spans
+from calllens.functions.text import base_name, clean_tidy, collapse_whitespace, emotions, processing_id, strip_artifacts
 from calllens.functions.tokens import candidate_phrases, sentences, words
 from calllens.operators import conversation as conv
 from calllens.operators import extraction, moments, topics
@@ -38,14 +38,17 @@ def analyze_calls(
     of the sentiment where it is not null.
     """
     text = F.col("text")
-    read = calls.select(
+    tidied = calls.withColumn(
+        "_tidy", strip_artifacts(collapse_whitespace(F.coalesce(text, F.lit(""))), profile.artifacts)
+    ).withColumn("_marked", marked_tags(F.col("_tidy"), profile))
+    read = tidied.select(
         "call_id",
         "path",
         text.isNotNull().alias("_known"),
         *([F.col(model_col).alias("_model")] if model_col else [F.lit(0.0).alias("_model")]),
         *([F.col(emotions_col).alias("_emotions")] if emotions_col else []),
-        speaker_spans(F.coalesce(text, F.lit("")), profile).alias("_spans"),
-        clean_transcript(F.coalesce(text, F.lit("")), profile).alias("text"),
+        spans_of(F.col("_marked"), profile).alias("_spans"),
+        clean_tidy(F.col("_tidy"), profile, F.contains("_marked", F.lit(TAG))).alias("text"),
     )
     split = read.select(
         "*",
@@ -58,6 +61,7 @@ def analyze_calls(
     arrays = split.select(
         "*",
         F.transform("_words", lambda w: F.lower(w)).alias("_toks"),
+        conv.word_counts(F.col("_sents")).alias("_counts"),
         extract.entities(text).alias("_ents"),
         conv.questions_from(F.col("_sents")).alias("_questions"),
         *[
@@ -65,12 +69,13 @@ def analyze_calls(
             for n, p in zip(("interest", "buying", "concern"), profile.prefixes)
         ],
     )
-    values = arrays.select(
+    valued = arrays.withColumn("_values", sent.valences(F.col("_toks"), profile.polarity))
+    values = valued.select(
         "*",
-        let(F.col("_toks"), lambda t: sent.compound(t, profile)).alias("_compound"),
-        sent.mean_valence(F.col("_toks"), profile.polarity).alias("_polarity"),
+        sent.compound(F.col("_toks"), profile, F.col("_values")).alias("_compound"),
+        sent.mean_of(F.col("_values")).alias("_polarity"),
         F.size("_toks").alias("_n"),
-        *[c.alias(f"_flow_{n}") for n, c in conv.flow_measures(F.col("_sents")).items()],
+        *[c.alias(f"_flow_{n}") for n, c in conv.flow_measures(F.col("_sents"), F.col("_counts")).items()],
     )
     mixed = sent.ensemble(F.col("_compound"), F.col("_polarity"), F.col("_model"), profile)
     scored = values.withColumn(
@@ -100,7 +105,7 @@ def analyze_calls(
 
     def moment_list(of_words):
         return F.transform(
-            moments.moments_from(F.col("_words"), profile),
+            moments.moments_from(F.col("_words"), profile, F.col("_toks"), F.col("_values")),
             lambda m: F.struct(
                 m["phrase"].alias("phrase"),
                 m["context"].alias("context"),
@@ -167,7 +172,7 @@ def analyze_calls(
             F.col("_flow_exclamation_count").alias("exclamation_count"),
             F.lit("moderate").alias("conversation_pace"),
         ).alias("flow"),
-        conv.timeline_array(F.col("_sents"), profile).alias("timeline"),
+        conv.timeline_from(F.col("_counts"), profile).alias("timeline"),
         F.struct(
             *[c.alias(n) for n, c in questions.items()],
             F.slice("_questions", 1, profile.sample_questions).alias("sample_questions"),

@@ -136,3 +136,9 @@ def test_tfidf_cuts_the_texts_once(spark, small):
 @pytest.mark.parametrize("name", ["analysis_key_phrases_v31", "analysis_pricing_v30", "analysis_objections_v31", "analysis_timeline_v31", "analysis_competitors_v31"])
 def test_lists_are_not_computed_again_for_a_filter(spark, small, name):
     assert "Filter (" not in plan_of(entry_module.queries()[name](spark, small))
+
+
+def test_speaker_profile_cuts_each_span_into_words_once(spark):
+    calls = spark.createDataFrame([(1, "Agent: so good. Prospect: no")], "call_id bigint, text string")
+    # the words of sentences, and the count for texts in which lower-casing adds a dot
+    assert plan_of(conversation.speaker_profile_text(calls, V31)).count("regexp_extract_all(") <= 2
