@@ -14,6 +14,7 @@ from calllens.functions import sentiment as sent
 from calllens.functions.arrays import let, run_lengths
 from calllens.functions.tokens import (
     candidate_phrases,
+    ngrams,
     ngrams_upto,
     sentences,
     tokens,
@@ -84,11 +85,8 @@ def phrase_frequency_turns(
     return top.join(totals, key).select(key, "name", "n", (F.col("n") / F.col("_all")).alias("relevance"))
 
 
-def _terms(text: str, ngram_max: int, stop_words) -> Column:
-    kept = F.filter(
-        F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*stop_words)
-    )
-    return ngrams_upto(kept, ngram_max)
+def _kept(text: str, stop_words) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*stop_words))
 
 
 def vocabulary(
@@ -106,6 +104,34 @@ def vocabulary(
     return bounded.select("term", "df", "n_docs")
 
 
+def frequent_vocabulary(
+    lists: DataFrame, words: str, ngram_max: int, max_features: int, min_df: int, max_df: float
+) -> DataFrame:
+    """:func:`vocabulary` of the n-grams of word lists, without counting all of them.
+
+    The n-th of the terms found so far bounds the counts of the vocabulary from below.  A
+    longer term occurs no more often than its two parts that are one word shorter, so only
+    terms whose parts reach the bound are counted.
+    """
+    n_docs = F.lit(lists.count()).cast("bigint")
+    found, floor = None, 0
+    for n in range(1, ngram_max + 1):
+        rows = lists.select(F.inline(run_lengths(ngrams(F.col(words), n))))
+        if n > 1:
+            parts = found.where((F.col("size") == n - 1) & (F.col("cf") >= floor)).select(F.col("term").alias("_part"))
+            for cut in (n - 1, 1 - n):
+                rows = rows.join(parts, F.substring_index("term", " ", cut) == F.col("_part"), "left_semi")
+        stats = rows.groupBy("term").agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("df"))
+        counted = stored(stats.where(F.col("cf") >= floor).withColumn("size", F.lit(n)), "term-stats")
+        found = counted if found is None else found.unionByName(counted)
+        bounded = found.where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
+        top = bounded.orderBy(F.col("cf").desc(), "term").limit(max_features)
+        last = top.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("cf")).first()
+        if 0 < max_features == last.n:
+            floor = last.cf
+    return top.select("term", "df", n_docs.alias("n_docs"))
+
+
 def tfidf(
     df: DataFrame,
     profile: Profile,
@@ -118,10 +144,13 @@ def tfidf(
 
     tf x (ln((1+n)/(1+df)) + 1), L2-normalised per call over the vocabulary.
     """
-    # counted in the row and stored a list per call: the texts are cut into terms once
-    lists = stored(df.select(key, run_lengths(_terms(text, profile.ngram_max, profile.stop_words)).alias("_terms")), "term-counts")
-    counts = lists.select(key, F.inline(F.transform("_terms", lambda x: x)))
-    vocab = vocabulary(counts, lists, profile.max_features, min_df, profile.max_df)
+    # the texts are cut into words once
+    lists = stored(df.select(key, _kept(text, profile.stop_words).alias("_words")), "kept-words")
+    counts = lists.select(key, F.inline(run_lengths(ngrams_upto(F.col("_words"), profile.ngram_max))))
+    if profile.max_features is None:
+        vocab = vocabulary(counts, lists, None, min_df, profile.max_df)
+    else:
+        vocab = frequent_vocabulary(lists, "_words", profile.ngram_max, profile.max_features, min_df, profile.max_df)
     # one exchange by call serves both windows; Catalyst broadcasts the vocabulary while
     # its size is under the threshold
     counts = counts.join(vocab, "term")

@@ -234,3 +234,12 @@ def test_switches(spark):
     row = analyze_calls(df, off).first()
     assert row.topics == [] and row.sentiment.score == 0.0 and row.sentiment.emotions == {}
     assert analyze_calls(df, V31).first().topics[0].name == "great big deal"
+
+
+@pytest.mark.parametrize("k, max_df", [(1, 1.0), (4, 1.0), (4, 0.6), (1000, 0.9)])
+def test_frequent_vocabulary_is_the_whole_one(spark, k, max_df):
+    texts = ["a b a b c", "a b c a b", "a a a", "d a b", None, "c d c d e", ""]
+    lists = spark.createDataFrame([(None if t is None else t.split(),) for t in texts], "w array<string>")
+    counts = lists.select(F.inline(run_lengths(tk.ngrams_upto(F.col("w"), 3))))
+    want = topics.vocabulary(counts, lists, k, 1, max_df).collect()
+    assert want and topics.frequent_vocabulary(lists, "w", 3, k, 1, max_df).collect() == want
