@@ -44,7 +44,8 @@ def term_places(text: Column) -> Column:
             ),
         )
 
-    pairs = F.array_sort(F.transform(tokens(text), lambda t, i: F.struct(t.alias("t"), i.alias("p"))))
+    # array_sort would run its comparison as a lambda for every two elements
+    pairs = F.sort_array(F.transform(tokens(text), lambda t, i: F.struct(t.alias("t"), i.alias("p"))))
     return let(pairs, by_term)
 
 
@@ -76,7 +77,7 @@ def add_segment(
     )
     # a block bounds every list, however many calls hold the term
     postings = each.groupBy("term", "block").agg(
-        F.array_sort(F.collect_list(F.struct("key", "places"))).alias("calls"),
+        F.sort_array(F.collect_list(F.struct("key", "places"))).alias("calls"),
         F.count(F.lit(1)).alias("df"), F.max(F.size("places")).alias("most"),
     )
     placed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))

@@ -111,3 +111,8 @@ def test_a_stream_is_indexed(spark):
 def test_places_of_terms(spark):
     row = spark.sql("SELECT 'b a, B c' AS t").select(index.term_places(F.col("t")).alias("x")).first()
     assert [(x.term, x.places) for x in row.x] == [("a", [1]), ("b", [0, 2]), ("c", [3])]
+
+
+def test_places_are_sorted_without_a_lambda(spark):
+    plan = plan_of(table(spark, [(1, "a b a")]).select(index.term_places(F.col("text"))))
+    assert "sort_array(" in plan and "array_sort(" not in plan
