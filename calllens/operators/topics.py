@@ -144,8 +144,8 @@ def tfidf(
 
     tf x (ln((1+n)/(1+df)) + 1), L2-normalised per call over the vocabulary.
     """
-    # the texts are cut into words once
-    lists = stored(df.select(key, _kept(text, profile.stop_words).alias("_words")), "kept-words")
+    # the texts are cut once, into the words that terms are counted from
+    lists = stored(df.select(key, _kept(text, profile.stop_words).alias("_words")), "term-counts")
     counts = lists.select(key, F.inline(run_lengths(ngrams_upto(F.col("_words"), profile.ngram_max))))
     if profile.max_features is None:
         vocab = vocabulary(counts, lists, None, min_df, profile.max_df)
