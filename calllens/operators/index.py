@@ -60,8 +60,11 @@ def add_segment(
     """Index an arrival of calls under the number ``segment``; doing so again replaces it.
 
     Calls that an earlier segment holds, and repeated rows of one call, are indexed once.
-    A call without a text counts as a call without terms.  Every segment of an index has
-    the same number of ``buckets``.
+    A call without a text counts as a call without terms, and one without a key is counted but
+    not found.  Every segment of an index has the same number of ``buckets``.
+
+    Texts are shuffled once and their postings are not; a task writes what its blocks have of
+    each bucket.
     """
     spark = calls.sparkSession
     rows = calls.select(F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
@@ -71,19 +74,24 @@ def add_segment(
     rows.select("key").write.mode("overwrite").parquet(f"{folder}/docs/segment={segment}")
     indexed = spark.read.parquet(f"{folder}/docs/segment={segment}")
     blocks = max(1, -(-indexed.count() // block_calls))
-    held = calls.select(F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]).join(indexed, "key", "left_semi")
-    each = held.select("key", F.inline(term_places(F.col("text")))).withColumn(
-        "block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    )
+    # one shuffle of the texts by block, in which repeated and known calls meet; all else stays in its task
+    held = calls.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(False).alias("old"))
+    if known is not None:
+        before = known.where(F.col("segment") < segment).select("key", F.lit(None).cast("string").alias("text"), F.lit(True).alias("old"))
+        held = held.unionByName(before)
+    held = held.where("key IS NOT NULL")
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).repartition("block")
+    once = dealt.groupBy("block", "key").agg(F.first("text").alias("text"), F.max("old").alias("old")).where("NOT old")
+    each = once.select("block", "key", F.inline(term_places(F.col("text"))))
     # a block bounds every list, however many calls hold the term
-    postings = each.groupBy("term", "block").agg(
+    postings = each.groupBy("block", "term").agg(
         F.sort_array(F.collect_list(F.struct("key", "places"))).alias("calls"),
         F.count(F.lit(1)).alias("df"), F.max(F.size("places")).alias("most"),
     )
     placed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    placed.repartition("bucket", F.pmod(F.col("block"), F.lit(8))).sortWithinPartitions("bucket", "term", "block").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(f"{folder}/postings/segment={segment}")
+    placed.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("compression", "zstd").partitionBy(
+        "bucket"
+    ).parquet(f"{folder}/postings/segment={segment}")
 
 
 def index_stream(calls: DataFrame, folder: str, checkpoint: str, **options) -> StreamingQuery:

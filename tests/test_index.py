@@ -116,3 +116,18 @@ def test_places_of_terms(spark):
 def test_places_are_sorted_without_a_lambda(spark):
     plan = plan_of(table(spark, [(1, "a b a")]).select(index.term_places(F.col("text"))))
     assert "sort_array(" in plan and "array_sort(" not in plan
+
+
+def test_postings_are_not_shuffled(spark, monkeypatch):
+    """Only keys and texts pass a shuffle, the texts once; repeated and known calls are indexed once."""
+    written = []
+    kind = type(table(spark, []))
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda self, *c, real=kind.sortWithinPartitions: written.append(plan_of(out := real(self, *c))) or out)
+    folder = scratch_dir(spark, "index")
+    rows = [(i % 20, "price now") for i in range(60)] + [(None, "price")]
+    index.add_segment(table(spark, rows[:10]), folder, 0, block_calls=4)
+    index.add_segment(table(spark, rows), folder, 1, block_calls=4)
+    assert len(written) == 2 and all(p.count("Exchange") == 1 and "hashpartitioning(block" in p for p in written)
+    held = spark.read.parquet(f"{folder}/postings").where("term = 'price'").select(F.inline("calls"))
+    assert sorted(r.key for r in held.collect()) == list(range(20))
+    assert [r.call_id for r in index.search(spark, folder, "price now", 50, ()).collect()] == list(range(20))
