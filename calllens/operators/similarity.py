@@ -30,7 +30,7 @@ from calllens.session import scratch_dir, stored
 #: Postings of one trigram and length band that meet in one task.
 BLOCK = 10_000
 #: Texts of a block that is compared with others as a whole, and trigrams of all its texts, about.
-TEXTS, BLOCK_GRAMS = 6_000, 12_000_000
+TEXTS, BLOCK_GRAMS = 5_000, 6_000_000
 #: Trigrams counted for all pairs of two blocks at least and at most, rows of one product, bytes of a batch of pairs.
 LEAST_FRONT, FRONT, STRIP, BATCH_BYTES = 64, 1024, 500, 8_000_000
 #: Words of 64 trigrams that are counted first for the pairs that are left.
@@ -39,8 +39,8 @@ HEAD = 16
 FEW = 50
 #: Texts that distances are taken from, and those they are picked of.
 PIVOTS, DRAWN = 8, 64
-#: Bytes of a table of texts by trigrams.
-TABLE_BYTES = 32_000_000
+#: Bytes of a table of texts by trigrams, and of the texts that are cut up at a time, about.
+TABLE_BYTES, PIECE_BYTES = 16_000_000, 4_000_000
 #: Tasks that the pairs of blocks are dealt to, and those of a core before a task reads a block for several pairs.
 MOST_TASKS, CORE_TASKS = 10_000, 8
 #: Pairs that a block is read for once, at most.
@@ -185,6 +185,20 @@ def gram_sets(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.bincount(row, minlength=len(bounds) - 1), kinds[at]
 
 
+def _once(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Each text of a batch once, under its smallest key, in pieces."""
+    order = pc.sort_indices(pa.table([rows["digest"], rows["key"]], ["digest", "key"]), [("digest", "ascending"), ("key", "ascending")])
+    digest = rows["digest"].take(order)
+    new = np.ones(len(digest), bool)
+    new[1:] = pc.not_equal(digest[1:], digest[:-1]).to_numpy(zero_copy_only=False)
+    first = order.filter(pa.array(new))
+    size = pc.binary_length(rows["words"]).take(first).to_numpy()
+    ends = np.nonzero(np.diff(np.cumsum(size, dtype=np.int64) // PIECE_BYTES))[0] + 1
+    for start, end in zip([0, *ends], [*ends, len(first)]):
+        if start < end:
+            yield rows.take(first[start:end])
+
+
 def pivots(texts: DataFrame) -> list[np.ndarray]:
     """The trigrams of a few texts that many others are like, out of some drawn by hash."""
     drawn = [r[0] for r in texts.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(DRAWN).collect()]
@@ -217,18 +231,10 @@ def coded_sets(texts: DataFrame, near: list[np.ndarray]) -> DataFrame:
     of_pivot = np.array([len(p) for p in near], np.float64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            order = pc.sort_indices(pa.Table.from_batches([rows]), [("digest", "ascending"), ("key", "ascending")])
-            rows = rows.take(order)
-            digest = rows["digest"]
-            new = np.ones(len(digest), bool)
-            new[1:] = pc.not_equal(digest[1:], digest[:-1]).to_numpy(zero_copy_only=False)
-            rows = rows.filter(pa.array(new))
+        for piece in (p for rows in batches for p in _once(rows)):
             done = 0
-            for sizes, grams in gram_sets(rows["words"]):
-                some = rows.slice(done, len(sizes))
+            for sizes, grams in gram_sets(piece["words"]):
+                some = piece.slice(done, len(sizes))
                 done += len(sizes)
                 at = np.minimum(np.searchsorted(places, grams), max(0, len(places) - 1))
                 there = places[at] == grams if len(places) else np.zeros(len(grams), bool)
